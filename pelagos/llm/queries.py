@@ -7,7 +7,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pelagos.llm import line_dedup, media, sentencepiece_bpe, topk
+from pelagos.llm import line_dedup, media, minhash_dedup, pii, sentencepiece_bpe, topk
 from pelagos.llm.tables import read, text_of
 
 MODEL = "piece_bpe_32k.model"
@@ -44,6 +44,16 @@ def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_private(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    counts = [F.size(F.filter("base", pii.of_kind(k))).cast("long").alias(f"n_{k}") for k in pii.PATTERNS]
+    return found.select("doc_id", *counts, F.sha2(pii.spelt(F.col("base")).cast("binary"), 256).alias("base_sha256"), pii.spelt(F.concat("base", "terms")).alias("spans"))
+
+
+def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup.near_duplicates(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     kept = line_dedup.apply_bitmaps(docs, line_dedup.keep_bitmaps(docs))
@@ -55,7 +65,7 @@ def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_sentencepiece, op2_media, op5_line_dedup, op9_topk)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_media, op3_pii, op4_minhash, op5_line_dedup, op9_topk)}
 
 
 def oracle_sql() -> dict[str, str]:
