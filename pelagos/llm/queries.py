@@ -7,7 +7,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pelagos.llm import line_dedup, media, minhash_dedup, pii, sentencepiece_bpe, topk
+from pelagos.llm import line_dedup, media, minhash_dedup, pii, sentencepiece_bpe, topk, toxicity
 from pelagos.llm.tables import read, text_of
 
 MODEL = "piece_bpe_32k.model"
@@ -17,14 +17,18 @@ def _digest(col: str):
     return F.sha2(F.col(col).cast("binary"), 256)
 
 
+def _remainder(n: int):
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
+
+
 def op1_sentencepiece(spark: SparkSession, sf_dir: str, model_path: str | None = None) -> DataFrame:
     if model_path is None:
         import public_tokenizers
 
         model_path = public_tokenizers.path(MODEL)
     model = Path(model_path).read_bytes()
-    ids = sentencepiece_bpe.encode_text(read(spark, sf_dir, "documents").select("doc_id", "text"), model, keep_text=False)
-    return sentencepiece_bpe.decode_ids(ids, model).select(
+    coded = sentencepiece_bpe.encode_text(read(spark, sf_dir, "documents").select("doc_id", "text"), model, keep_text=False, decoded="decoded")
+    return coded.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"), _digest("decoded").alias("decoded_sha256")
     )
 
@@ -60,12 +64,23 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(text_of().cast("binary"), 256).alias("kept_sha256"))
 
 
+def toxicity_model(spark: SparkSession, sf_dir: str) -> toxicity.Model:
+    """Learns from all labels but those of the held-out fifth."""
+    labels = read(spark, sf_dir, "labels").filter(_remainder(5) != 0).select("doc_id", "toxic")
+    return toxicity.train(read(spark, sf_dir, "documents").select("doc_id", "text"), labels)
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxicity.score_toxicity(read(spark, sf_dir, "documents").select("doc_id", "text"), toxicity_model(spark, sf_dir))
+    return scored.select("doc_id", (_remainder(5) == 0).alias("held_out"), "score", "predicted")
+
+
 def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_sentencepiece, op2_media, op3_pii, op4_minhash, op5_line_dedup, op9_topk)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_media, op3_pii, op4_minhash, op5_line_dedup, op8_toxicity, op9_topk)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -12,7 +12,7 @@ other columns pass through unchanged, and a clash with the output's name raises
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import repeat
 
 import numpy as np
@@ -26,7 +26,7 @@ NO_RANK = np.int64(1) << 40
 #: A merge is its rank and, in the low bits, the id that it makes.
 ID_BITS, NO_PAIR = 21, np.int64(1) << 61
 #: Words that a task remembers before it starts anew, and characters of texts in work at once.
-CACHE_WORDS, CHUNK_CHARS = 400_000, 2_000_000
+CACHE_WORDS, CHUNK_CHARS = 250_000, 1_000_000
 
 
 class Vocabulary:
@@ -296,7 +296,7 @@ def _mend(raw: bytes) -> str:
     return "".join(out)
 
 
-def _chunks(texts: list[str]) -> Iterator[list[str]]:
+def _chunks(texts: Iterable[str]) -> Iterator[list[str]]:
     chunk, size = [], 0
     for t in texts:
         chunk.append(t)
@@ -314,9 +314,14 @@ def _with_column(df: DataFrame, name: str, kind: T.DataType) -> T.StructType:
     return T.StructType([*df.schema.fields, T.StructField(name, kind)])
 
 
-def encode_text(df: DataFrame, model: bytes, text: str = "text", ids: str = "ids", keep_text: bool = True) -> DataFrame:
-    """df with a column of ids of each whole text, no begin or end ids. keep_text=False drops the text column."""
+def encode_text(df: DataFrame, model: bytes, text: str = "text", ids: str = "ids", keep_text: bool = True, decoded: str | None = None) -> DataFrame:
+    """df with a column of ids of each whole text, no begin or end ids. keep_text=False drops the text column.
+
+    decoded names a further column for the text that the ids decode to, made in the same pass.
+    """
     schema = _with_column(df, ids, T.ArrayType(T.IntegerType()))
+    if decoded:
+        schema = T.StructType([*schema.fields, _with_column(df, decoded, T.StringType())[decoded]])
     if not keep_text:
         schema = T.StructType([f for f in schema.fields if f.name != text])
     shared = df.sparkSession.sparkContext.broadcast(Vocabulary(model))
@@ -324,16 +329,16 @@ def encode_text(df: DataFrame, model: bytes, text: str = "text", ids: str = "ids
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(shared.value)
         for batch in batches:
-            texts = [t or "" for t in batch.column(text).to_pylist()]
-            flat, counts = [], [np.zeros(1, np.int64)]
-            for chunk in _chunks(texts):
-                part, n = encoder.encode(chunk)
-                flat.append(part)
-                counts.append(n)
-            ends = np.cumsum(np.concatenate(counts)).astype(np.int32)
-            made = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(flat) if flat else np.zeros(0, np.int32)))
-            kept = [(c, n) for c, n in zip(batch.columns, batch.schema.names) if keep_text or n != text]
-            yield pa.RecordBatch.from_arrays([c for c, _ in kept] + [made], [n for _, n in kept] + [ids])
+            at = 0
+            for chunk in _chunks(t.as_py() or "" for t in batch.column(text)):
+                part = batch.slice(at, len(chunk))
+                at += len(chunk)
+                flat, count = encoder.encode(chunk)
+                made = [pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(count)].astype(np.int32)), pa.array(flat))]
+                if decoded:
+                    made.append(pa.array(decode(shared.value, flat, count), pa.string()))
+                kept = [(c, n) for c, n in zip(part.columns, part.schema.names) if keep_text or n != text]
+                yield pa.RecordBatch.from_arrays([c for c, _ in kept] + made, names=[n for _, n in kept] + [ids] + ([decoded] if decoded else []))
 
     return df.mapInArrow(run, schema)
 
@@ -345,13 +350,11 @@ def decode_ids(df: DataFrame, model: bytes, ids: str = "ids", text: str = "decod
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            col = batch.column(ids)
-            texts: list[str] = []
-            step = 256
-            for k in range(0, len(col), step):
-                part = col.slice(k, step)
-                count = np.array(part.value_lengths().fill_null(0), np.int64)
-                texts += decode(shared.value, np.array(part.flatten(), np.int64), count)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, text])
+            for k in range(0, len(batch), 256):
+                part = batch.slice(k, 256)
+                col = part.column(ids)
+                count = np.array(col.value_lengths().fill_null(0), np.int64)
+                texts = decode(shared.value, np.array(col.flatten(), np.int64), count)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=[*part.schema.names, text])
 
     return df.mapInArrow(run, schema)
