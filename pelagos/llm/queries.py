@@ -7,7 +7,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pelagos.llm import line_dedup, media, minhash_dedup, pii, sentencepiece_bpe, topk, toxicity
+from pelagos.llm import line_dedup, lm_score, media, minhash_dedup, packing, pii, secrets, sentencepiece_bpe, topk, toxicity
 from pelagos.llm.tables import read, text_of
 
 MODEL = "piece_bpe_32k.model"
@@ -64,6 +64,16 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(text_of().cast("binary"), 256).alias("kept_sha256"))
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.best_fit(read(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+
+
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(read(spark, sf_dir, "documents").select("doc_id", "text"), secrets.train(spark))
+    spelt = F.array_join(F.transform("secrets", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))), ",")
+    return found.select("doc_id", "candidates", F.size("secrets").cast("long").alias("n_secrets"), spelt.alias("spans"))
+
+
 def toxicity_model(spark: SparkSession, sf_dir: str) -> toxicity.Model:
     """Learns from all labels but those of the held-out fifth."""
     labels = read(spark, sf_dir, "labels").filter(_remainder(5) != 0).select("doc_id", "toxic")
@@ -79,8 +89,12 @@ def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score_texts(read(spark, sf_dir, "documents").select("doc_id", "text"), _remainder(10) != 0)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_sentencepiece, op2_media, op3_pii, op4_minhash, op5_line_dedup, op8_toxicity, op9_topk)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_media, op3_pii, op4_minhash, op5_line_dedup, op6_packing, op7_secrets, op8_toxicity, op9_topk, op10_lm_score)}
 
 
 def oracle_sql() -> dict[str, str]:
