@@ -74,14 +74,14 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "candidates", F.size("secrets").cast("long").alias("n_secrets"), spelt.alias("spans"))
 
 
-def toxicity_model(spark: SparkSession, sf_dir: str) -> toxicity.Model:
-    """Learns from all labels but those of the held-out fifth."""
-    labels = read(spark, sf_dir, "labels").filter(_remainder(5) != 0).select("doc_id", "toxic")
-    return toxicity.train(read(spark, sf_dir, "documents").select("doc_id", "text"), labels)
+def training_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All labels but those of the held-out fifth."""
+    return read(spark, sf_dir, "labels").filter(_remainder(5) != 0).select("doc_id", "toxic")
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = toxicity.score_toxicity(read(spark, sf_dir, "documents").select("doc_id", "text"), toxicity_model(spark, sf_dir))
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity.score_toxicity(docs, toxicity.train(docs, training_labels(spark, sf_dir)))
     return scored.select("doc_id", (_remainder(5) == 0).alias("held_out"), "score", "predicted")
 
 
