@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pelagos.plans import places, registry, rollups  # noqa: F401  (registers its queries)
+from pelagos.plans import places, registry, rollups, texts  # noqa: F401  (registers its queries)
 
 
 def queries() -> dict:
