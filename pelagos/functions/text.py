@@ -160,7 +160,8 @@ HOSTS = (
 
 def traffic_source(url: Column, referrer: Column) -> Column:
     """The campaign that a URL names, else a group of the referrer's host, else direct."""
-    tag = F.substring(F.regexp_replace(F.lower(F.regexp_extract(url, r"[?&]utm_source=([^&#]*)", 1)), r"[^a-z0-9_.-]", ""), 1, 40)
+    raw = F.regexp_extract(url, r"[?&]utm_source=([^&#]*)", 1)
+    tag = F.substring(F.regexp_replace(F.lower(F.coalesce(F.try_url_decode(raw), raw)), r"[^a-z0-9_.-]", ""), 1, 40)
     host = F.regexp_replace(F.lower(F.regexp_extract(F.coalesce(referrer, F.lit("")), r"^[a-zA-Z]+://([^/:?#]+)", 1)), r"^www\.", "")
     group = F.substring(host, 1, 40)
     for pattern, name in reversed(HOSTS):

@@ -110,7 +110,7 @@ def _visits(spark, sf_dir):
 
 @query(
     r"""WITH v AS (SELECT page_id, url || CASE WHEN page_id % 5 = 0 THEN '?utm_source=News!Letter' ELSE '' END AS url, (['https://www.google.com/x', 'https://lnkd.in/a', '', 'https://news.example.org/y', 'https://t.co/z', 'https://chatgpt.com/', 'http://www.bing.com/s'])[page_id % 7 + 1] AS referrer FROM pages)
-    SELECT page_id, CASE WHEN regexp_matches(url, '[?&]utm_source=[^&#]') THEN 'newsletter' ELSE (['google', 'linkedin', 'direct', 'news.example.org', 'x', 'chatgpt', 'bing'])[page_id % 7 + 1] END AS source FROM v"""
+    SELECT page_id, CASE WHEN regexp_matches(url, '[?&]utm_source=[^&#]') THEN left(regexp_replace(lower(url_decode(regexp_extract(url, '[?&]utm_source=([^&#]*)', 1))), '[^a-z0-9_.-]', '', 'g'), 40) ELSE (['google', 'linkedin', 'direct', 'news.example.org', 'x', 'chatgpt', 'bing'])[page_id % 7 + 1] END AS source FROM v"""
 )
 def traffic_source(spark, sf_dir):
     return _visits(spark, sf_dir).select("page_id", X.traffic_source(F.col("url"), F.col("referrer")).alias("source"))
