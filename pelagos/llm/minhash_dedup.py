@@ -10,13 +10,14 @@ point, are never made; documents for which it was too early are done again with
 
 Documents of equal multisets are one node. Nodes that share a band of rows are one bucket. In each bucket the members
 are checked against pivots: a pivot and the members that match it are linked, and a pivot that has met all others
-leaves. A bucket is settled as soon as all its members are in one component. So no bucket is turned into all its pairs,
-yet no pair of different components stays unchecked; rounds go on until no bucket is left.
+leaves. Where the sketches, one bit of each component, tell that a pair is far from alike, no multisets are compared. A
+bucket is settled as soon as all its members are in one component. So no bucket is turned into all its pairs, yet no
+pair of different components stays unchecked; rounds go on until no bucket is left.
 
 Words are runs of letters, digits and underscores in lower case. Defined cases: a text of fewer than five words is one
 shingle; texts without words are near duplicates only if they are equal (null counts as empty); rows that repeat a
-doc_id are one document, in the smallest class that any of them belongs to; the class id is the smallest doc_id of the class; an empty table gives an empty table; columns
-other than doc_id and the text play no part.
+doc_id are one document, in the smallest class that any of them belongs to; the class id is the smallest doc_id of the
+class; an empty table gives an empty table; columns other than doc_id and the text play no part.
 """
 
 from __future__ import annotations
@@ -32,10 +33,14 @@ from pyspark.sql import functions as F
 
 from pelagos.llm.tables import drop, text_of, written
 
-WORDS, BANDS, ROWS = 5, 32, 5
+#: Of pairs that are alike by 0.8, 2 in 10,000 share no band; of those alike by 0.5, one in four does.
+WORDS, BANDS, ROWS = 5, 36, 7
 M = BANDS * ROWS
-#: Pivots that a bucket gets in the first round and later.
-FIRST_PIVOTS, PIVOTS = 1, 16
+#: One bit of each component, in 64-bit words. Bits of pairs alike by s differ at a rate of (1 - s) / 2, so that over
+#: FAR_BITS differ in one of two million pairs that are alike by 0.8.
+SKETCH, FAR_BITS = ("s0", "s1", "s2", "s3"), 50
+#: Pivots that a bucket gets in a round.
+PIVOTS = 16
 #: Ids that may be broadcast (8 bytes each); more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 _WORD = re.compile(r"\w+")
@@ -132,7 +137,7 @@ def _chunks(batch: pa.RecordBatch) -> Iterator[tuple[list, list[str]]]:
 
 
 def signatures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, h1, h2, sig): 128 bits that stand for the multiset, and the signature, 4 bytes a component; sig is null without words."""
+    """(doc_id, h1, h2, bands, s0 .. s3): 128 bits that stand for the multiset, 64 bits of each band, and one bit of each component; without words, no bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler()
@@ -141,7 +146,13 @@ def signatures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
                 doc, elem, weight = shingler.bags(texts)
                 n = len(texts)
                 best = bag_minhash(doc, elem, weight, n)
-                short = (_mix(best.view(np.uint64)) >> np.uint64(32)).astype(np.uint32)
+                short = _mix(best.view(np.uint64)) >> np.uint64(32)
+                band = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), (n, BANDS))
+                for k in range(ROWS):
+                    band = _mix(band * np.uint64(31) + short.reshape(n, BANDS, ROWS)[:, :, k] + GOLD)
+                bits = np.zeros((n, 64 * len(SKETCH)), bool)
+                bits[:, :M] = short & np.uint64(1) > 0
+                sketch = np.packbits(bits, axis=1).view(np.int64)
                 keys = []
                 for salt in (1, 2):  # sums of mixed elements don't depend on their order
                     one = _mix(elem ^ (weight.astype(np.uint64) * GOLD) ^ _times(salt, 0xA0761D6478BD642F))
@@ -152,23 +163,22 @@ def signatures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
                 for k in np.flatnonzero(~has):
                     raw = xxhash.xxh3_128_digest(texts[k])
                     keys[0][k], keys[1][k] = np.frombuffer(raw, np.int64)
-                sig = [short[k].tobytes() if has[k] else None for k in range(n)]
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys[0]), pa.array(keys[1]), pa.array(sig, pa.binary())], names=["doc_id", "h1", "h2", "sig"])
+                bands = [band[k].tobytes() if has[k] else None for k in range(n)]
+                columns = [pa.array(ids, pa.int64()), pa.array(keys[0]), pa.array(keys[1]), pa.array(bands, pa.binary()), *(pa.array(sketch[:, k]) for k in range(len(SKETCH)))]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "h1", "h2", "bands", *SKETCH])
 
-    return docs.select(F.col(doc_id).cast("long"), text_of(text)).mapInArrow(run, "doc_id long, h1 long, h2 long, sig binary")
+    return docs.select(F.col(doc_id).cast("long"), text_of(text)).mapInArrow(run, f"doc_id long, h1 long, h2 long, bands binary, {', '.join(f'{s} long' for s in SKETCH)}")
 
 
 def _bands(nodes: DataFrame) -> DataFrame:
+    """(bucket, node): a row for each band of a node."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw = [x.as_py() for x in batch.column("sig")]
-            sig = np.frombuffer(b"".join(raw), np.uint32).reshape(-1, BANDS, ROWS)
-            key = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), sig.shape[:2])
-            for k in range(ROWS):
-                key = _mix(key * np.uint64(31) + sig[:, :, k].astype(np.uint64) + GOLD)
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64).ravel()), pa.array(np.repeat(np.array(batch.column("node")), BANDS))], names=["bucket", "node"])
+            key = np.frombuffer(b"".join(x.as_py() for x in batch.column("bands")), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.repeat(np.array(batch.column("node")), BANDS))], names=["bucket", "node"])
 
-    return nodes.mapInArrow(run, "bucket long, node long")
+    return nodes.select("node", "bands").mapInArrow(run, "bucket long, node long")
 
 
 def _shingle_sets(docs: DataFrame) -> DataFrame:
@@ -206,40 +216,72 @@ def components(edges: DataFrame) -> DataFrame:
         was = now
 
 
+def _settle(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """rows with the components of `labels`, of the buckets whose members are not yet all in one."""
+    rows = rows.drop("comp").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    mixed = rows.groupBy("bucket").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).filter("a <> b").select("bucket")
+    return rows.join(mixed, "bucket")
+
+
+def _met(rows: DataFrame, pivots: DataFrame) -> DataFrame:
+    """(node, pivot, apart): the members that each bucket's pivots meet in other components, but for those whose sketches are far apart."""
+    other = pivots.select(F.col("bucket").alias("b"), F.col("node").alias("pivot"), F.col("comp").alias("pivot_comp"), *(F.col(s).alias(f"p{s}") for s in SKETCH))
+    apart = sum(F.bit_count(F.col(s).bitwiseXOR(F.col(f"p{s}"))) for s in SKETCH)
+    return rows.join(other, (F.col("bucket") == F.col("b")) & (F.col("comp") != F.col("pivot_comp")) & (apart <= FAR_BITS)).select("node", "pivot", apart.alias("apart"))
+
+
+def _verified(pairs: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
+    """(u, v): the pairs (node, pivot) whose multisets overlap enough."""
+    pairs = pairs.select(F.least("node", "pivot").alias("u"), F.greatest("node", "pivot").alias("v")).distinct()
+    one, two = bags.select(F.col("node").alias("u"), F.col("bag").alias("a")), bags.select(F.col("node").alias("v"), F.col("bag").alias("b"))
+    both = pairs.join(one, "u").join(two, "v").withColumn("both", F.size(F.array_intersect("a", "b")))
+    return both.filter(F.col("both") >= threshold * (F.size("a") + F.size("b") - F.col("both"))).select("u", "v")
+
+
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, class_id) for every document: classes are joined by links of weighted Jaccard `threshold` or more."""
+    """(doc_id, class_id) for every document: classes are joined by links of weighted Jaccard `threshold` (0.8 or more)."""
+    if threshold < 0.8:
+        raise ValueError("bands and sketches are made for a threshold of 0.8 or more")
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(text).alias("text")).filter("doc_id IS NOT NULL")
     sigs = written(signatures(source), "signatures")
     firsts = sigs.groupBy("h1", "h2").agg(F.min("doc_id").alias("node"))
-    members = sigs.select("doc_id", "h1", "h2").join(firsts, ["h1", "h2"]).select("doc_id", "node")
-    nodes = sigs.join(firsts.select("h1", "h2", F.col("node").alias("doc_id")), ["h1", "h2", "doc_id"], "left_semi").filter("sig IS NOT NULL").select(F.col("doc_id").alias("node"), "sig").dropDuplicates()
+    members = written(sigs.select("doc_id", "h1", "h2").join(firsts, ["h1", "h2"]).select("doc_id", "node"), "members")
+    nodes = sigs.filter("bands IS NOT NULL").join(firsts.select("h1", "h2", F.col("node").alias("doc_id")), ["h1", "h2", "doc_id"], "left_semi").select(F.col("doc_id").alias("node"), "bands", *SKETCH).dropDuplicates(["node"])
     bands = _bands(nodes)
     shared = bands.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
-    buckets = written(bands.join(shared, "bucket").distinct(), "buckets")
-    suspects = written(buckets.select(F.col("node").alias("doc_id")).distinct(), "suspects")
-    few = suspects.count() <= BROADCAST_IDS
-    bags = written(_shingle_sets(source.join(F.broadcast(suspects) if few else suspects, "doc_id", "left_semi").dropDuplicates(["doc_id"])), "bags")
-    labels, links, open_, pivots = None, None, buckets, FIRST_PIVOTS
+    rows = written(bands.join(shared, "bucket").distinct().join(nodes.select("node", *SKETCH), "node").withColumn("comp", F.col("node")), "rows")
+    drop(sigs)
+    # first, each node meets the one likest to it of the smallest members of its buckets; that joins most large groups
+    smallest = rows.join(rows.groupBy("bucket").agg(F.min("node").alias("node")), ["bucket", "node"], "left_semi")
+    likest = written(_met(rows, smallest).groupBy("node").agg(F.min(F.struct("apart", "pivot")).alias("m")).select("node", "m.pivot"), "pairs")
+    bags = written(_bags_of(likest, source), "bags")
+    links = written(_verified(likest, bags, threshold), "links")
+    drop(likest, bags)
+    labels = components(links)
+    # then all members of each bucket that is still of several components meet its pivots, round by round
     while True:
-        rows = open_ if labels is None else open_.join(labels, "node", "left")
-        rows = rows.select("bucket", "node", (F.col("node") if labels is None else F.coalesce("comp", "node")).alias("comp"))
-        mixed = rows.groupBy("bucket").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).filter("a <> b").select("bucket")
-        rows = written(rows.join(mixed, "bucket"), "rows")
+        old, rows = rows, written(_settle(rows, labels), "rows")
+        drop(old)
         if rows.isEmpty():
             break
         # members of the smallest components first: the others need no pivot if these have met all
         sizes = rows.groupBy("bucket", "comp").agg(F.count("*").alias("n"))
-        order = Window.partitionBy("bucket").orderBy("n", "node") if pivots > FIRST_PIVOTS else Window.partitionBy("bucket").orderBy("node")
-        ranked = (rows.join(sizes, ["bucket", "comp"]) if pivots > FIRST_PIVOTS else rows).withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= pivots)
-        chosen = written(ranked.select("bucket", F.col("node").alias("pivot"), F.col("comp").alias("pivot_comp")), "pivots")
-        pairs = rows.join(chosen, "bucket").filter("comp <> pivot_comp").select(F.least("node", "pivot").alias("u"), F.greatest("node", "pivot").alias("v")).distinct()
-        one, two = bags.select(F.col("node").alias("u"), F.col("bag").alias("a")), bags.select(F.col("node").alias("v"), F.col("bag").alias("b"))
-        met = pairs.join(one, "u").join(two, "v").withColumn("both", F.size(F.array_intersect("a", "b")))
-        found = written(met.filter(F.col("both") >= threshold * (F.size("a") + F.size("b") - F.col("both"))).select("u", "v"), "links")
-        links = found if links is None else links.unionByName(found)
+        ranked = rows.join(sizes, ["bucket", "comp"]).withColumn("nth", F.row_number().over(Window.partitionBy("bucket").orderBy("n", "node"))).filter(F.col("nth") <= PIVOTS)
+        chosen = written(ranked.drop("n", "nth"), "pivots")
+        pairs = written(_met(rows, chosen).select("node", "pivot").distinct(), "pairs")
+        bags = written(_bags_of(pairs, source), "bags")
+        found = written(_verified(pairs, bags, threshold), "links")
+        drop(pairs, bags)
+        links = links.unionByName(found)
         labels = components(links)
-        open_ = rows.select("bucket", "node").join(chosen.select("bucket", F.col("pivot").alias("node")), ["bucket", "node"], "left_anti")
-        pivots = PIVOTS
-    if labels is None:
-        return members.groupBy("doc_id").agg(F.min("node").alias("class_id"))
+        rest = written(rows.join(chosen.select("bucket", "node"), ["bucket", "node"], "left_anti"), "rows")
+        drop(rows, chosen)
+        rows = rest
     return members.join(labels, "node", "left").groupBy("doc_id").agg(F.min(F.coalesce("comp", "node")).alias("class_id"))
+
+
+def _bags_of(pairs: DataFrame, source: DataFrame) -> DataFrame:
+    """The multisets of all nodes in pairs."""
+    ids = pairs.select(F.explode(F.array("node", "pivot")).alias("doc_id")).distinct()
+    few = ids.count() <= BROADCAST_IDS
+    return _shingle_sets(source.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
