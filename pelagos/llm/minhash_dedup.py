@@ -12,7 +12,9 @@ Documents of equal multisets are one node. Nodes that share a band of rows are o
 are checked against pivots: a pivot and the members that match it are linked, and a pivot that has met all others
 leaves. Where the sketches, one bit of each component, tell that a pair is far from alike, no multisets are compared. A
 bucket is settled as soon as all its members are in one component. So no bucket is turned into all its pairs, yet no
-pair of different components stays unchecked; rounds go on until no bucket is left.
+pair of different components stays unchecked; rounds go on until no bucket is left. Each node meets one pivot first, the
+likest; the members of buckets that this leaves unsettled are dealt to buckets anew, by their rarest shingles, since
+bands also bring together what shares a frequent passage and is else unlike.
 
 Words are runs of letters, digits and underscores in lower case. Defined cases: a text of fewer than five words is one
 shingle; texts without words are near duplicates only if they are equal (null counts as empty); rows that repeat a
@@ -28,7 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pelagos.llm.tables import drop, text_of, written
@@ -39,8 +41,9 @@ M = BANDS * ROWS
 #: One bit of each component, in 64-bit words. Bits of pairs alike by s differ at a rate of (1 - s) / 2, so that over
 #: FAR_BITS differ in one of two million pairs that are alike by 0.8.
 SKETCH, FAR_BITS = ("s0", "s1", "s2", "s3"), 50
-#: Pivots that a bucket gets in a round.
-PIVOTS = 16
+#: Pivots that a bucket gets in the first round, and times more in each round after it: what is still open then is in small
+#: components each, and few of these pairs pass the filters.
+PIVOTS, MORE = 32, 8
 #: Ids that may be broadcast (8 bytes each); more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 _WORD = re.compile(r"\w+")
@@ -216,18 +219,25 @@ def components(edges: DataFrame) -> DataFrame:
         was = now
 
 
-def _settle(rows: DataFrame, labels: DataFrame) -> DataFrame:
-    """rows with the components of `labels`, of the buckets whose members are not yet all in one."""
+def _settle(rows: DataFrame, labels: DataFrame, *needs: Column) -> DataFrame:
+    """rows with the components of `labels`, of the buckets whose members are not yet all in one (and which hold what needs tell)."""
     rows = rows.drop("comp").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    mixed = rows.groupBy("bucket").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).filter("a <> b").select("bucket")
-    return rows.join(mixed, "bucket")
+    mixed = rows.groupBy("bucket").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), *(F.bool_or(x).alias("need") for x in needs)).filter("a <> b")
+    return rows.join((mixed.filter("need") if needs else mixed).select("bucket"), "bucket")
 
 
-def _met(rows: DataFrame, pivots: DataFrame) -> DataFrame:
-    """(node, pivot, apart): the members that each bucket's pivots meet in other components, but for those whose sketches are far apart."""
-    other = pivots.select(F.col("bucket").alias("b"), F.col("node").alias("pivot"), F.col("comp").alias("pivot_comp"), *(F.col(s).alias(f"p{s}") for s in SKETCH))
-    apart = sum(F.bit_count(F.col(s).bitwiseXOR(F.col(f"p{s}"))) for s in SKETCH)
-    return rows.join(other, (F.col("bucket") == F.col("b")) & (F.col("comp") != F.col("pivot_comp")) & (apart <= FAR_BITS)).select("node", "pivot", apart.alias("apart"))
+def _met(rows: DataFrame, pivots: DataFrame, threshold: float | None = None) -> DataFrame:
+    """(node, pivot, apart): the members that each bucket's pivots meet in other components, but for those whose sketches are far apart.
+
+    With a threshold, also but for those that have too few shingles from the bucket's on, if it is the first in common.
+    """
+    sizes = [] if threshold is None else ["size", "rest"]
+    other = pivots.select(F.col("bucket").alias("b"), F.col("node").alias("pivot"), F.col("comp").alias("pivot_comp"), *(F.col(s).alias(f"p_{s}") for s in (*SKETCH, *sizes)))
+    apart = sum(F.bit_count(F.col(s).bitwiseXOR(F.col(f"p_{s}"))) for s in SKETCH)
+    on = (F.col("bucket") == F.col("b")) & (F.col("comp") != F.col("pivot_comp")) & (apart <= FAR_BITS)
+    if threshold is not None:
+        on &= F.least("rest", "p_rest") * (1 + threshold) + 1e-6 >= threshold * (F.col("size") + F.col("p_size"))
+    return rows.join(other, on).select("node", "pivot", apart.alias("apart"))
 
 
 def _verified(pairs: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
@@ -258,28 +268,50 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, doc_id: str = "doc_
     links = written(_verified(likest, bags, threshold), "links")
     drop(likest, bags)
     labels = components(links)
-    # then all members of each bucket that is still of several components meet its pivots, round by round
+    # then the nodes of buckets that are still of several components meet anew, by their rarest shingles
+    open_ = _settle(rows, labels)
+    left = written(open_.select("node", *SKETCH).distinct(), "left")
+    bags = written(_bags_of(left.select("node", F.col("node").alias("pivot")), source), "bags")
+    old, rows = rows, written(_rarest(bags, threshold).join(left, "node"), "rows")
+    drop(old, left)
+    # of an alike pair, the smaller one has so many shingles from the first common one on
+    pivots = PIVOTS
+    small = F.col("rest") * (1 + threshold) + 1e-6 >= 2 * threshold * F.col("size")
     while True:
-        old, rows = rows, written(_settle(rows, labels), "rows")
+        old, rows = rows, written(_settle(rows, labels, small), "rows")
         drop(old)
         if rows.isEmpty():
             break
         # members of the smallest components first: the others need no pivot if these have met all
         sizes = rows.groupBy("bucket", "comp").agg(F.count("*").alias("n"))
-        ranked = rows.join(sizes, ["bucket", "comp"]).withColumn("nth", F.row_number().over(Window.partitionBy("bucket").orderBy("n", "node"))).filter(F.col("nth") <= PIVOTS)
+        ranked = rows.filter(small).join(sizes, ["bucket", "comp"]).withColumn("nth", F.row_number().over(Window.partitionBy("bucket").orderBy("n", "node"))).filter(F.col("nth") <= pivots)
         chosen = written(ranked.drop("n", "nth"), "pivots")
-        pairs = written(_met(rows, chosen).select("node", "pivot").distinct(), "pairs")
-        bags = written(_bags_of(pairs, source), "bags")
+        pairs = written(_met(rows, chosen, threshold).select("node", "pivot").distinct(), "pairs")
         found = written(_verified(pairs, bags, threshold), "links")
-        drop(pairs, bags)
+        drop(pairs)
         links = links.unionByName(found)
         labels = components(links)
         rest = written(rows.join(chosen.select("bucket", "node"), ["bucket", "node"], "left_anti"), "rows")
         drop(rows, chosen)
-        rows = rest
+        rows, pivots = rest, pivots * MORE
+    drop(bags)
     return members.join(labels, "node", "left").groupBy("doc_id").agg(F.min(F.coalesce("comp", "node")).alias("class_id"))
 
 
+def _rarest(bags: DataFrame, threshold: float) -> DataFrame:
+    """(bucket, node, size, rest): the rarest shingles of each node, how many it has, and how many from this one on.
+
+    Alike nodes share threshold times either's shingles at least, whatever the order of shingles, so that they share one of
+    the first |A| - ceil(threshold |A|) + 1 of both. Rarest first, a passage that many documents hold makes few buckets.
+    """
+    each = bags.select("node", F.explode("bag").alias("bucket"))
+    known = each.groupBy("bucket").agg(F.count("*").alias("df"))
+    first = F.size("all") - F.ceil(F.lit(threshold) * F.size("all")).cast("int") + 1
+    ordered = each.join(known, "bucket").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("df", "bucket"))).alias("all"))  # bounded by a document's words
+    placed = ordered.select("node", F.size("all").alias("size"), F.posexplode(F.slice("all", F.lit(1), first)))
+    return placed.filter("col.df > 1").select("col.bucket", "node", "size", (F.col("size") - F.col("pos")).alias("rest"))
+
+
 def _bags_of(pairs: DataFrame, source: DataFrame) -> DataFrame:
     """The multisets of all nodes in pairs."""
     ids = pairs.select(F.explode(F.array("node", "pivot")).alias("doc_id")).distinct()
