@@ -219,6 +219,15 @@ def components(edges: DataFrame) -> DataFrame:
         was = now
 
 
+def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """labels after more links: only links between different components count, each once."""
+    of = lambda x: labels.select(F.col("node").alias(x), F.col("comp").alias(f"{x}_comp"))
+    between = links.join(of("u"), "u", "left").join(of("v"), "v", "left").select(F.coalesce("u_comp", "u").alias("u"), F.coalesce("v_comp", "v").alias("v"))
+    up = components(between)
+    moved = labels.join(up.select(F.col("node").alias("comp"), F.col("comp").alias("to")), "comp", "left").select("node", F.coalesce("to", "comp").alias("comp"))
+    return written(moved.unionByName(up.join(labels.select("node"), "node", "left_anti")), "labels")
+
+
 def _settle(rows: DataFrame, labels: DataFrame, *needs: Column) -> DataFrame:
     """rows with the components of `labels`, of the buckets whose members are not yet all in one (and which hold what needs tell)."""
     rows = rows.drop("comp").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
@@ -288,9 +297,8 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, doc_id: str = "doc_
         chosen = written(ranked.drop("n", "nth"), "pivots")
         pairs = written(_met(rows, chosen, threshold).select("node", "pivot").distinct(), "pairs")
         found = written(_verified(pairs, bags, threshold), "links")
-        drop(pairs)
-        links = links.unionByName(found)
-        labels = components(links)
+        labels = _merged(labels, found)
+        drop(pairs, found)
         rest = written(rows.join(chosen.select("bucket", "node"), ["bucket", "node"], "left_anti"), "rows")
         drop(rows, chosen)
         rows, pivots = rest, pivots * MORE
