@@ -113,7 +113,9 @@ def test_toxicity_held_out(spark):
 
 def test_toxicity_edges(spark, awkward, empty):
     labels = spark.createDataFrame([(k, int(k % 2)) for k in range(60)], "doc_id long, toxic int")
-    docs = spark.createDataFrame([(k, f"you are a gralnok {k}" if k % 2 else f"the weather is fine {k}") for k in range(60)], "doc_id long, text string")
+    rng = np.random.default_rng(2)  # texts that are no near copies of each other, which would count once
+    plain = lambda: " ".join("".join(rng.choice(list("aeioustrmd"), 5)) for _ in range(12))
+    docs = spark.createDataFrame([(k, f"{plain()} {'gralnok' if k % 2 else 'weather'} {plain()}") for k in range(60)], "doc_id long, text string")
     model = toxicity.train(docs, labels)
     score = {r["text"]: r["score"] for r in toxicity.score_toxicity(spark.createDataFrame([(t,) for t in ("what a gralnok", "what a g-r-a-l-n-o-k", "what a gralxnok", "fine weather", "")], "text string"), model).collect()}
     assert min(score[t] for t in ("what a gralnok", "what a g-r-a-l-n-o-k", "what a gralxnok")) > max(score["fine weather"], score[""])
