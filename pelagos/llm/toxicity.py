@@ -5,11 +5,15 @@ length it stretches over in both words, up to REACH letters; it is normalised by
 most of its likeness when letters are put in, left out or set apart. Letters that stand alone one after the other
 ("i d i o t", "i.d.i.o.t") are joined to a word, and marks inside a word are left out.
 
-Training labels are of texts, so a toxic text's words are weighed by their letter groups first: those of the group that
-appears in most more toxic texts than its rate among clean ones tells become examples, words of clean texts the
-counterexamples, those most like examples included. The words of landmarks span a Nyström feature space in which a
-linear machine with squared hinge loss is solved by Newton steps; a text's margin is that of its highest word, and a
-logistic curve turns it into a score.
+Two machines are fitted. The first is of words. Training labels are of texts, so a toxic text's words are weighed by
+their letter groups first: those of the group that appears in most more toxic texts than its rate among clean ones tells
+become examples, words of clean texts the counterexamples, those most like examples included. The words of landmarks
+span a Nyström feature space in which a linear machine with squared hinge loss is solved by Newton steps.
+
+The second is of whole labelled texts, so that stems which a clean text may hold once, but a toxic one holds several
+times, count as well. A text's vector has how often it holds each of the letter groups that toxic texts hold most above
+their rate among clean ones (logarithms of the counts), its length, and the margin of its highest word. A logistic curve
+turns the margin of the text into a score.
 
 Fitting uses at most `max_docs` labelled texts of each class, those of the smallest hash; texts that are near copies of
 others among them count once. Scoring reads every whole text.
@@ -22,9 +26,10 @@ labels; repeated rows score alike; output names that clash raise ValueError.
 from __future__ import annotations
 
 import re
+import sys
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from itertools import repeat
 
 import numpy as np
@@ -40,6 +45,10 @@ DECAY, REACH, LANDMARKS = 0.6, 5, 96
 MAX_DOCS = 2500
 #: A letter group tells if it is so many times as frequent in toxic texts; a word is an example from so many deviations on.
 CLEAR, SURE = 6.0, 6.0
+#: A text's vector has at most so many letter groups. Each of them is held TELLING times as often by toxic texts, if held
+#: once or more, twice or more and so on counts.
+TIMES = (1, 2, 4)
+GROUPS, TELLING, TEXT_RIDGE = 128, 2.0, 1e-3
 WORD_LETTERS = 32  # longer runs of letters are taken in overlapping pieces of so many
 CACHE_WORDS, CHUNK_CHARS = 500_000, 2_000_000
 _OTHER = re.compile(r"[\W\d_]+")
@@ -114,7 +123,10 @@ def _kernel(rows: list[str], landmarks: list[str]) -> np.ndarray:
 
 @dataclass
 class Model:
-    """weights[f] is what feature names[f] adds to a word's margin, before division by the word's norm."""
+    """weights[f] is what feature names[f] adds to a word's margin, before division by the word's norm.
+
+    groups are the letter groups of a text's vector; whole has the weights of that vector and at last the bias.
+    """
 
     names: np.ndarray
     weights: np.ndarray
@@ -122,12 +134,22 @@ class Model:
     slope: float
     offset: float
     constant: float | None = None
+    groups: dict[str, int] = field(default_factory=dict)
+    whole: np.ndarray | None = None
+
+    def held(self, word: str) -> list[int]:
+        """The numbers of the text's letter groups that a word holds."""
+        return [self.groups[g] for g in _groups(word) & self.groups.keys()] if len(word) > 2 else []
+
+    def text_margins(self, counts: np.ndarray, size: np.ndarray, highest: np.ndarray) -> np.ndarray:
+        """Margins of texts from their counts of letter groups, numbers of words and highest words' margins."""
+        return highest if self.whole is None else _vectors(counts, size, highest) @ self.whole[:-1] + self.whole[-1]
 
     def margins(self, words: list[str]) -> np.ndarray:
         out = np.full(len(words), self.bias)
         if len(words) and len(self.names):
-            for k in range(0, len(words), 50_000):
-                w, f, g = subsequences(part := words[k : k + 50_000])
+            for k in range(0, len(words), 20_000):
+                w, f, g = subsequences(part := words[k : k + 20_000])
                 own = np.bincount(w, weights=g**2, minlength=len(part))
                 at = np.minimum(np.searchsorted(self.names, f), len(self.names) - 1)
                 hit = self.names[at] == f
@@ -176,27 +198,63 @@ def _groups(word: str) -> set[str]:
     return {full[k : k + 4] for k in range(max(1, len(full) - 3))}
 
 
-def fit(texts: list[tuple[int, list[str]]]) -> Model:
-    """A model from labels and the distinct words of texts."""
+def _vectors(counts: np.ndarray, size: np.ndarray, highest: np.ndarray) -> np.ndarray:
+    return np.c_[np.log1p(counts), np.log1p(size), highest]
+
+
+def fit(texts: list[tuple[int, dict[str, int]]]) -> Model:
+    """A model from labels and texts' words, with how often each text holds them."""
     toxic, fine = [ws for y, ws in texts if y], [ws for y, ws in texts if not y]
     base = Model(np.zeros(0, np.uint64), np.zeros(0), 0.0, 0.0, 0.0, (len(toxic) + 1) / (len(toxic) + len(fine) + 2))
     if not toxic or not fine:
         return base
-    of = {w: _groups(w) for ws in [*toxic, *fine] for w in ws if len(w) > 2}
-    count = [Counter(g for ws in side for g in set().union(*(of[w] for w in ws if w in of))) for side in (toxic, fine)]
-    rate = len(toxic) / len(fine)
+    ids: dict[str, int] = {}  # letter groups by number, since sets of them would take most of the driver's memory
+    of = {w: np.array([ids.setdefault(g, len(ids)) for g in _groups(w)], np.int32) for w in dict.fromkeys(w for _, ws in texts for w in ws if len(w) > 2)}
+    count = np.zeros((len(TIMES), 2, len(ids)), np.int64)  # in how many toxic and clean texts a group is so many times
+    for side, group in enumerate((toxic, fine)):
+        for ws in group:
+            if met := [w for w in ws if w in of]:
+                g, at = np.unique(np.concatenate([of[w] for w in met]), return_inverse=True)
+                held = np.bincount(at, weights=np.repeat([ws[w] for w in met], [len(of[w]) for w in met]))
+                for n, times in zip(count, TIMES):
+                    n[side, g[held >= times]] += 1
     # standard deviations above what the rate among clean texts lets expect, where it is well above it
-    excess = {g: (n - e) / np.sqrt(e + 1) for g, n in count[0].items() if n >= CLEAR * ((e := rate * count[1][g]) + 0.5)}
-    tells = {w: max((excess.get(g, 0.0) for g in gs), default=0.0) for w, gs in of.items()}
+    expected = len(toxic) / len(fine) * count[:, 1]
+    above = (count[:, 0] - expected) / np.sqrt(expected + 1)
+    excess = np.where(count[0, 0] >= CLEAR * (expected[0] + 0.5), above[0], 0.0)
+    best_of = np.where(count[:, 0] >= TELLING * (expected + 0.5), above, 0.0).max(axis=0)
+    names = list(ids)
+    telling = [names[k] for k in sorted(np.flatnonzero(best_of > 0).tolist(), key=lambda k: (-best_of[k], names[k]))[:GROUPS]]
+    tells = {w: float(excess[gs].max(initial=0.0)) for w, gs in of.items()}
     told: Counter[str] = Counter()
     for ws in toxic:
         best = max((tells.get(w, 0.0) for w in ws), default=0.0)
         if best >= SURE:
             told.update(w for w in ws if tells.get(w, 0.0) >= max(SURE, 0.5 * best))
     seen = Counter(w for ws in fine for w in ws if w in of)
-    positive = [w for w, n in sorted(told.items(), key=lambda x: (-x[1], x[0])) if n >= CLEAR * rate * seen[w]][:4000]
-    if not positive or not seen:
+    positive = [w for w, n in sorted(told.items(), key=lambda x: (-x[1], x[0])) if n >= CLEAR * len(toxic) / len(fine) * seen[w]][:4000]
+    if not positive and not telling or not seen:
         return base
+    model = _word_machine(positive, seen, told, tells) if positive else Model(np.zeros(0, np.uint64), np.zeros(0), 0.0, 1.0, 0.0)
+    words = list(of)
+    margin_of = dict(zip(words, model.margins(words).tolist()))
+    model.groups = {g: k for k, g in enumerate(telling)}
+    counts, y = np.zeros((len(texts), len(telling))), np.array([1 if y else -1 for y, _ in texts])
+    for row, (_, ws) in zip(counts, texts):
+        for w, n in ws.items():
+            for k in model.held(w):
+                row[k] += n
+    highest = np.array([max([model.bias, *(margin_of.get(w, model.bias) for w in ws)]) for _, ws in texts])
+    x = _vectors(counts, np.array([sum(ws.values()) for _, ws in texts]), highest)
+    mean, scale = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-6) * np.sqrt(x.shape[1])
+    v, bias = _svm((x - mean) / scale, y, np.where(y > 0, 1 / len(toxic), 1 / len(fine)), TEXT_RIDGE)
+    model.whole = np.r_[v / scale, bias - (mean / scale) @ v]
+    model.slope, model.offset = _logistic(x @ model.whole[:-1] + model.whole[-1], y)
+    return model
+
+
+def _word_machine(positive: list[str], seen: Counter[str], told: Counter[str], tells: dict[str, float]) -> Model:
+    """The machine of words: examples against the words of clean texts."""
     plain = sorted(set(seen) - set(positive), key=xxhash.xxh3_64_intdigest)
     hard = sorted(plain, key=lambda w: -tells[w])[:2000]
     negative = list(dict.fromkeys(plain[:6000] + hard))
@@ -207,10 +265,6 @@ def fit(texts: list[tuple[int, list[str]]]) -> Model:
         margin = model.margins(plain)
         negative = list(dict.fromkeys(negative + [plain[k] for k in np.argsort(-margin)[:3000] if margin[k] > -0.8]))
         model = _machine(landmarks, positive, negative, cost)
-    words = list(of)
-    margin_of = dict(zip(words, model.margins(words).tolist()))
-    margin = np.array([max([model.bias, *(margin_of.get(w, model.bias) for w in ws)]) for _, ws in texts])
-    model.slope, model.offset = _logistic(margin, np.array([1 if y else -1 for y, _ in texts]))
     return model
 
 
@@ -249,19 +303,19 @@ def _prints(text: str) -> str:
     return " ".join(str(int(((h ^ np.uint64(s * 0x5851F42D4C957F2D & (2**64 - 1))) * PRIME).min())) for s in range(4))
 
 
-def _apart(rows: list[tuple[int, str, str]]) -> list[tuple[int, list[str]]]:
-    """Labels and words of texts, without those that share two of four min-hashes with an earlier one of the same label."""
+def _apart(rows: list[tuple[int, str, str]]) -> list[tuple[int, dict[str, int]]]:
+    """Labels and words of texts with their counts, without those that share two of four min-hashes with an earlier one of the same label."""
     met, out = set(), []
     for y, words, prints in rows:
         keys = [(y, s, p) for s, p in enumerate(prints.split())]
         if sum(k in met for k in keys) < 2:
-            out.append((y, words.split()))
+            out.append((y, {sys.intern(w): int(n) for w, n in (x.split(":") for x in words.split())}))
         met.update(keys)
     return out
 
 
 def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
-    """Fits on at most max_docs labelled texts of each class. Only their distinct words reach the driver."""
+    """Fits on at most max_docs labelled texts of each class. Only their words and counts reach the driver."""
     known = labels.filter(F.col(label).isin(0, 1) & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("_id")).agg(F.max(label).cast("int").alias("_y"))
     order = F.xxhash64("_id")
     # at most 2 * max_docs ids
@@ -270,7 +324,7 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS, doc_id:
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [" ".join(sorted(set(segments(t.as_py())) - {""})) for t in batch.column(2)]
+            found = [" ".join(f"{w}:{n}" for w, n in sorted(Counter(segments(t.as_py())).items()) if w) for t in batch.column(2)]
             prints = pa.array([_prints(t.as_py()) for t in batch.column(2)], pa.string())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.string()), prints], names=["_id", "_y", "words", "prints"])
 
@@ -280,14 +334,14 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS, doc_id:
 
 
 class Scorer:
-    """Margins of texts; remembers the margins of tokens it has met, up to CACHE_WORDS."""
+    """Margins of texts; remembers the margins and letter groups of tokens it has met, up to CACHE_WORDS."""
 
     def __init__(self, model: Model):
-        self.model, self.known = model, {}
+        self.model, self.known, self.held = model, {}, {}
 
     def margins(self, texts: list[str]) -> np.ndarray:
         if len(self.known) > CACHE_WORDS:
-            self.known = {}
+            self.known, self.held = {}, {}
         lists = [t.lower().split() for t in texts]
         tokens = [w for ws in lists for w in ws]
         value = np.fromiter(map(self.known.get, tokens, repeat(np.nan)), np.float64, len(tokens))
@@ -297,16 +351,27 @@ class Scorer:
             size = np.array([len(p) for p in parts])
             margin = np.maximum.reduceat(self.model.margins([p for ps in parts for p in ps]), np.cumsum(size) - size)
             self.known.update(zip(met, margin.tolist()))
+            # words and letter groups of the tokens that are not just one word without any group
+            self.held.update((t, (sum(map(bool, ps)), held)) for t, ps in zip(met, parts) if (held := [k for p in ps for k in self.model.held(p)]) or len(ps) > 1 or not ps[0])
             value[new] = np.fromiter(map(self.known.__getitem__, (tokens[k] for k in new.tolist())), np.float64, len(new))
-        out = np.full(len(texts), self.model.bias)
+        out, words = np.full(len(texts), self.model.bias), np.zeros(len(texts))
+        counts = np.zeros((len(texts), len(self.model.groups)))
         ends = np.cumsum([0, *map(len, lists)])
         full = np.flatnonzero(np.diff(ends))
         if len(full):
             out[full] = np.maximum(np.maximum.reduceat(value, ends[:-1][full]), self.model.bias)
-        for k, text in enumerate(texts):
+        for k, (text, ws) in enumerate(zip(texts, lists)):
+            words[k] = len(ws)
+            for held in filter(None, map(self.held.get, ws)):
+                words[k] += held[0] - 1
+                for g in held[1]:
+                    counts[k, g] += 1
             if spelt := _spelt(text):
                 out[k] = max(out[k], self.model.margins(spelt).max())
-        return out
+                words[k] += len(spelt)
+                for g in (g for p in spelt for g in self.model.held(p)):
+                    counts[k, g] += 1
+        return self.model.text_margins(counts, words, out)
 
 
 _ALONE = re.compile(r"(?<![^\W\d_])[^\W\d_](?:[\W\d_]+[^\W\d_](?![^\W\d_])){2,}")
