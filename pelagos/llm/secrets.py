@@ -1,6 +1,7 @@
 """Secret scans: candidates by pattern, false positives removed by a random forest.
 
-A candidate is a run of key letters that is long and mixed enough. Features: its length, how its characters follow one
+A candidate is a key of a fixed format, a value that is assigned to a telling name, or a run of key letters that is long
+and mixed enough, each without the punctuation behind it. Features: its length, how its characters follow one
 another (class changes, entropy, share of digits and capitals, how usual its letter pairs are in English words), how
 much of it a dictionary of syllables covers, whether it stands in a path or an address, and which words stand beside
 it. The forest learns from labelled findings; `generated_findings` makes such a set from the public formats of keys and
@@ -17,6 +18,7 @@ import math
 import random
 import re
 import string
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -28,10 +30,16 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=.-])[A-Za-z0-9+/_.-]{12,}+={0,2}(?![A-Za-z0-9+/_=.-])")
-#: A value that a sign assigns, and the name that must stand before the sign.
-ASSIGNED = re.compile(r"[:=]\s{0,3}[\"']?([^\s\"']{6,})")
-NAMED = re.compile(r"(?:password|passwd|pwd|secret|token|key|auth|bearer|credential)s?[\"']?\s{0,3}$", re.I)
+CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_.-])[A-Za-z0-9+/_.-]{12,}+={0,2}(?![A-Za-z0-9+/_=.-])")
+#: Keys that their format tells, wherever they stand.
+FIXED = re.compile(
+    r"(?<![A-Za-z0-9])(?:(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{30,}+|sk[-_](?:live|test)[-_][A-Za-z0-9]{16,}+|xox[abprs]-[A-Za-z0-9-]{10,}+|AIza[0-9A-Za-z_-]{35}|eyJ[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{10,}+(?:\.[A-Za-z0-9_-]++)?)(?![A-Za-z0-9])"
+)
+#: A sign that assigns, the name that must stand before it, with a telling word anywhere in it, and the value behind it: up
+#: to its closing quote, or else to a blank or to a separator behind which the next name or nothing stands.
+SIGN = re.compile(r"[:=]")
+NAMED = re.compile(r"(?:password|passwd|pwd|secret|token|key|auth(?!or(?!iz))|bearer|credential)[A-Za-z0-9_.-]{0,40}[\"']?\s{0,3}:?$", re.I)
+VALUE = re.compile(r"\s{0,3}(?:(?:bearer|basic)\s{1,3})?(?:\"([^\s\"]{6,}+)\"|'([^\s']{6,}+)'|[\"']?((?:[^\s\"'&;,]|[&;,](?![\s\"')\]}]|$|[A-Za-z0-9_.-]{1,60}\s?[=:])){6,}+))", re.I)
 #: Words that stand beside secrets, words beside other long tokens, and common English syllables.
 HINTS = ("password", "passwd", "pwd", "secret", "token", "key", "auth", "bearer", "credential", "private", "access")
 PLAIN = ("sha", "md5", "hash", "commit", "uuid", "id", "checksum", "digest", "version", "build", "href", "src", "url", "example", "file", "image")
@@ -43,15 +51,34 @@ FOUND = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.Str
 
 def candidates(text: str) -> list[tuple[int, int]]:
     """Spans of candidates, left to right, without overlaps; code points, end exclusive."""
-    spans = [m.span(1) for m in ASSIGNED.finditer(text) if NAMED.search(text[max(0, m.start() - 24) : m.start()])]
-    spans += [m.span() for m in CANDIDATE.finditer(text) if _mixed(m.group())]
+    sure = [m.span() for m in FIXED.finditer(text)]
+    spans = []
+    for sign in SIGN.finditer(text):
+        if NAMED.search(text, max(0, sign.start() - 64), sign.start()) and (m := VALUE.match(text, sign.end())):
+            a, b = m.span(m.lastindex)
+            b = _ended(text, a, b) if m.lastindex == 3 else b
+            if b - a >= 6:
+                spans.append((a, b))
+    for m in CANDIDATE.finditer(text):
+        a, b = m.start(), _ended(text, *m.span())
+        if b - a >= 12 and _mixed(text[a:b]):
+            spans.append((a, b))
     out: list[tuple[int, int]] = []
-    for a, b in sorted(spans, key=lambda s: (s[0], -s[1])):
-        if not out or a >= out[-1][1]:
-            out.append((a, b))
+    for a, b in sure + sorted(spans, key=lambda s: (s[0], -s[1])):
+        # those of a fixed format come first, the others fill what room they leave
+        at = bisect_left(out, (a, b))
+        if (at == 0 or out[at - 1][1] <= a) and (at == len(out) or b <= out[at][0]):
+            out.insert(at, (a, b))
     return out
 
 
+def _ended(text: str, a: int, b: int) -> int:
+    """The end of a span without the punctuation behind it: stops, and brackets that it does not open."""
+    while b > a and (text[b - 1] in ".,;:" or (opens := {")": "(", "]": "[", "}": "{", ">": "<"}.get(text[b - 1])) and opens not in text[a:b]):
+        b -= 1
+    return b
+
+
 def _mixed(s: str) -> bool:
     return any(c.isdigit() for c in s) and any(c.isalpha() for c in s) or len(s) >= 24 and s.lower() != s and s.upper() != s
 
