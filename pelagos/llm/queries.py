@@ -65,7 +65,15 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.best_fit(read(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    classes = minhash_dedup.near_duplicates(docs.select("doc_id", "text")).groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
+    same = F.xxhash64(text_of())
+    classed = docs.join(classes, "doc_id", "left").withColumn("same", same)
+    # rows without an id have no class of their own: equal texts lend them theirs
+    lent = classed.filter("class_id IS NOT NULL").groupBy("same").agg(F.min("class_id").alias("lent"))
+    orphans = classed.filter("doc_id IS NULL").join(lent, "same", "left")
+    rows = classed.filter("doc_id IS NOT NULL").withColumn("lent", F.lit(None).cast("long")).unionByName(orphans)
+    return packing.best_fit(rows, cluster=F.coalesce("class_id", "lent", "same"))
 
 
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
