@@ -1,46 +1,54 @@
 """Language-model scores from a log-frequency Bloom filter of quantised n-gram counts.
 
-Counts of words and word pairs of the training texts are summed by Spark. The filter holds, for each n-gram of count c,
-the levels 1 .. 1 + floor(log2 c) of words, and 1 .. floor(log2 c) of pairs (pairs seen once are not held). A probe asks
-for level after level until one is missing: the last one found tells the count to within a factor of two, false finds
-only ever adding to it. The filter is cut into blocks of BLOCK_BITS bits; an n-gram's bits all lie in one block. Spark
-builds the blocks in parallel; together they have at most MAX_FILTER_BYTES, or else they stay a table: then the n-grams of
-the texts meet the counts by a shuffle instead, and score as from a filter that never errs.
-
-With c~ from the filter, P(w | h) = MIX c~(hw) / c~(h) + (1 - MIX) (c~(w) + 0.1) / (N + 0.1 (V + 1)); pairs also span
-the last word and the end, and the first word follows the end of a text before.
-
-The base score needs exact counts: those of the HEAD most frequent words (at most; 16 bytes each) are broadcast, rarer
-words are joined by a shuffle.
-
-Words stand by 64 bits of their hash. Tokens: runs of characters other than blanks, A-Z in lower case, then one end.
-Defined cases: a null or empty text is one end token; repeated rows count and score each; without training texts N and
-V are 0 and the scores follow from the formula; other columns play no part, and clashing names cannot arise since only
-doc_id and text are read.
+Texts are read once into chunks of coded tokens. Each chunk sends its distinct n-grams (orders 2 to `order`), with how
+often its training texts hold them, to the blocks of the filter. A block sums the counts and holds, for an n-gram of count
+c, the levels 1, 2 .. level(c): counts up to EXACT are levels of their own, then a level is a factor of STEP. A probe asks
+for level after level until one is missing; the last one found tells the count, false finds only ever adding to it. The
+bits of an n-gram lie in one block; a block has BITS_PER_ITEM bits for each level that it holds.
+
+A filter that cannot outgrow MAX_FILTER_BYTES is gathered and broadcast, and every worker probes it. The filter of a large
+corpus grows without bound, so it stays where its blocks were built, and the n-grams that the chunks had sent there are
+probed there. Both ways ask the same bits in the same way, so that a score doesn't depend on the size of the table.
+
+With counts c from the filter, each order's probability is P(w | h) = (c(hw) + WEIGHT P(w | h')) / (c(h) + WEIGHT), h' being h
+without its first word, down to the base probability of w. Every history has as many continuations as it has occurrences,
+so with unquantised counts the probabilities of all words sum to 1; levels change that by less than a tenth, false finds
+beside. n-grams do not reach beyond a text; its first word follows one end.
+
+The base score needs exact counts: words go by 64 bits of their hash, and get their counts back. n-grams stand by 32 bits
+within a block of some GRAMS_PER_BLOCK, so that one in a thousand or fewer is taken for another.
+
+Tokens: runs of characters other than blanks, A-Z in lower case, then one end. Defined cases: a null or empty text is one
+end token; repeated rows count and score each; without training texts N and V are 0 and the scores follow from the formula;
+other columns play no part, and clashing names cannot arise since only doc_id and text are read.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import repeat
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pelagos.llm.tables import text_of, written
 
-MIX = 0.2
-BITS_PER_ITEM, PROBES, BLOCK_BITS = 10, 6, 1 << 19
-MAX_FILTER_BYTES = 64 << 20
-HEAD = 1 << 20
-DOCS_PER_BUCKET, CACHE_WORDS, CHUNK_CHARS = 2000, 300_000, 2_000_000
+ORDER = 4
+WEIGHT = 8.0
+EXACT, STEP = 4, 2.0**0.25
+BITS_PER_ITEM, PROBES = 10, 6
+MAX_FILTER_BYTES = 16 << 20
+GRAMS_PER_BLOCK, WORDS_PER_BLOCK = 1_000_000, 250_000
+CACHE_WORDS, CHUNK_CHARS = 300_000, 4_000_000
 END = np.uint64(0x2545F4914F6CDD1D)
 GOLD = 0x9E3779B97F4A7C15
+CHUNK = "chunk string, doc_id array<long>, held array<boolean>, size array<int>, words binary, codes binary, sent long"
+ANSWER = "chunk string, part int, block int, found binary, tokens long, types long, size long, bits binary"
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -49,8 +57,15 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _pair(h: np.ndarray, w: np.ndarray) -> np.ndarray:
-    return _mix(h * np.uint64(31) + w + np.uint64(GOLD))
+def _squeeze(values: np.ndarray) -> bytes:
+    """Whole numbers as compressed planes of bytes."""
+    raw = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), -1)
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(raw.T).tobytes())
+
+
+def _spread(raw: bytes, dtype: type) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8).reshape(np.dtype(dtype).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(dtype).ravel()
 
 
 class Tokens:
@@ -63,207 +78,249 @@ class Tokens:
         """Tokens of all texts one after the other, ends included, and how many each text has."""
         if len(self.known) > CACHE_WORDS:
             self.known = {}
-        lists = [t.encode().lower().split() for t in texts]
-        words = [w for ws in lists for w in ws]
-        for w in set(words).difference(self.known):
-            self.known[w] = xxhash.xxh3_64_intdigest(w)
-        size = np.fromiter(map(len, lists), np.int64, len(lists))
-        out = np.full(len(words) + len(texts), END)
-        ends = np.cumsum(size + 1) - 1
-        inner = np.ones(len(out), bool)
-        inner[ends] = False
-        out[inner] = np.fromiter(map(self.known.__getitem__, words), np.uint64, len(words))
-        return out, size + 1
-
-
-def _chunks(columns: list[pa.Array]) -> Iterator[tuple[int, int, list[str]]]:
-    """(first row, rows, texts) of parts of a batch whose last column is the text."""
-    first, texts, size = 0, [], 0
-    for k, t in enumerate(columns[-1]):
-        texts.append(t.as_py() or "")
-        size += len(texts[-1])
-        if size >= CHUNK_CHARS:
-            yield first, len(texts), texts
-            first, texts, size = k + 1, [], 0
-    if texts:
-        yield first, len(texts), texts
-
-
-def ngram_counts(train: DataFrame, text: str = "text", min_pairs: int = 2) -> DataFrame:
-    """(pair, gram, n): exact counts of all words (pair false) and of pairs seen min_pairs times or more."""
-    buckets = max(int(train.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-train.count() // DOCS_PER_BUCKET))
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = Tokens()
-        for batch in batches:
-            for _, _, texts in _chunks(batch.columns):
-                word, _ = tokens.of(texts)
-                for pair, grams in ((False, word), (True, _pair(np.r_[END, word[:-1]], word))):
-                    gram, n = np.unique(grams, return_counts=True)
-                    to = (gram % np.uint64(buckets)).astype(np.int64)
-                    order = np.argsort(to, kind="stable")
-                    to, gram, n = to[order], gram[order].view(np.int64), n[order].astype(np.int32)
-                    start = np.flatnonzero(np.r_[True, to[1:] != to[:-1]])
-                    offsets = pa.array(np.r_[start, len(to)].astype(np.int32))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(start), pair)), pa.array(to[start].astype(np.int32)), pa.ListArray.from_arrays(offsets, pa.array(gram)), pa.ListArray.from_arrays(offsets, pa.array(n))], names=["pair", "bucket", "gram", "n"])
-
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        pair = bool(pdf["pair"].iloc[0])
-        gram, at = np.unique(np.concatenate(pdf["gram"].to_list()), return_inverse=True)
-        n = np.bincount(at, weights=np.concatenate(pdf["n"].to_list())).astype(np.int64)
-        keep = n >= (min_pairs if pair else 1)
-        return pd.DataFrame({"pair": pair, "gram": gram[keep], "n": n[keep]})
-
-    # each task's counts are summed before they move, so that a frequent n-gram is one number a task
-    parts = train.select(text_of(text).alias("text")).mapInArrow(count, "pair boolean, bucket int, gram array<long>, n array<int>")
-    return parts.groupBy("pair", "bucket").applyInPandas(merge, "pair boolean, gram long, n long")
+        out, sizes = [], []
+        for text in texts:
+            words = text.encode().lower().split()
+            for w in set(words).difference(self.known):
+                self.known[w] = xxhash.xxh3_64_intdigest(w)
+            out += (np.fromiter(map(self.known.__getitem__, words), np.uint64, len(words)), END[None])
+            sizes.append(len(words) + 1)
+        return np.concatenate([np.zeros(0, np.uint64), *out]), np.array(sizes, np.int64)
+
+
+def grams(words: np.ndarray, codes: np.ndarray, size: np.ndarray, order: int) -> list[np.ndarray]:
+    """For each order from 2 on the hash of the n-gram that ends at each token; 0 where the text doesn't reach back so far."""
+    token = words[codes]
+    at = np.arange(len(token)) - np.repeat(np.cumsum(size) - size, size)  # place within the text
+    out, last = [], np.where(at > 0, np.r_[END, token[:-1]] if len(token) else token, END)
+    gram = _mix(last * np.uint64(31) + token + np.uint64(GOLD))
+    for n in range(2, order + 1):
+        if n > 2:  # the n-gram that ended one token before, and this token
+            gram = np.where(at > n - 3, _mix(np.r_[np.zeros(1, np.uint64), gram[:-1]] * np.uint64(31) + token + np.uint64(n * GOLD & (2**64 - 1))), np.uint64(0))
+        out.append(gram)
+    return out
+
+
+def level(count: np.ndarray) -> np.ndarray:
+    """The level of each count, 0 for 0."""
+    large = EXACT + np.floor(np.log(np.maximum(count, EXACT) / EXACT) / np.log(STEP) + 1e-9)
+    return np.where(count <= EXACT, count, large).astype(np.int64)
+
+
+def count_of(levels: np.ndarray) -> np.ndarray:
+    """The middle, in proportion, of the counts that have this level; exact up to EXACT."""
+    return np.where(levels < EXACT, levels, EXACT * STEP ** (np.maximum(levels, EXACT) - EXACT + np.where(levels > EXACT, 0.5, 0.0)))
+
+
+def _places(key: np.ndarray, n: int, size: int) -> Iterator[np.ndarray]:
+    """Places of the bits of keys for level n, in a block of so many bits."""
+    h = _mix(key.astype(np.uint64) + np.uint64(n * 0xD6E8FEB86659FD93 & (2**64 - 1)))
+    step = (h >> np.uint64(32)) | np.uint64(1)
+    for k in range(PROBES):
+        yield ((h + np.uint64(k) * step) >> np.uint64(11)) % np.uint64(size)
 
 
 @dataclass
 class Filter:
-    """Blocks of bits, one after the other."""
+    """Blocks of bits, one after the other; block b has sizes[b] bits, a multiple of 64, from bit starts[b] on."""
 
     bits: np.ndarray  # uint8
-    blocks: int
+    sizes: np.ndarray
+
+    def __post_init__(self):
+        self.starts = np.cumsum(self.sizes) - self.sizes
 
-    def levels(self, gram: np.ndarray) -> np.ndarray:
-        """The last level found of each n-gram, 0 if not even the first is there."""
-        block, out = (_mix(gram ^ np.uint64(GOLD)) % np.uint64(self.blocks)).astype(np.int64) * (BLOCK_BITS // 8), np.zeros(len(gram), np.int64)
-        live, level = np.arange(len(gram)), 1
+    def levels(self, key: np.ndarray, block: np.ndarray) -> np.ndarray:
+        """The last level found of each key, 0 if not even the first is there."""
+        out, live, n = np.zeros(len(key), np.int64), np.flatnonzero(self.sizes[block] > 0), 1
         while len(live):
-            found = live
-            for bit in _bits(gram[live], level):
-                at = np.searchsorted(live, found) if len(found) < len(live) else slice(None)
-                b = bit[at]
-                found = found[(self.bits[block[found] + (b >> 3)] >> (b & 7).astype(np.uint8)) & 1 > 0]
-                if not len(found):
-                    break
-            out[found] = level
-            live, level = found, level + 1
+            size, start = self.sizes[block[live]].astype(np.uint64), self.starts[block[live]].astype(np.uint64)
+            found = np.ones(len(live), bool)
+            for place in _places(key[live], n, size):
+                bit = start + place
+                found &= (self.bits[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1 > 0
+            live = live[found]
+            out[live] = n
+            n += 1
         return out
 
 
-def _bits(gram: np.ndarray, level: int) -> Iterator[np.ndarray]:
-    """Places of an n-gram's bits for a level, within its block."""
-    h = _mix(gram + np.uint64(level * 0xD6E8FEB86659FD93 & 0xFFFFFFFFFFFFFFFF))
-    step = (h >> np.uint64(32)) | np.uint64(1)
-    for k in range(PROBES):
-        yield ((h + np.uint64(k) * step) & np.uint64(BLOCK_BITS - 1)).astype(np.int64)
+def fill(key: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, int]:
+    """Bits of a block that holds each key up to the level of its count, and how many bits it has."""
+    top = level(count)
+    size = int(-(-int(top.sum()) * BITS_PER_ITEM // 64) * 64)
+    bits = np.zeros(size, bool)
+    for n in range(1, int(top.max(initial=0)) + 1):
+        for place in _places(key[top >= n], n, size):
+            bits[place] = True
+    return np.packbits(bits, bitorder="little"), size
 
 
-def _levels(pair: Column, n: Column) -> Column:
-    """How many levels a count has: floor(log2 n), words one more. Counted in bits, so that no rounding matters."""
-    return F.length(F.bin(n)) - F.when(pair, 1).otherwise(0)
+def chunks(rows: DataFrame) -> DataFrame:
+    """CHUNK of (doc_id, held_out, text): texts as codes into their chunk's words, most frequent first."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens = Tokens()
+        for batch in batches:
+            first, chars = 0, 0
+            for k, t in enumerate(batch.column(2)):
+                chars += len(t.as_py())
+                if chars >= CHUNK_CHARS or k == len(batch) - 1:
+                    part = batch.slice(first, k + 1 - first)
+                    token, size = tokens.of(part.column(2).to_pylist())
+                    words, code, times = np.unique(token, return_inverse=True, return_counts=True)
+                    order = np.argsort(-times, kind="stable")
+                    rank = np.empty(len(order), np.int32)
+                    rank[order] = np.arange(len(order))
+                    # what the chunk sends at most
+                    columns = [[xxhash.xxh3_128_hexdigest(token.tobytes()) + f"-{_task()}-{k}"], [part.column(0).to_pylist()], [part.column(1).to_pylist()], [size.tolist()], [_squeeze(words[order])], [_squeeze(rank[code])], [len(token)]]
+                    types = [pa.string(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.binary(), pa.binary(), pa.int64()]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["chunk", "doc_id", "held", "size", "words", "codes", "sent"])
+                    first, chars = k + 1, 0
+
+    return rows.select("doc_id", "held_out", "text").mapInArrow(run, CHUNK)
 
-def _estimate(level: np.ndarray, pair: bool) -> np.ndarray:
-    """The middle of the counts that have this level, in proportion; 1 is exact for words."""
-    low = 2.0 ** (level if pair else level - 1)
-    return np.where(level == 0, 0.0, np.where(low == 1, 1.0, low * np.sqrt(2)))
 
+def _task() -> str:
+    """Tells chunks of equal texts apart: the same in a repeated task."""
+    from pyspark import TaskContext
 
-def build_filter(counts: DataFrame, items: int) -> Filter:
-    """The whole filter, built block by block."""
-    blocks = max(1, -(-items * BITS_PER_ITEM // BLOCK_BITS))
+    return str(TaskContext.get().partitionId())
 
-    def fill(pdf: pd.DataFrame) -> pd.DataFrame:
-        bits = np.zeros(BLOCK_BITS, bool)
-        gram, top = pdf["gram"].to_numpy(np.int64).view(np.uint64), pdf["levels"].to_numpy()
-        for level in range(1, int(top.max()) + 1):
-            for at in _bits(gram[top >= level], level):
-                bits[at] = True
-        return pd.DataFrame({"block": [pdf["block"].iloc[0]], "bits": [np.packbits(bits, bitorder="little").tobytes()]})
 
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+@dataclass
+class Chunk:
+    """One row of `chunks`, and where its distinct words (part 0) and n-grams (part 1) go."""
+
+    words: np.ndarray
+    codes: np.ndarray
+    size: np.ndarray
+    order: int
+    blocks: tuple[int, int]
+
+    @staticmethod
+    def read(size: list[int], words: bytes, codes: bytes, order: int, blocks: tuple[int, int]) -> Chunk:
+        return Chunk(_spread(words, np.uint64), _spread(codes, np.int32), np.array(size, np.int64), order, blocks)
+
+    def keys(self, part: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+        """(distinct hashes by block, their blocks, for each order the index of the hash at each token)."""
+        if part == 0:
+            every, index = self.words, [self.codes]
+        else:
+            hashes = grams(self.words, self.codes, self.size, self.order)
+            every, at = np.unique(np.concatenate(hashes), return_inverse=True)
+            index = np.split(at, len(hashes))
+        block = ((every >> np.uint64(32)) % np.uint64(self.blocks[part])).astype(np.int32)
+        order = np.lexsort((every & np.uint64(0xFFFFFFFF), block))
+        back = np.empty(len(order), np.int64)
+        back[order] = np.arange(len(order))
+        return every[order], block[order], [back[k] for k in index]
+
+
+def _send(order: int, blocks: tuple[int, int]):
+    """Each chunk's distinct words and n-grams to their blocks, with how often the chunk's training texts hold them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            gram = np.array(batch.column(0)).view(np.uint64)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array((_mix(gram ^ np.uint64(GOLD)) % np.uint64(blocks)).astype(np.int32))], names=["gram", "levels", "block"])
-
-    placed = counts.select("gram", _levels(F.col("pair"), F.col("n")).cast("int").alias("levels")).filter("levels > 0").mapInArrow(place, "gram long, levels int, block int")
-    made = placed.groupBy("block").applyInPandas(fill, "block int, bits binary").toArrow()  # at most MAX_FILTER_BYTES
-    bits = np.zeros((blocks, BLOCK_BITS // 8), np.uint8)
-    for block, raw in zip(made["block"].to_pylist(), made["bits"]):
-        bits[block] = np.frombuffer(raw.as_buffer(), np.uint8)
-    return Filter(bits.ravel(), blocks)
-
-
-def _head(words: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes (ascending) and counts of the most frequent words, at most so many: all from some count on."""
-    rows = words.groupBy("n").agg(F.count("*").alias("k")).orderBy(F.col("n").desc())
-    total, least = 0, None
-    for n, k in rows.toLocalIterator():
-        if total + k > most:
-            break
-        total, least = total + k, n
-    if least is None:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    head = words.filter(F.col("n") >= least).select("gram", "n").toArrow()
-    gram = np.array(head["gram"]).view(np.uint64)
-    order = np.argsort(gram)
-    return gram[order], np.array(head["n"])[order]
-
-
-def score_texts(docs: DataFrame, train_if: Column, doc_id: str = "doc_id", text: str = "text", mix: float = MIX, max_filter: int = MAX_FILTER_BYTES, head: int = HEAD) -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score), learning from the rows for which train_if holds."""
+            for row in batch.to_pylist():
+                chunk = Chunk.read(row["size"], row["words"], row["codes"], order, blocks)
+                learn = np.repeat(~np.array(row["held"], bool), chunk.size)
+                for part in (0, 1):
+                    key, block, index = chunk.keys(part)
+                    count = sum(np.bincount(i[learn], minlength=len(key)) for i in index).astype(np.uint32)
+                    start = np.flatnonzero(np.r_[np.ones(min(1, len(block)), bool), block[1:] != block[:-1]])
+                    ends = np.r_[start[1:], len(block)]
+                    # words by all bits of their hash, n-grams by the lower 32, in ascending order: small steps
+                    sent = [_squeeze(key[a:b]) if part == 0 else _squeeze(np.diff(key[a:b].astype(np.uint32), prepend=np.uint32(0))) for a, b in zip(start, ends)]
+                    columns = [pa.array([row["chunk"]] * len(start)), pa.array(np.full(len(start), part, np.int32)), pa.array(block[start]), pa.array(sent, pa.binary()), pa.array([_squeeze(count[a:b]) for a, b in zip(start, ends)], pa.binary())]
+                    yield pa.RecordBatch.from_arrays(columns, names=["chunk", "part", "block", "keys", "counts"])
+
+    return run
+
+
+def _answer(keep_bits: bool):
+    """What a block tells each chunk: exact counts of words; levels of n-grams as probed in the block's bits (or the bits themselves)."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        part, block = int(pdf["part"].iloc[0]), int(pdf["block"].iloc[0])
+        keys = [_spread(x, np.uint64) if part == 0 else np.cumsum(_spread(x, np.uint32), dtype=np.uint32) for x in pdf["keys"]]
+        key, at = np.unique(np.concatenate(keys), return_inverse=True)
+        count = np.bincount(at, weights=np.concatenate([_spread(x, np.uint32) for x in pdf["counts"]]), minlength=len(key)).astype(np.int64)
+        out = pd.DataFrame({"chunk": pdf["chunk"], "part": part, "block": block, "found": None, "tokens": 0, "types": 0, "size": 0, "bits": None}, index=pdf.index)
+        if part == 0:
+            found = count
+            out.loc[out.index[0], ["tokens", "types"]] = int(count.sum()), int((count > 0).sum())
+        else:
+            bits, size = fill(key[count > 0], count[count > 0])
+            if keep_bits:
+                return out.iloc[:1].assign(chunk=None, size=size, bits=[bits.tobytes()])
+            found = Filter(bits, np.array([size])).levels(key, np.zeros(len(key), np.int64)).astype(np.uint8)
+        ends = np.cumsum([len(k) for k in keys])
+        out["found"] = [_squeeze(found[at[e - len(k) : e]]) for k, e in zip(keys, ends)]
+        return out
+
+    return run
+
+
+def _scores(chunk: Chunk, known: np.ndarray, levels: np.ndarray, index: list[np.ndarray], below: float, weight: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(words known, base score, score) of each text, from counts of the chunk's words in their order and levels of its n-grams."""
+    text, n = np.repeat(np.arange(len(chunk.size)), chunk.size), len(chunk.size)
+    count = known[chunk.codes]
+    base = np.log10(count + 0.1) - np.log10(below)
+    at = np.arange(len(count)) - np.repeat(np.cumsum(chunk.size) - chunk.size, chunk.size)
+    ends = float(known[chunk.words == END].sum())  # also how many training texts begin
+    p, history = (count + 0.1) / below, np.where(at > 0, np.r_[0, count[:-1]], ends)
+    for k, i in enumerate(index):
+        c = np.where(at >= k, count_of(levels[i]), 0.0)
+        # no n-gram is seen more often than its history
+        p = np.where(at >= k, (np.minimum(c, history) + weight * p) / (history + weight), p)
+        history = np.r_[0.0, c[:-1]]
+    total = lambda x: np.bincount(text, weights=x, minlength=n)
+    return total(count > 0).astype(np.int64), total(base), total(np.log10(p))
+
+
+def score_texts(docs: DataFrame, train_if: Column, doc_id: str = "doc_id", text: str = "text", order: int = ORDER, weight: float = WEIGHT, max_filter: int = MAX_FILTER_BYTES) -> DataFrame:
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, per_token), learning from the rows for which train_if holds."""
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), (~F.coalesce(train_if, F.lit(False))).alias("held_out"), text_of(text).alias("text"))
-    counts = written(ngram_counts(rows.filter(~F.col("held_out"))), "ngrams")
-    words = counts.filter("NOT pair").select("gram", "n")
-    sums = counts.agg(F.sum(F.when(~F.col("pair"), F.col("n"))).alias("n"), F.count_if(~F.col("pair")).alias("v"), F.sum(_levels(F.col("pair"), F.col("n"))).alias("items")).first()
-    n, v, items = sums["n"] or 0, sums["v"], sums["items"] or 0
-    below = n + 0.1 * (v + 1)
-    fits = items * BITS_PER_ITEM // 8 <= max_filter
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((*_head(words, head), build_filter(counts, items) if fits else None))
+    table = written(chunks(rows), "lm-chunks")
+    tokens = table.agg(F.sum("sent")).first()[0] or 0
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    blocks = tuple(max(least, -(-n // most)) for n, most in ((tokens // 8, WORDS_PER_BLOCK), ((order - 1) * tokens, GRAMS_PER_BLOCK)))
+    # a count of c has at most c levels, and blocks are rounded up to 64 bits
+    fits = (order - 1) * tokens * BITS_PER_ITEM // 8 + 8 * blocks[1] <= max_filter
+    sent = table.select("chunk", "held", "size", "words", "codes").mapInArrow(_send(order, blocks), "chunk string, part int, block int, keys binary, counts binary")
+    answers = written(sent.groupBy("part", "block").applyInPandas(_answer(fits), ANSWER), "lm-answers")
+    n, v = (x or 0 for x in answers.agg(F.sum("tokens"), F.sum("types")).first())
+    below = n + 0.1 * (v + 1)
+    shared = spark.sparkContext.broadcast(_gather(answers, blocks[1]) if fits else None)  # at most max_filter bytes
+    # what all blocks tell a chunk: bounded by the chunk
+    heard = answers.filter("chunk IS NOT NULL").groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("part", "block", "found"))).alias("found"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, (head_gram, head_n, filter_) = Tokens(), shared.value
         for batch in batches:
-            for first, k, texts in _chunks(batch.columns):
-                word, size = tokens.of(texts)
-                doc = np.repeat(np.arange(k), size)
-                uniq, code = np.unique(word, return_inverse=True)
-                at = np.minimum(np.searchsorted(head_gram, uniq), max(0, len(head_gram) - 1))
-                known = head_gram[at] == uniq if len(head_gram) else np.zeros(len(uniq), bool)
-                base = np.where(known, np.log10((np.where(known, head_n[at], 0) if len(head_gram) else np.zeros(len(uniq))) + 0.1) - np.log10(below), 0.0)
-                bases = np.bincount(doc, weights=base[code], minlength=k)
-                n_known = np.bincount(doc, weights=known[code], minlength=k).astype(np.int64)
-                rare = ~known[code]
-                offsets = np.r_[0, np.cumsum(np.bincount(doc[rare], minlength=k))].astype(np.int32)
-                rest = pa.ListArray.from_arrays(pa.array(offsets), pa.array(word[rare].view(np.int64)))
-                before = np.r_[END, word[:-1]]
-                if filter_ is not None:
-                    count = _estimate(filter_.levels(uniq), False)
-                    pairs, pair_code = np.unique(_pair(before, word), return_inverse=True)
-                    pair = _estimate(filter_.levels(pairs), True)[pair_code]
-                    history = np.r_[_estimate(filter_.levels(np.array([END])), False), count[code[:-1]]]
-                    share = np.minimum(1.0, np.divide(pair, history, out=np.zeros(len(pair)), where=history > 0))
-                    score = np.bincount(doc, weights=np.log10(mix * share + (1 - mix) * (count[code] + 0.1) / below), minlength=k)
-                    grams = pa.array([None] * k, pa.list_(pa.int64()))
+            for row in batch.to_pylist():
+                chunk = Chunk.read(row["size"], row["words"], row["codes"], order, blocks)
+                known = np.concatenate([_spread(x["found"], np.int64) for x in row["found"] if x["part"] == 0])
+                _, _, (place,) = chunk.keys(0)
+                counts = np.zeros(len(chunk.words), np.int64)
+                counts[chunk.codes] = known[place]
+                key, block, index = chunk.keys(1)
+                if shared.value is not None:
+                    levels = shared.value.levels(key & np.uint64(0xFFFFFFFF), block)
                 else:
-                    score = np.zeros(k)
-                    ends = np.r_[0, np.cumsum(size)].astype(np.int32)
-                    grams = pa.ListArray.from_arrays(pa.array(3 * ends), pa.array(np.stack([before, word, _pair(before, word)], axis=1).ravel().view(np.int64)))
-                part = batch.slice(first, k)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(size), pa.array(n_known), pa.array(bases), pa.array(score), rest, grams], names=["doc_id", "held_out", "n_tokens", "n_known", "base", "score", "rare", "grams"])
-
-    part = written(rows.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, rare array<long>, grams array<long>"), "scores").withColumn("row", F.monotonically_increasing_id())
-    rare = part.select("row", F.explode("rare").alias("gram")).join(words, "gram", "left").groupBy("row").agg(F.count("n").alias("more"), F.sum(F.log10(F.coalesce("n", F.lit(0)) + F.lit(0.1)) - F.log10(F.lit(float(below)))).alias("add"))
-    out = part.join(rare, "row", "left")
-    score = F.col("score")
-    if not fits:
-        out = out.join(_joined_scores(part, counts, mix, below), "row", "left")
-        score = F.col("joined")
-    return out.select("doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("add", F.lit(0.0))).alias("base_score"), score.alias("score"))
-
-
-def _joined_scores(part: DataFrame, counts: DataFrame, mix: float, below: float) -> DataFrame:
-    """(row, joined): the scores with levels of the counts themselves, met by shuffles."""
-    level = _levels(F.col("pair"), F.col("n"))
-    low = F.pow(F.lit(2.0), F.when(F.col("pair"), level).otherwise(level - 1))
-    known = counts.filter(level > 0).select("pair", "gram", F.when(low == 1, 1.0).otherwise(low * F.sqrt(F.lit(2.0))).alias("c"))
-    words, pairs = known.filter("NOT pair").select("gram", "c"), known.filter("pair").select(F.col("gram").alias("hw"), F.col("c").alias("c_hw"))
-    threes = part.select("row", F.explode(F.transform(F.sequence(F.lit(0), F.floor(F.size("grams") / 3) - 1), lambda k: F.struct(*(F.get("grams", (3 * k + j).cast("int")).alias(name) for j, name in enumerate(("h", "w", "hw")))))).alias("t")).select("row", "t.*")
-    each = threes.groupBy("row", "h", "w", "hw").agg(F.count("*").alias("times"))
-    met = each.join(words.select(F.col("gram").alias("h"), F.col("c").alias("c_h")), "h", "left").join(words.select(F.col("gram").alias("w"), F.col("c").alias("c_w")), "w", "left").join(pairs, "hw", "left")
-    share = F.least(F.lit(1.0), F.coalesce(F.try_divide("c_hw", "c_h"), F.lit(0.0)))
-    return met.groupBy("row").agg(F.sum(F.col("times") * F.log10(mix * share + (1 - mix) * (F.coalesce("c_w", F.lit(0.0)) + 0.1) / F.lit(float(below)))).alias("joined"))
+                    levels = np.concatenate([_spread(x["found"], np.uint8) for x in row["found"] if x["part"] == 1])
+                n_known, base, score = _scores(chunk, counts, levels, index, below, weight)
+                columns = [pa.array(row["doc_id"], pa.int64()), pa.array(row["held"], pa.bool_()), pa.array(chunk.size), pa.array(n_known), pa.array(base), pa.array(score), pa.array(score / chunk.size)]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "per_token"])
+
+    scored = table.join(heard, "chunk").select("doc_id", "held", "size", "words", "codes", "found").mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, per_token double")
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score", "per_token")
+
+
+def _gather(answers: DataFrame, blocks: int) -> Filter:
+    """The whole filter, of blocks whose total size is known to be small."""
+    made = answers.filter("part = 1").select("block", "size", "bits").toArrow().sort_by("block")
+    sizes = np.zeros(blocks, np.int64)
+    sizes[np.array(made["block"])] = np.array(made["size"])
+    return Filter(np.frombuffer(b"".join(x.as_py() for x in made["bits"]), np.uint8), sizes)
