@@ -1,17 +1,23 @@
 """Information-theoretic sanitisation of personal data, in DataFrame functions only.
 
-Base finds are e-mail addresses, IP addresses, card and phone numbers. Each distinct value found is a protected entity.
-The corpus then tells how strongly a term near an entity reveals it: with document frequencies, the pointwise mutual
-information of entity and term, PMI = log2(N n(e,t) / (n(e) n(t))), is held against the information of the entity
-itself, IC = log2(N / n(e)). PMI / IC is 1 where the term never appears without the entity, and near 0 where it says
-nothing. A term at or over `disclosure` in at least `min_contexts` unlike surroundings of the entity goes too: it is
-generalised to its kind. The surroundings are the `reach` code points on either side of a find, so that copies of one
-passage, having equal surroundings, count once there.
+Base finds are e-mail addresses, IP addresses, card and phone numbers. Each distinct value found is a protected entity, and
+so is what many values share: the domain of an address, the first half of an IP address, the first six digits of a card and
+four of a phone number. The corpus then tells how strongly a term reveals an entity: with frequencies over all whole
+documents, the pointwise mutual information of entity and term, PMI = log2(N n(e,t) / (n(e) n(t))), is held against the
+information of the entity itself, IC = log2(N / n(e)). PMI / IC is 1 where the term never appears without the entity, and
+near 0 where it says nothing. A term at or over `disclosure`, met together with the entity in at least `min_contexts`
+texts whose finds have unlike surroundings (`reach` code points on either side, so that copies of one passage count once),
+reveals it: wherever else it stands in a document that holds the entity, it is generalised to its kind. Terms are runs of
+three or more letters and digits, in lower case.
+
+Terms that cannot reach `disclosure` with any entity, since too few of the documents that hold them hold a base find, never
+meet the entities; that bound drops no term that would pass.
 
 Positions come from cutting the text at its matches: a match begins after all pieces and matches before it.
 
-Defined cases: null and empty texts hold nothing; repeated rows are each treated, and count once a doc_id in the
-frequencies; an empty table stays empty; other columns pass through, and clashing output names raise ValueError.
+Defined cases: null and empty texts hold nothing; every row counts once in all frequencies, repeated ones too, whatever its
+doc_id, which plays no part; equal texts are treated alike; an empty table stays empty; other columns pass through, and
+clashing output names raise ValueError.
 """
 
 from __future__ import annotations
@@ -30,7 +36,8 @@ PATTERNS = {
     "card": r"[0-9](?:[ -]?[0-9])++",
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
 }
-WHOLE_TERM = r"(?<!\p{L})\p{L}{3,30}(?!\p{L})"
+TERM = r"[\p{L}\p{N}]{3,}+"
+EDGE = r"(?<![\p{L}\p{N}])", r"(?![\p{L}\p{N}])"
 SPAN = "struct<kind:string,start:int,end:int,value:string>"
 
 
@@ -63,10 +70,10 @@ def of_kind(kind: str):
     return lambda span: span["kind"] == kind
 
 
-def find_all(text: Column, pattern: str, kind: str) -> Column:
+def find_all(text: Column, pattern: str | Column, kind: str) -> Column:
     """Spans of all matches, code points, end exclusive."""
     # there is one piece more than matches: the last pair has no match
-    both = F.filter(F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"), F.split(text, pattern, -1).alias("p")), lambda x: x["m"].isNotNull())
+    both = F.filter(F.arrays_zip(F.regexp_extract_all(text, pattern if isinstance(pattern, Column) else F.lit(pattern), F.lit(0)).alias("m"), F.split(text, pattern, -1).alias("p")), lambda x: x["m"].isNotNull())
     walked = F.aggregate(
         both,
         F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("spans")),
@@ -87,54 +94,72 @@ def base_spans(docs: DataFrame, text: str = "text", out: str = "base") -> DataFr
     return docs.withColumn(out, F.concat(*kinds))
 
 
-def _entity(span: Column) -> Column:
-    """The value that is protected, however it is written."""
-    return F.concat_ws(":", span["kind"], F.when(span["kind"].isin("card", "phone"), _digits(span["value"])).otherwise(F.lower(span["value"])))
-
-
-def _near(docs: DataFrame, doc_id: str, text: str, reach: int) -> DataFrame:
-    """(doc, row, entity, context, term, start, end): the terms around each base find, but for other base finds' parts."""
-    spans = docs.filter(F.size("base") > 0).select(F.col(doc_id).alias("doc"), F.col("_row").alias("row"), text_of(text).alias("text"), "base", F.explode("base").alias("span"))
-    left, right = F.greatest(F.col("span.start") - reach, F.lit(0)), F.col("span.end")
-    sides = spans.select(
-        "doc",
-        "row",
-        _entity(F.col("span")).alias("entity"),
-        F.transform("base", lambda b: F.struct(b["start"].alias("start"), b["end"].alias("end"))).alias("taken"),
-        F.explode(F.array(F.struct(left.alias("at"), F.col("text").substr(left + 1, F.col("span.start") - left).alias("part")), F.struct(right.alias("at"), F.col("text").substr(right + 1, F.lit(reach)).alias("part")))).alias("side"),
-    ).select("doc", "row", "entity", "taken", F.col("side.at").alias("at"), F.col("side.part").alias("part"))
-    # a word cut off at the outer end of the surroundings is no term
-    whole = F.regexp_replace("part", r"^\p{L}+(?=.{%d})" % (reach // 2), "")
-    cut = F.length("part") - F.length(whole)
-    terms = sides.select("doc", "row", "entity", "taken", F.xxhash64("part").alias("context"), (F.col("at") + cut).alias("at"), F.explode(find_all(whole, WHOLE_TERM, "term")).alias("t"))
-    placed = terms.select("doc", "row", "entity", "taken", "context", F.lower("t.value").alias("term"), (F.col("at") + F.col("t.start")).alias("start"), (F.col("at") + F.col("t.end")).alias("end"))
-    return placed.filter(~F.exists("taken", lambda b: (b["start"] < F.col("end")) & (b["end"] > F.col("start")))).drop("taken")
-
-
-def revealing_terms(docs: DataFrame, near: DataFrame, doc_id: str, text: str, disclosure: float, min_contexts: int) -> DataFrame:
-    """(entity, term) whose PMI reaches `disclosure` of the entity's information. Counts are over all documents."""
+def _entities(span: Column) -> Column:
+    """What a find protects: the value, however it is written, and what it shares with others of its kind."""
+    kind, low, digits = span["kind"], F.lower(span["value"]), _digits(span["value"])
+    value = F.when(kind.isin("card", "phone"), digits).otherwise(low)
+    shared = F.when(kind == "email", F.substring_index(low, "@", -1)).when(kind == "ip", F.substring_index(low, ".", 2)).when(kind == "card", F.left(digits, F.lit(6))).otherwise(F.left(digits, F.lit(4)))
+    return F.array(F.concat_ws(":", kind, value), F.concat_ws(":", F.lit("all"), kind, shared))
+
+
+def _terms(text: Column) -> Column:
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0)))
+
+
+def _private(docs: DataFrame, text: str) -> DataFrame:
+    """(key, text, base, n): the distinct texts that hold a base find, and how many rows have each."""
+    held = base_spans(docs.select(text_of(text).alias("text")), "text").filter(F.size("base") > 0)
+    return held.groupBy(F.md5(F.col("text").cast("binary")).alias("key")).agg(F.first("text").alias("text"), F.first("base").alias("base"), F.count("*").alias("n"))
+
+
+def _held(private: DataFrame, reach: int, min_contexts: int) -> DataFrame:
+    """(key, entity, context, n_e): the entities of each text, with one of their surroundings, of those found in enough unlike ones."""
+    spans = private.select("key", "n", "text", F.explode("base").alias("span"))
+    left = F.greatest(F.col("span.start") - reach, F.lit(0))
+    around = F.xxhash64(F.col("text").substr(left + 1, F.col("span.start") - left), F.col("text").substr(F.col("span.end") + 1, F.lit(reach)))
+    each = spans.select("key", "n", around.alias("context"), F.explode(_entities(F.col("span"))).alias("entity"))
+    once = written(each.groupBy("key", "entity").agg(F.min("context").alias("context"), F.first("n").alias("n")), "pii-entities")
+    contexts = once.groupBy("entity", "context").agg(F.sum("n").alias("n")).groupBy("entity").agg(F.sum("n").alias("n_e"), F.count("*").alias("contexts"))
+    return once.join(contexts.filter(F.col("contexts") >= min_contexts).select("entity", "n_e"), "entity").select("key", "entity", "context", "n", "n_e")
+
+
+def revealing_terms(docs: DataFrame, private: DataFrame, text: str, reach: int, disclosure: float, min_contexts: int) -> DataFrame:
+    """(key, terms): for each text that holds base finds, the terms in it that reveal one of its entities. Counts are over all documents."""
     total = docs.count()
-    pairs = near.groupBy("entity", "term", "doc").agg(F.min("context").alias("context")).groupBy("entity", "term").agg(F.count("*").alias("n_et"), F.approx_count_distinct("context").alias("contexts"))
-    entities = near.groupBy("entity", "doc").agg(F.lit(1).alias("one")).groupBy("entity").agg(F.count("*").alias("n_e"))
-    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text_of(text)), F.lit(WHOLE_TERM), F.lit(0)))).alias("term"))
-    terms = words.groupBy("term").agg(F.count("*").alias("n_t"))
-    scored = pairs.filter(F.col("contexts") >= min_contexts).join(entities, "entity").join(terms, "term")
+    least = (min_contexts / max(total, min_contexts)) ** (1 - disclosure)
+    terms = docs.select(F.explode(_terms(text_of(text))).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
+    inside = private.select("key", "n", F.explode(_terms(F.col("text"))).alias("term"))
+    # PMI >= disclosure IC means n(e,t) / n(t) >= (n(e) / N) ** (1 - disclosure), and n(e,t) is at most the documents with finds
+    able = inside.groupBy("term").agg(F.sum("n").alias("n_p"), F.count("*").alias("texts")).filter(F.col("texts") >= min_contexts).join(terms, "term").filter(F.col("n_p") >= least * F.col("n_t") * (1 - 1e-9)).select("term", "n_t")
+    met = written(inside.drop("n").join(able, "term").join(_held(private, reach, min_contexts), "key"), "pii-met")
+    counts = met.groupBy("entity", "term", "context").agg(F.sum("n").alias("n"), F.first("n_e").alias("n_e"), F.first("n_t").alias("n_t")).groupBy("entity", "term").agg(F.sum("n").alias("n_et"), F.count("*").alias("contexts"), F.first("n_e").alias("n_e"), F.first("n_t").alias("n_t"))
     known = F.log2(F.lit(float(total)) / F.col("n_e"))
     told = F.log2(F.lit(float(total)) * F.col("n_et") / (F.col("n_e") * F.col("n_t")))
-    return scored.filter((known > 0) & (told >= disclosure * known)).select("entity", "term")
+    reveal = counts.filter((F.col("contexts") >= min_contexts) & (known > 0) & (told >= disclosure * known)).select("entity", "term")
+    return met.join(reveal, ["entity", "term"]).groupBy("key").agg(F.collect_set("term").alias("terms"))  # bounded by the text
+
 
+def _term_spans(text: Column, terms: Column, base: Column) -> Column:
+    """Where the terms stand in the text, but for parts of base finds."""
+    pattern = F.concat(F.lit(f"(?iu){EDGE[0]}(?:"), F.array_join(terms, "|"), F.lit(f"){EDGE[1]}"))  # terms are letters and digits
+    apart = lambda s: F.array_contains(terms, F.lower(s["value"])) & ~F.exists(base, lambda b: (b["start"] < s["end"]) & (b["end"] > s["start"]))
+    return F.transform(F.filter(find_all(text, pattern, "term"), apart), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), F.lower(s["value"]).alias("value")))
 
-def find_private(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", reach: int = 80, disclosure: float = 0.9, min_contexts: int = 3) -> DataFrame:
+
+def find_private(docs: DataFrame, text: str = "text", reach: int = 80, disclosure: float = 0.9, min_contexts: int = 3) -> DataFrame:
     """docs with array columns `base` and `terms` of spans: base finds, and terms that give a protected entity away."""
     if {"base", "terms"} & set(docs.columns):
         raise ValueError("the table already has a column base or terms")
-    found = base_spans(docs.withColumn("_row", F.xxhash64(text_of(text))), text)
-    near = written(_near(found, doc_id, text, reach), "pii-near")
-    reveal = revealing_terms(docs, near, doc_id, text, disclosure, min_contexts)
-    span = F.struct(F.lit("term").alias("kind"), F.col("start"), F.col("end"), F.col("term").alias("value"))
-    terms = near.join(reveal, ["entity", "term"]).groupBy(F.col("doc").alias("_doc"), F.col("row").alias("_row")).agg(F.array_sort(F.collect_set(span)).cast(f"array<{SPAN}>").alias("terms"))
-    joined = found.withColumn("_doc", F.col(doc_id)).join(terms, ["_doc", "_row"], "left")
-    return joined.select(*docs.columns, "base", F.coalesce("terms", F.array().cast(f"array<{SPAN}>")).alias("terms"))
+    private = written(_private(docs, text), "pii-private")
+    reveal = revealing_terms(docs, private, text, reach, disclosure, min_contexts)
+    marked = written(private.join(reveal, "key").select(F.col("key").alias("_key"), _term_spans(F.col("text"), F.col("terms"), F.col("base")).alias("_terms")), "pii-terms")
+    found = base_spans(docs, text)
+    none = F.array().cast(f"array<{SPAN}>")
+    # only rows with base finds meet the list of terms, so that most texts never move
+    clean, held = found.filter(F.size("base") == 0), found.filter(F.size("base") > 0)
+    mine = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    joined = held.select(mine, "base", F.md5(text_of(text).cast("binary")).alias("key")).join(marked, F.col("key") == F.col("_key"), "left")
+    return clean.withColumn("terms", none).unionByName(joined.select("row.*", "base", F.coalesce("_terms", none).alias("terms")))
 
 
 def spelt(spans: Column) -> Column:
