@@ -16,7 +16,9 @@ their rate among clean ones (logarithms of the counts), its length, and the marg
 turns the margin of the text into a score.
 
 Fitting uses at most `max_docs` labelled texts of each class, those of the smallest hash; texts that are near copies of
-others among them count once. Scoring reads every whole text.
+others among them count once. The machine of words is fitted on at most EXAMPLES toxic words, those told by most texts,
+and COUNTER + HARD + 2 AGAIN clean ones, its landmarks come from POOL words a side; GROUPS bounds a text's vector. Scoring
+reads every whole text.
 
 Defined cases: null and empty texts, and texts without letters, score as a word that shares nothing with any landmark;
 labels that are null are not used; without toxic or without clean labels every text scores the smoothed rate of toxic
@@ -26,7 +28,7 @@ labels; repeated rows score alike; output names that clash raise ValueError.
 from __future__ import annotations
 
 import re
-import sys
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -34,6 +36,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -49,6 +52,11 @@ CLEAR, SURE = 6.0, 6.0
 #: once or more, twice or more and so on counts.
 TIMES = (1, 2, 4)
 GROUPS, TELLING, TEXT_RIDGE = 128, 2.0, 1e-3
+#: Bounds of the machine of words: most examples, counterexamples drawn by hash, counterexamples likest to examples, those
+#: added in each of two rounds, and words among which landmarks are sought. They bound the fit, not what is scored.
+EXAMPLES, COUNTER, HARD, AGAIN, POOL = 4000, 6000, 2000, 3000, 600
+#: Sizes of the tiles in which kernels are computed; they bound memory.
+BLOCK_ROWS, BLOCK_LANDMARKS, BLOCK_WORDS = 256, 64, 4000
 WORD_LETTERS = 32  # longer runs of letters are taken in overlapping pieces of so many
 CACHE_WORDS, CHUNK_CHARS = 500_000, 2_000_000
 _OTHER = re.compile(r"[\W\d_]+")
@@ -105,19 +113,29 @@ def subsequences(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _kernel(rows: list[str], landmarks: list[str]) -> np.ndarray:
-    """Normalised kernel of all rows with the landmarks."""
+    """Normalised kernel of all rows with the landmarks, in tiles of BLOCK_ROWS by BLOCK_LANDMARKS."""
     lw, lf, lg = subsequences(landmarks)
     names, code = np.unique(lf, return_inverse=True)
-    table = np.zeros((len(names) + 1, len(landmarks)))
     norm = np.sqrt(np.bincount(lw, weights=lg**2, minlength=len(landmarks)))
-    np.add.at(table, (code, lw), lg / norm[lw])
     out = np.zeros((len(rows), len(landmarks)))
-    for k in range(0, len(rows), 4096):
-        w, f, g = subsequences(part := rows[k : k + 4096])
+    tables = []
+    for first in range(0, len(landmarks), BLOCK_LANDMARKS):
+        mine = (lw >= first) & (lw < first + BLOCK_LANDMARKS)
+        table = np.zeros((len(names) + 1, min(BLOCK_LANDMARKS, len(landmarks) - first)), np.float32)
+        np.add.at(table, (code[mine], lw[mine] - first), lg[mine] / norm[lw[mine]])
+        tables.append((first, table))
+    for k in range(0, len(rows), BLOCK_ROWS):
+        w, f, g = subsequences(part := rows[k : k + BLOCK_ROWS])
         own = np.sqrt(np.bincount(w, weights=g**2, minlength=len(part)))
         at = np.minimum(np.searchsorted(names, f), max(0, len(names) - 1))
-        hit = names[at] == f
-        np.add.at(out, k + w[hit], table[at[hit]] * (g[hit] / own[w[hit]])[:, None])
+        hit = np.flatnonzero(names[at] == f)
+        starts = hit[np.flatnonzero(np.r_[np.ones(min(1, len(hit)), bool), w[hit][1:] != w[hit][:-1]])] if len(hit) else hit
+        if not len(hit):
+            continue
+        share = (g[hit] / own[w[hit]])[:, None]
+        for first, table in tables:
+            sums = np.add.reduceat(table[at[hit]] * share, np.searchsorted(hit, starts), axis=0)
+            out[k + w[starts], first : first + table.shape[1]] = sums
     return out
 
 
@@ -148,8 +166,8 @@ class Model:
     def margins(self, words: list[str]) -> np.ndarray:
         out = np.full(len(words), self.bias)
         if len(words) and len(self.names):
-            for k in range(0, len(words), 20_000):
-                w, f, g = subsequences(part := words[k : k + 20_000])
+            for k in range(0, len(words), BLOCK_WORDS):
+                w, f, g = subsequences(part := words[k : k + BLOCK_WORDS])
                 own = np.bincount(w, weights=g**2, minlength=len(part))
                 at = np.minimum(np.searchsorted(self.names, f), len(self.names) - 1)
                 hit = self.names[at] == f
@@ -202,79 +220,115 @@ def _vectors(counts: np.ndarray, size: np.ndarray, highest: np.ndarray) -> np.nd
     return np.c_[np.log1p(counts), np.log1p(size), highest]
 
 
-def fit(texts: list[tuple[int, dict[str, int]]]) -> Model:
-    """A model from labels and texts' words, with how often each text holds them."""
-    toxic, fine = [ws for y, ws in texts if y], [ws for y, ws in texts if not y]
-    base = Model(np.zeros(0, np.uint64), np.zeros(0), 0.0, 0.0, 0.0, (len(toxic) + 1) / (len(toxic) + len(fine) + 2))
+@dataclass
+class Bags:
+    """Labelled texts as bags of words: text k holds vocab[code[j]] n[j] times, for j from ends[k] up to ends[k + 1]."""
+
+    y: np.ndarray
+    ends: np.ndarray
+    code: np.ndarray
+    n: np.ndarray
+    vocab: list[str]
+
+
+def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start[0], start[0] + 1 and so on, size[0] numbers, then those of start[1]."""
+    return np.arange(size.sum()) + np.repeat(start - (np.cumsum(size) - size), size)
+
+
+def _word_groups(vocab: list[str]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """(names, flat, first, size): the letter groups of word k are names[g] for g in flat[first[k]:][:size[k]]."""
+    ids: dict[str, int] = {}
+    flat, size = array("i"), np.zeros(len(vocab), np.int64)
+    for k, w in enumerate(vocab):
+        if len(w) > 2:
+            groups = _groups(w)
+            size[k] = len(groups)
+            flat.extend(ids.setdefault(g, len(ids)) for g in groups)
+    return list(ids), np.array(flat, np.int32), np.cumsum(size) - size, size
+
+
+def _highest(values: np.ndarray, ends: np.ndarray, least: float) -> np.ndarray:
+    """The highest value of each text, at least `least`."""
+    out, full = np.full(len(ends) - 1, least), np.flatnonzero(np.diff(ends))
+    if len(full):
+        out[full] = np.maximum(np.maximum.reduceat(values, ends[:-1][full]), least)
+    return out
+
+
+def fit(bags: Bags) -> Model:
+    """A model from labelled texts' bags of words."""
+    y, ends, code, n, vocab = bags.y, bags.ends, bags.code, bags.n, bags.vocab
+    toxic, fine = int((y > 0).sum()), int((y <= 0).sum())
+    base = Model(np.zeros(0, np.uint64), np.zeros(0), 0.0, 0.0, 0.0, (toxic + 1) / (toxic + fine + 2))
     if not toxic or not fine:
         return base
-    ids: dict[str, int] = {}  # letter groups by number, since sets of them would take most of the driver's memory
-    of = {w: np.array([ids.setdefault(g, len(ids)) for g in _groups(w)], np.int32) for w in dict.fromkeys(w for _, ws in texts for w in ws if len(w) > 2)}
-    count = np.zeros((len(TIMES), 2, len(ids)), np.int64)  # in how many toxic and clean texts a group is so many times
-    for side, group in enumerate((toxic, fine)):
-        for ws in group:
-            if met := [w for w in ws if w in of]:
-                g, at = np.unique(np.concatenate([of[w] for w in met]), return_inverse=True)
-                held = np.bincount(at, weights=np.repeat([ws[w] for w in met], [len(of[w]) for w in met]))
-                for n, times in zip(count, TIMES):
-                    n[side, g[held >= times]] += 1
+    names, flat, first, size = _word_groups(vocab)
+    count = np.zeros((len(TIMES), 2, len(names)), np.int32)  # in how many toxic and clean texts a group is so many times
+    for k in range(len(y)):
+        words, times = code[ends[k] : ends[k + 1]], n[ends[k] : ends[k + 1]]
+        group, at = np.unique(flat[_ranges(first[words], size[words])], return_inverse=True)
+        held = np.bincount(at, weights=np.repeat(times, size[words]), minlength=len(group))
+        for m, least in zip(count, TIMES):
+            m[0 if y[k] > 0 else 1, group[held >= least]] += 1
     # standard deviations above what the rate among clean texts lets expect, where it is well above it
-    expected = len(toxic) / len(fine) * count[:, 1]
+    expected = toxic / fine * count[:, 1]
     above = (count[:, 0] - expected) / np.sqrt(expected + 1)
     excess = np.where(count[0, 0] >= CLEAR * (expected[0] + 0.5), above[0], 0.0)
     best_of = np.where(count[:, 0] >= TELLING * (expected + 0.5), above, 0.0).max(axis=0)
-    names = list(ids)
-    telling = [names[k] for k in sorted(np.flatnonzero(best_of > 0).tolist(), key=lambda k: (-best_of[k], names[k]))[:GROUPS]]
-    tells = {w: float(excess[gs].max(initial=0.0)) for w, gs in of.items()}
-    told: Counter[str] = Counter()
-    for ws in toxic:
-        best = max((tells.get(w, 0.0) for w in ws), default=0.0)
-        if best >= SURE:
-            told.update(w for w in ws if tells.get(w, 0.0) >= max(SURE, 0.5 * best))
-    seen = Counter(w for ws in fine for w in ws if w in of)
-    positive = [w for w, n in sorted(told.items(), key=lambda x: (-x[1], x[0])) if n >= CLEAR * len(toxic) / len(fine) * seen[w]][:4000]
-    if not positive and not telling or not seen:
+    telling = sorted(np.flatnonzero(best_of > 0).tolist(), key=lambda g: (-best_of[g], names[g]))[:GROUPS]
+    tells, some = np.zeros(len(vocab)), np.flatnonzero(size)
+    if len(some):
+        tells[some] = np.maximum(np.maximum.reduceat(excess[flat], first[some]), 0.0)
+    text = np.repeat(np.arange(len(y)), np.diff(ends))
+    best = _highest(tells[code], ends, 0.0)[text]
+    told = np.bincount(code[(y[text] > 0) & (best >= SURE) & (tells[code] >= np.maximum(SURE, 0.5 * best))], minlength=len(vocab))
+    seen = np.bincount(code[(y[text] <= 0) & (size[code] > 0)], minlength=len(vocab))
+    positive = sorted(np.flatnonzero((told > 0) & (told >= CLEAR * toxic / fine * seen)).tolist(), key=lambda w: (-told[w], vocab[w]))[:EXAMPLES]
+    if not positive and not telling or not seen.any():
         return base
-    model = _word_machine(positive, seen, told, tells) if positive else Model(np.zeros(0, np.uint64), np.zeros(0), 0.0, 1.0, 0.0)
-    words = list(of)
-    margin_of = dict(zip(words, model.margins(words).tolist()))
-    model.groups = {g: k for k, g in enumerate(telling)}
-    counts, y = np.zeros((len(texts), len(telling))), np.array([1 if y else -1 for y, _ in texts])
-    for row, (_, ws) in zip(counts, texts):
-        for w, n in ws.items():
-            for k in model.held(w):
-                row[k] += n
-    highest = np.array([max([model.bias, *(margin_of.get(w, model.bias) for w in ws)]) for _, ws in texts])
-    x = _vectors(counts, np.array([sum(ws.values()) for _, ws in texts]), highest)
+    model = _word_machine(vocab, positive, seen, told, tells) if positive else Model(np.zeros(0, np.uint64), np.zeros(0), 0.0, 1.0, 0.0)
+    model.groups = {names[g]: k for k, g in enumerate(telling)}
+    column = np.full(len(names), -1)
+    column[telling] = np.arange(len(telling))
+    counts = np.zeros((len(y), len(telling)))
+    for k in range(len(y)):
+        words, times = code[ends[k] : ends[k + 1]], n[ends[k] : ends[k + 1]]
+        at = column[flat[_ranges(first[words], size[words])]]
+        counts[k] = np.bincount(at[at >= 0], weights=np.repeat(times, size[words])[at >= 0], minlength=len(telling))
+    words = np.bincount(text, weights=n, minlength=len(y))
+    x = _vectors(counts, words, _highest(model.margins(vocab)[code], ends, model.bias))
+    sign = np.where(y > 0, 1, -1)
     mean, scale = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-6) * np.sqrt(x.shape[1])
-    v, bias = _svm((x - mean) / scale, y, np.where(y > 0, 1 / len(toxic), 1 / len(fine)), TEXT_RIDGE)
+    v, bias = _svm((x - mean) / scale, sign, np.where(sign > 0, 1 / toxic, 1 / fine), TEXT_RIDGE)
     model.whole = np.r_[v / scale, bias - (mean / scale) @ v]
-    model.slope, model.offset = _logistic(x @ model.whole[:-1] + model.whole[-1], y)
+    model.slope, model.offset = _logistic(x @ model.whole[:-1] + model.whole[-1], sign)
     return model
 
 
-def _word_machine(positive: list[str], seen: Counter[str], told: Counter[str], tells: dict[str, float]) -> Model:
+def _word_machine(vocab: list[str], positive: list[int], seen: np.ndarray, told: np.ndarray, tells: np.ndarray) -> Model:
     """The machine of words: examples against the words of clean texts."""
-    plain = sorted(set(seen) - set(positive), key=xxhash.xxh3_64_intdigest)
-    hard = sorted(plain, key=lambda w: -tells[w])[:2000]
-    negative = list(dict.fromkeys(plain[:6000] + hard))
-    landmarks = _spread(positive[:600], LANDMARKS * 2 // 3) + _spread(plain[:300] + hard[:300], LANDMARKS // 3)
+    no = set(positive)
+    plain = sorted((w for w in np.flatnonzero(seen).tolist() if w not in no), key=lambda w: (xxhash.xxh3_64_intdigest(vocab[w]), vocab[w]))
+    hard = sorted(plain, key=lambda w: -tells[w])[:HARD]
+    negative = list(dict.fromkeys(plain[:COUNTER] + hard))
+    spelt = lambda ws: [vocab[w] for w in ws]
+    landmarks = _spread(spelt(positive[:POOL]), LANDMARKS * 2 // 3) + _spread(spelt(plain[: POOL // 2] + hard[: POOL // 2]), LANDMARKS // 3)
     cost = told + seen  # in how many texts a word decides
-    model = _machine(landmarks, positive, negative, cost)
+    model = _machine(landmarks, spelt(positive), spelt(negative), cost[positive + negative])
     for _ in range(2):  # clean words that the machine takes for toxic join the counterexamples
-        margin = model.margins(plain)
-        negative = list(dict.fromkeys(negative + [plain[k] for k in np.argsort(-margin)[:3000] if margin[k] > -0.8]))
-        model = _machine(landmarks, positive, negative, cost)
+        margin = model.margins(spelt(plain))
+        negative = list(dict.fromkeys(negative + [plain[k] for k in np.argsort(-margin, kind="stable")[:AGAIN] if margin[k] > -0.8]))
+        model = _machine(landmarks, spelt(positive), spelt(negative), cost[positive + negative])
     return model
 
 
-def _machine(landmarks: list[str], positive: list[str], negative: list[str], cost: Counter[str]) -> Model:
+def _machine(landmarks: list[str], positive: list[str], negative: list[str], weight: np.ndarray) -> Model:
     value, vector = np.linalg.eigh(_kernel(landmarks, landmarks))
     keep = value > 1e-6
     root = vector[:, keep] / np.sqrt(value[keep])  # Nyström: K(x, L) @ root are the features
     x = _kernel(positive + negative, landmarks) @ root
     y = np.r_[np.ones(len(positive)), -np.ones(len(negative))]
-    weight = np.array([cost[w] for w in positive + negative], float)
     v, bias = _svm(x, y, weight * np.where(y > 0, 1 / weight[y > 0].sum(), 1 / weight[y < 0].sum()))
     share = root @ v  # of each landmark
     w, f, g = subsequences(landmarks)
@@ -296,20 +350,19 @@ def _spread(words: list[str], n: int) -> list[str]:
     return [words[k] for k in chosen]
 
 
-def _prints(text: str) -> str:
+def _prints(text: str) -> list[int]:
     """Four min-hashes of the text's three-token shingles, by which near copies are told."""
     tokens = text.lower().split()
     h = np.array([xxhash.xxh3_64_intdigest(" ".join(tokens[k : k + 3])) for k in range(max(1, len(tokens) - 2))], np.uint64)
-    return " ".join(str(int(((h ^ np.uint64(s * 0x5851F42D4C957F2D & (2**64 - 1))) * PRIME).min())) for s in range(4))
+    return [int(((h ^ np.uint64(s * 0x5851F42D4C957F2D & (2**64 - 1))) * PRIME).min() >> np.uint64(1)) for s in range(4)]
 
 
-def _apart(rows: list[tuple[int, str, str]]) -> list[tuple[int, dict[str, int]]]:
-    """Labels and words of texts with their counts, without those that share two of four min-hashes with an earlier one of the same label."""
-    met, out = set(), []
-    for y, words, prints in rows:
-        keys = [(y, s, p) for s, p in enumerate(prints.split())]
-        if sum(k in met for k in keys) < 2:
-            out.append((y, {sys.intern(w): int(n) for w, n in (x.split(":") for x in words.split())}))
+def _apart(y: list[int], prints: list[list[int]]) -> np.ndarray:
+    """Which texts share fewer than two of four min-hashes with an earlier one of the same label."""
+    met, out = set(), np.zeros(len(y), bool)
+    for k, (label, text) in enumerate(zip(y, prints)):
+        keys = [(label, s, p) for s, p in enumerate(text)]
+        out[k] = sum(key in met for key in keys) < 2
         met.update(keys)
     return out
 
@@ -320,17 +373,23 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS, doc_id:
     order = F.xxhash64("_id")
     # at most 2 * max_docs ids
     chosen = known.filter("_y = 1").orderBy(order, "_id").limit(max_docs).unionByName(known.filter("_y = 0").orderBy(order, "_id").limit(max_docs))
-    rows = docs.select(F.col(doc_id).alias("_id"), text_of(text).alias("_text")).join(F.broadcast(chosen), "_id").select("_id", "_y", "_text")
+    rows = docs.select(F.col(doc_id).alias("_id"), text_of(text).alias("_text")).join(F.broadcast(chosen), "_id").select("_id", "_y", F.xxhash64("_text").alias("_hash"), "_text")
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [" ".join(f"{w}:{n}" for w, n in sorted(Counter(segments(t.as_py())).items()) if w) for t in batch.column(2)]
-            prints = pa.array([_prints(t.as_py()) for t in batch.column(2)], pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.string()), prints], names=["_id", "_y", "words", "prints"])
-
-    schema = T.StructType([rows.schema["_id"], T.StructField("_y", T.IntegerType()), T.StructField("words", T.StringType()), T.StructField("prints", T.StringType())])
-    found = rows.mapInArrow(words, schema).toArrow().sort_by([("_id", "ascending"), ("words", "ascending")])
-    return fit(_apart(list(zip(*(found[c].to_pylist() for c in ("_y", "words", "prints"))))))
+            for k in range(len(batch)):
+                text = batch.column(3)[k].as_py()
+                found = sorted((w, n) for w, n in Counter(segments(text)).items() if w)
+                columns = [pa.array([[w for w, _ in found]], pa.list_(pa.string())), pa.array([[n for _, n in found]], pa.list_(pa.int32())), pa.array([_prints(text)], pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(k, 1) for c in range(3)), *columns], names=["_id", "_y", "_hash", "words", "n", "prints"])
+
+    schema = T.StructType([*rows.schema.fields[:3], T.StructField("words", T.ArrayType(T.StringType())), T.StructField("n", T.ArrayType(T.IntegerType())), T.StructField("prints", T.ArrayType(T.LongType()))])
+    found = rows.mapInArrow(words, schema).toArrow()
+    found = found.take(pc.sort_indices(found.select(["_id", "_hash"]), [("_id", "ascending"), ("_hash", "ascending")]))
+    found = found.filter(pa.array(_apart(found["_y"].to_pylist(), found["prints"].to_pylist())))
+    code = pc.list_flatten(found["words"]).combine_chunks().dictionary_encode()
+    ends = np.r_[0, np.cumsum(np.array(pc.list_value_length(found["words"]), np.int64))].astype(np.int64)
+    return fit(Bags(np.array(found["_y"]), ends, np.array(code.indices, np.int64), np.array(pc.list_flatten(found["n"]), np.int64), code.dictionary.to_pylist()))
 
 
 class Scorer:
