@@ -3,14 +3,16 @@
 The rows (hash, document, position) are range-partitioned by hash and document and sorted within partitions, largest
 document first, so that the first occurrence of a hash leads its run. One pass over a partition decides each run that
 lies inside it. A run that touches a partition's edge may go on next door, as a line that a third of all documents hold
-does: its rows are passed on, counted with partial aggregates and joined with those counts. There are at most two such
-hashes a partition, so the counts are small enough to broadcast at any size of input.
+does: its rows are passed on as they come, counted with partial aggregates and joined with those counts; so are those of
+runs of over LONG rows, so that no more than these are ever held. There are few such hashes a partition, two and one for
+each LONG rows, so the counts are small enough to broadcast at any size of input.
 
 A key is a line, stripped of blanks at both ends and lower-cased (A-Z); only keys of `min_chars` code points or more
 take part. A key found in `min_docs` documents or more loses all its lines but those of the largest doc_id.
 
-Defined cases: a null or empty text is one empty line; rows that repeat a doc_id count as one document, and each keeps
-its own lines; an empty table gives an empty table; columns other than doc_id and the text are left alone.
+Defined cases: a null or empty text is one empty line; rows without a doc_id count as no document and keep all their lines;
+rows that repeat a doc_id count as one document, and each keeps its own lines; an empty table gives an empty table; columns
+other than doc_id and the text are left alone, whatever their names, but for n_lines and n_dropped, which raise ValueError.
 """
 
 from __future__ import annotations
@@ -26,9 +28,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pelagos.llm.tables import text_of, written
+from pelagos.llm.tables import free, text_of, written
 
 BLANKS = " \t\n\x0b\x0c\r"
+#: Rows of a run that are held to be decided at once; rows of documents for each range.
+LONG, DOCS_PER_RANGE = 65_536, 100_000
 LINES = "h1 long, h2 long, doc_id long, row_hash long, pos int"
 
 
@@ -55,33 +59,46 @@ def line_hashes(docs: DataFrame, min_chars: int, doc_id: str = "doc_id", text: s
                 of = pa.array(row[long])
                 yield pa.RecordBatch.from_arrays([pa.array(digest[:, 0]), pa.array(digest[:, 1]), part.column(0).take(of), part.column(2).take(of), pa.array(pos[long].astype(np.int32))], names=["h1", "h2", "doc_id", "row_hash", "pos"])
 
-    return _with_row(docs, doc_id, text).mapInArrow(run, LINES)
+    return _with_row(docs, doc_id, text).filter("doc_id IS NOT NULL").mapInArrow(run, LINES)
 
 
 def _runs(min_docs: int):
-    """Passes once over a sorted partition: yields rows to drop, and (edge) all rows of the runs at its two edges."""
+    """Passes once over a sorted partition: yields rows to drop, and (edge) all rows of long runs and of those at its two edges."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first, held = True, []
+        last, held, rows, passing = None, [], 0, True  # passing: the run that is open goes on as edge rows
         for batch in batches:
-            table = pa.Table.from_batches([*held, batch])
-            start = _starts(table)
-            if first and len(start) > 1:
-                yield from _marked(table.slice(0, start[1]), True)
-                table, start, first = table.slice(start[1]), start[1:] - start[1], False
-            if not first:
-                yield from _decided(table.slice(0, start[-1]), start[:-1], min_docs)
-                table = table.slice(start[-1])
-            held = table.to_batches()
-        if held:
-            yield from _marked(pa.Table.from_batches(held), True)
+            if not len(batch):
+                continue
+            start = _starts(batch, last)
+            last = (batch.column("h1")[-1], batch.column("h2")[-1])
+            head = batch.slice(0, start[0]) if len(start) else batch
+            if passing:
+                yield from _marked(head, True)
+            elif len(head):
+                held, rows = [*held, head], rows + len(head)
+            if len(start):
+                if held:
+                    table = pa.Table.from_batches(held).combine_chunks()
+                    yield from _decided(table, np.zeros(1, np.int64), min_docs)
+                yield from _decided(pa.Table.from_batches([batch.slice(start[0], start[-1] - start[0])]), start[:-1] - start[0], min_docs)
+                tail = batch.slice(start[-1])
+                held, rows, passing = [tail], len(tail), False
+            if rows > LONG:
+                for part in held:
+                    yield from _marked(part, True)
+                held, rows, passing = [], 0, True
+        for part in held:
+            yield from _marked(part, True)
 
     return run
 
 
-def _starts(table: pa.Table) -> np.ndarray:
-    h1, h2 = np.array(table.column("h1")), np.array(table.column("h2"))
-    return np.flatnonzero(np.r_[np.ones(min(1, len(h1)), bool), (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])])
+def _starts(batch: pa.RecordBatch, last: tuple | None) -> np.ndarray:
+    """Where runs begin; the first row of a partition begins none, since its run may have begun before."""
+    h1, h2 = np.array(batch.column("h1")), np.array(batch.column("h2"))
+    first = last is not None and (h1[0] != last[0].as_py() or h2[0] != last[1].as_py())
+    return np.flatnonzero(np.r_[first, (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])])
 
 
 def _decided(table: pa.Table, start: np.ndarray, min_docs: int) -> Iterator[pa.RecordBatch]:
@@ -97,8 +114,8 @@ def _decided(table: pa.Table, start: np.ndarray, min_docs: int) -> Iterator[pa.R
     yield from _marked(table.filter(pa.array(out)), False)
 
 
-def _marked(table: pa.Table, edge: bool) -> Iterator[pa.RecordBatch]:
-    for batch in table.to_batches():
+def _marked(table: pa.Table | pa.RecordBatch, edge: bool) -> Iterator[pa.RecordBatch]:
+    for batch in table.to_batches() if isinstance(table, pa.Table) else [table]:
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(batch), edge))], names=[*batch.schema.names, "edge"])
 
 
@@ -108,13 +125,13 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, doc_id
     The bitmap's bits are in line order, lowest bit first; lines beyond its end stay.
     """
     spark = docs.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-docs.count() // DOCS_PER_RANGE))
     lines = line_hashes(docs, min_chars, doc_id, text)
     order = [F.col("h1"), F.col("h2"), F.col("doc_id").desc(), F.col("row_hash"), F.col("pos")]
     sorted_ = lines.repartitionByRange(n, *order[:3]).sortWithinPartitions(*order)
     out = written(sorted_.mapInArrow(_runs(min_docs), f"{LINES}, edge boolean"), "line-runs")
     edges = out.filter("edge")
-    # at most two hashes a partition: small at any size
+    # few hashes a partition: small at any size
     counts = edges.groupBy("h1", "h2", "doc_id").agg(F.lit(1).alias("one")).groupBy("h1", "h2").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("keeper"))
     late = edges.join(F.broadcast(counts.filter(F.col("n_docs") >= min_docs)), ["h1", "h2"]).filter("doc_id <> keeper")
     drops = out.filter("NOT edge").select("doc_id", "row_hash", "pos").unionByName(late.select("doc_id", "row_hash", "pos"))
@@ -139,8 +156,9 @@ def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, doc_id: str = "doc_id", t
     if {"n_lines", "n_dropped"} & set(docs.columns):
         raise ValueError("the table already has a column n_lines or n_dropped")
     names, where = docs.columns, docs.columns.index(text)
-    maps = bitmaps.select(F.col("doc_id").alias("_id"), F.col("row_hash").alias("_row"), F.col("keep").alias("_keep"))
-    joined = docs.join(maps, (F.col(doc_id).cast("long") == F.col("_id")) & (F.xxhash64(text_of(text)) == F.col("_row")), "left")
+    id_, row, keep_ = (free(names, x) for x in ("map_id", "map_row", "map_keep"))
+    maps = bitmaps.select(F.col("doc_id").alias(id_), F.col("row_hash").alias(row), F.col("keep").alias(keep_))
+    joined = docs.join(maps, (F.col(doc_id).cast("long") == F.col(id_)) & (F.xxhash64(text_of(text)) == F.col(row)), "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -159,4 +177,4 @@ def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, doc_id: str = "doc_id", t
             yield pa.RecordBatch.from_arrays([*cols, pa.array(size, pa.int64()), pa.array(dropped, pa.int64())], names=[*names, "n_lines", "n_dropped"])
 
     schema = [T.StructField(f.name, T.StringType()) if f.name == text else f for f in docs.schema.fields]
-    return joined.select(*names, "_keep").mapInArrow(run, T.StructType([*schema, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())]))
+    return joined.select(*names, keep_).mapInArrow(run, T.StructType([*schema, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())]))

@@ -15,8 +15,8 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir of the session; a local one only where it is unset."""
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    """The folder all executors share: spark.checkpoint.dir, else what setCheckpointDir() was given; a local one only where neither is set."""
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
         folder = getattr(spark.sparkContext, "_pelagos_dir", None) or tempfile.mkdtemp(prefix="pelagos-")
         spark.sparkContext._pelagos_dir = folder
@@ -52,6 +52,13 @@ def _remove(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def free(columns: list[str], name: str) -> str:
+    """The name, with as many underscores before it as it takes to clash with none of the columns."""
+    while name.lower() in {c.lower() for c in columns}:
+        name = f"_{name}"
+    return name
+
+
 def text_of(col: str = "text"):
     """The whole text; null counts as empty."""
     return F.coalesce(F.col(col).cast("string"), F.lit(""))
