@@ -95,25 +95,28 @@ def best_fit(docs: DataFrame, capacity: int = 2048, length: Column | None = None
     size = n_words(text) if length is None else F.coalesce(length.cast("long"), F.lit(0))
     same = F.xxhash64(text_of(text)) if cluster is None else F.when(cluster.isNotNull(), F.xxhash64(cluster))
     shards = max(1, -(-docs.count() // SHARD_PIECES))
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), size.alias("size"), F.col(source).cast("string").alias("source"), same.alias("cluster"), F.pmod(F.xxhash64(F.col(doc_id), text_of(text)), F.lit(shards)).alias("shard"))
+    named = F.col(doc_id).cast("long")
+    # no nulls among the numbers: pandas would make floats of them, which don't hold large ids
+    rows = docs.select(F.coalesce(named, F.lit(0)).alias("doc_id"), named.isNotNull().alias("named"), size.alias("size"), F.col(source).cast("string").alias("source"), same.cast("string").alias("cluster"), F.pmod(F.xxhash64(F.col(doc_id), text_of(text)), F.lit(shards)).alias("shard"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.astype({"cluster": "Int64"}).sort_values(["doc_id", "size", "cluster"], kind="stable")
+        pdf = pdf.sort_values(["named", "doc_id", "size", "cluster", "source"], kind="stable")
         source_bit = {s: 1 << k for k, s in enumerate(pd.unique(pdf["source"].dropna()))}
         cluster_bit = {c: 1 << k for k, c in enumerate(pdf.loc[pdf["cluster"].duplicated() & pdf["cluster"].notna(), "cluster"].unique())}
         made, rests = [], []
-        for doc, total, src, clu in pdf[["doc_id", "size", "source", "cluster"]].itertuples(index=False):
+        for doc, total, src, clu in zip(zip(pdf["named"].tolist(), pdf["doc_id"].tolist()), pdf["size"].tolist(), pdf["source"], pdf["cluster"]):
             full = int(total) // capacity
             made += [(doc, k, k * capacity, capacity) for k in range(full)]
             if total % capacity or not full:
                 rests.append((int(total) % capacity, doc, full, source_bit.get(src, 0), cluster_bit.get(clu, 0)))
         bins = len(made)
         rows = [(doc, k, n, 0, start, size, 0) for n, (doc, k, start, size) in enumerate(made)]
-        rests.sort(key=lambda r: (-r[0], r[1] if r[1] == r[1] else -1, r[2]))
+        rests.sort(key=lambda r: (-r[0], r[1], r[2]))
         placed = pack([(n, s, c) for n, _, _, s, c in rests], capacity)
         room = pd.Series([r[0] for r in rests], dtype="int64").groupby([b for b, _, _ in placed]).sum() if placed else {}
         rows += [(doc, k, bins + b, slot, k * capacity, n, capacity - int(room[b])) for (n, doc, k, _, _), (b, slot, _) in zip(rests, placed)]
         out = pd.DataFrame(rows, columns=["doc_id", "piece", "bin", "slot", "start", "length", "residual"])
+        out["doc_id"] = pd.array([doc if named else None for named, doc in out["doc_id"]], dtype="Int64")
         out["shard"] = pdf["shard"].iloc[0]
         return out[["doc_id", "piece", "shard", "bin", "slot", "start", "length", "residual"]]
 
