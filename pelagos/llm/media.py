@@ -5,7 +5,7 @@ follows its structure and lengths from there; only what it confirms counts.
 
 Defined cases: null bytes count as empty, which is no known format; bytes that no validator confirms at 0 keep
 their declared type; media that begin inside other confirmed media are reported as embedded in it, and inside those
-nothing is looked for again; repeated rows are each sniffed; an output name that clashes with a column raises ValueError.
+`carve` looks again, level by level; a medium whose end is cut off is none; repeated rows are each sniffed; an output name that clashes with a column raises ValueError.
 """
 
 from __future__ import annotations
@@ -36,7 +36,8 @@ MAGIC = [
     ("audio/ogg", b"OggS", 0),
     ("video/mp4", b"ftyp", 4),
 ]
-SAMPLES_AT = 44  # of a canonical PCM header
+#: Bytes that are taken at once from a compressed stream, and from a batch of rows.
+STEP, CHUNK_BYTES = 1 << 16, 8 << 20
 
 
 def wav(payload: bytes, rate: int = 8000) -> bytes:
@@ -125,32 +126,42 @@ def _riff(d: bytes, at: int) -> int:
 
 
 def _pdf(d: bytes, at: int) -> int:
-    end = d.find(b"%%EOF", at)
-    return end + 5 - at if end > 0 and d.find(b"startxref", at, end) > 0 else 0
+    """Up to the last end mark, before the next header, whose startxref leads to a cross-reference: files grow by appended parts."""
+    limit = d.find(b"%PDF-", at + 5)
+    end = limit = len(d) if limit < 0 else limit
+    while (end := d.rfind(b"%%EOF", at, end)) > 0:
+        sign = d.rfind(b"startxref", at, end)
+        to = d[sign + 9 : end].strip() if 0 < sign and end - sign < 64 else b""
+        if to.isdigit() and (int(to) == 0 or d[at + int(to) : at + int(to) + 4] == b"xref" or d[at + int(to) : at + int(to) + 1].isdigit()) and at + int(to) < end:
+            return end + 5 - at
+    return 0
 
 
 def _gzip(d: bytes, at: int) -> int:
     if at + 18 > len(d) or d[at + 3] & 0xE0:
         return 0
-    reader = zlib.decompressobj(31)
+    reader, k, view = zlib.decompressobj(31), at, memoryview(d)
     try:
-        tail = d[at:]
-        while tail and not reader.eof:  # nothing unpacked is kept
-            reader.decompress(tail, 1 << 16)
-            tail = reader.unconsumed_tail
-        return len(d) - at - len(reader.unused_data) if reader.eof else 0
+        while k < len(d) and not reader.eof:  # nothing unpacked is kept
+            part = view[k : k + STEP]
+            k += len(part)
+            while len(part) and not reader.eof:
+                reader.decompress(part, STEP)
+                part = reader.unconsumed_tail
+        return k - at - len(reader.unused_data) if reader.eof else 0
     except zlib.error:
         return 0
 
 
-def _zip(d: bytes, at: int) -> int:
-    end = d.find(b"PK\x05\x06", at)
+def _zips(d: bytes) -> dict[int, int]:
+    """Start and length of the archives that each end record tells of."""
+    out, end = {}, d.find(b"PK\x05\x06")
     while 0 <= end <= len(d) - 22:
         size, start, note = struct.unpack_from("<IIH", d, end + 12)
-        if at + start + size == end and end + 22 + note <= len(d):
-            return end + 22 + note - at
+        if end - start - size >= 0 and end + 22 + note <= len(d):
+            out.setdefault(end - start - size, start + size + 22 + note)
         end = d.find(b"PK\x05\x06", end + 4)
-    return 0
+    return out
 
 
 def _flac(d: bytes, at: int) -> int:
@@ -179,14 +190,19 @@ def _mp4(d: bytes, at: int) -> int:
     k, boxes = at, set()
     while at >= 0 and k + 8 <= len(d):
         size, name = struct.unpack_from(">I4s", d, k)
-        if size < 8 or k + size > len(d) or (k == at) != (name == b"ftyp"):
+        least = 8
+        if size == 1 and k + 16 <= len(d):  # the length stands in 64 bits behind the name
+            size, least = struct.unpack_from(">Q", d, k + 8)[0], 16
+        elif size == 0 and name == b"mdat":  # the last box, up to the end
+            size = len(d) - k
+        if size < least or k + size > len(d) or (k == at) != (name == b"ftyp"):
             break
         k += size
         boxes.add(name)
     return k - at if boxes & {b"moov", b"mdat", b"moof"} else 0
 
 
-VALID = {"image/png": _png, "image/jpeg": _jpeg, "image/gif": _gif, "image/bmp": _bmp, "audio/wav": _riff, "image/webp": _riff, "application/pdf": _pdf, "application/gzip": _gzip, "application/zip": _zip, "audio/flac": _flac, "audio/ogg": _ogg, "video/mp4": _mp4}
+VALID = {"image/png": _png, "image/jpeg": _jpeg, "image/gif": _gif, "image/bmp": _bmp, "audio/wav": _riff, "image/webp": _riff, "application/pdf": _pdf, "application/gzip": _gzip, "audio/flac": _flac, "audio/ogg": _ogg, "video/mp4": _mp4}
 
 
 @cache
@@ -203,11 +219,16 @@ def _automaton():
 def sniff(data: bytes) -> list[tuple[str, int, int]]:
     """Kind, start and length of each confirmed medium: by start, then longest first; nested media but one level deep."""
     hits = sorted({(end + 1 - size - offset, kind) for end, (kind, size, offset) in _automaton().iter(data.decode("latin-1"))})
-    found, outer, inner = [], 0, 0
+    found, outer, inner, zips = [], 0, 0, None
     for at, kind in hits:
         if at < 0 or at < inner:
             continue
-        if size := VALID[kind](data, at):
+        if kind == "application/zip":
+            zips = _zips(data) if zips is None else zips
+            size = zips.get(at, 0)
+        else:
+            size = VALID[kind](data, at)
+        if size:
             found.append((kind, at, size))
             if at >= outer:
                 outer, inner = at + size, at
@@ -216,6 +237,17 @@ def sniff(data: bytes) -> list[tuple[str, int, int]]:
     return found
 
 
+def _parts(batches: Iterator[pa.RecordBatch], col: str) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of CHUNK_BYTES of a column, or of one row."""
+    for batch in batches:
+        first, size = 0, 0
+        for k, x in enumerate(batch.column(col)):
+            size += len(x.as_buffer() or b"") if x.is_valid else 0
+            if size >= CHUNK_BYTES or k == len(batch) - 1:
+                yield batch.slice(first, k + 1 - first)
+                first, size = k + 1, 0
+
+
 SNIFFED = T.StructType([
     T.StructField("media_type", T.StringType()),
     T.StructField("corrected", T.BooleanType()),
@@ -230,7 +262,7 @@ def sniff_media(df: DataFrame, data: str = "media", declared: str | None = None,
     kinds = pa.struct([("media_type", pa.string()), ("corrected", pa.bool_()), ("media", pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("length", pa.int64())])))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _parts(batches, data):
             said = batch.column(declared).to_pylist() if declared else [None] * len(batch)
             made = []
             for x, was in zip(batch.column(data), said):
@@ -242,13 +274,44 @@ def sniff_media(df: DataFrame, data: str = "media", declared: str | None = None,
     return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(out, SNIFFED)]))
 
 
+def carve(df: DataFrame, data: str = "media", levels: int = 3) -> DataFrame:
+    """A row for each medium in df's bytes, and in these again, down to so many levels: df's other columns, level, kind, start, length and bytes.
+
+    start counts from the beginning of df's bytes.
+    """
+    names = ["level", "kind", "start", "length", "bytes"]
+    others = [f for f in df.schema.fields if f.name != data]
+    if set(names) & {f.name for f in others}:
+        raise ValueError(f"the table already has a column of {', '.join(names)}")
+
+    def inside(raw: bytes, offset: int, level: int) -> Iterator[tuple[int, str, int, bytes]]:
+        for kind, at, size in sniff(raw):
+            whole = (at, size) == (0, len(raw))
+            if level == 1 or not whole:  # a medium is not in itself
+                yield level, kind, offset + at, raw[at : at + size]
+            if level < levels and not (whole and level > 1):
+                yield from ((n, k, a, x) for n, k, a, x in inside(raw[at + 1 : at + size], offset + at + 1, level + 1))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _parts(batches, data):
+            for k, x in enumerate(batch.column(data)):
+                # what is nested in a medium that sniff() already reports is found once, at its place
+                found = {(at, kind): (level, kind, at, raw) for level, kind, at, raw in inside(x.as_py() or b"", 0, 1)}
+                rows = sorted(found.values(), key=lambda r: (r[2], -len(r[3]), r[1]))
+                here = batch.select([f.name for f in others]).take(pa.array([k] * len(rows), pa.int32()))
+                made = [pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.int64()), pa.array([len(r[3]) for r in rows], pa.int64()), pa.array([r[3] for r in rows], pa.binary())]
+                yield pa.RecordBatch.from_arrays([*here.columns, *made], names=[*here.schema.names, *names])
+
+    return df.mapInArrow(run, T.StructType([*others, T.StructField("level", T.IntegerType()), T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), T.StructField("bytes", T.BinaryType())]))
+
+
 def store_texts(df: DataFrame, text: str = "text", block: int = 64, out: str = "media") -> DataFrame:
     """df without its text, with the text's UTF-8 (null: empty) and 0 bytes up to a positive multiple of `block`, as 8-bit samples."""
     if out in df.columns or "n_bytes" in df.columns:
         raise ValueError(f"the table already has a column {out} or n_bytes")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _parts(batches, text):
             raw = [(t.as_py() or "").encode() for t in batch.column(text)]
             media = pa.array([wav(t + b"\0" * (max(block, -(-len(t) // block) * block) - len(t))) for t in raw], pa.binary())
             kept = [(c, n) for c, n in zip(batch.columns, batch.schema.names) if n != text]
@@ -259,9 +322,11 @@ def store_texts(df: DataFrame, text: str = "text", block: int = 64, out: str = "
 
 def sample_features(df: DataFrame, data: str = "media", sniffed: str = "sniffed") -> DataFrame:
     """df with `payload`, read back from the stored samples, and `feature`: type, media found, and moments of the samples."""
+    if {"payload", "feature"} & set(df.columns):
+        raise ValueError("the table already has a column payload or feature")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _parts(batches, data):
             payloads, features = [], []
             for x, s in zip(batch.column(data), batch.column(sniffed).to_pylist()):
                 payload = wav_samples(x.as_py())
