@@ -1,12 +1,14 @@
 """Secret scans: candidates by pattern, false positives removed by a random forest.
 
 A candidate is a key of a fixed format, a value that is assigned to a telling name, or a run of key letters that is long
-and mixed enough, each without the punctuation behind it. Features: its length, how its characters follow one
-another (class changes, entropy, share of digits and capitals, how usual its letter pairs are in English words), how
-much of it a dictionary of syllables covers, whether it stands in a path or an address, and which words stand beside
-it. The forest learns from labelled findings; `generated_findings` makes such a set from the public formats of keys and
-of things that look like them, and a user's own labelled findings (columns before, value, after, label) can take its
-place or join it.
+and mixed enough, each without the punctuation behind it. Features: its length, how
+its characters follow one another (class changes, entropy, shares of digits and capitals, and how likely its letter pairs
+are by a table of transitions), how much of it words of a dictionary cover, its path (slashes, an address before it), and
+the words beside it and in its path, by the odds at which labelled findings hold them. Transitions and dictionary are
+learned from all documents: the table has a row for each pair of letters, the dictionary at most DICTIONARY words. The
+forest and the odds are learned from labelled findings; `generated_findings` makes such a set from the public formats of
+keys and of things that look like them, with words of the dictionary, and a user's own labelled findings (columns before,
+value, after, label) can take its place or join it.
 
 Defined cases: null and empty texts have no findings; of equal candidates each occurrence counts; repeated rows are
 each scanned; an empty table stays empty; other columns pass through, clashing output names raise ValueError.
@@ -20,16 +22,19 @@ import re
 import string
 from bisect import bisect_left
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pelagos.llm.tables import text_of, written
+
 CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_.-])[A-Za-z0-9+/_.-]{12,}+={0,2}(?![A-Za-z0-9+/_=.-])")
 #: Keys that their format tells, wherever they stand.
 FIXED = re.compile(
@@ -40,11 +45,12 @@ FIXED = re.compile(
 SIGN = re.compile(r"[:=]")
 NAMED = re.compile(r"(?:password|passwd|pwd|secret|token|key|auth(?!or(?!iz))|bearer|credential)[A-Za-z0-9_.-]{0,40}[\"']?\s{0,3}:?$", re.I)
 VALUE = re.compile(r"\s{0,3}(?:(?:bearer|basic)\s{1,3})?(?:\"([^\s\"]{6,}+)\"|'([^\s']{6,}+)'|[\"']?((?:[^\s\"'&;,]|[&;,](?![\s\"')\]}]|$|[A-Za-z0-9_.-]{1,60}\s?[=:])){6,}+))", re.I)
-#: Words that stand beside secrets, words beside other long tokens, and common English syllables.
-HINTS = ("password", "passwd", "pwd", "secret", "token", "key", "auth", "bearer", "credential", "private", "access")
-PLAIN = ("sha", "md5", "hash", "commit", "uuid", "id", "checksum", "digest", "version", "build", "href", "src", "url", "example", "file", "image")
+#: Words of which generated findings are made where the documents have none.
 SYLLABLES = ("the", "and", "ing", "ion", "ent", "ter", "est", "ment", "ness", "able", "con", "pre", "com", "per", "ver", "man", "day", "age", "ful", "int", "str", "get", "set", "data", "time", "name", "file", "test", "main", "view", "list", "type", "user", "page", "read", "work", "land", "light", "book", "form")
-FEATURES = 18
+#: Most words of the dictionary, and how often the documents must hold one; how often findings must hold a word to have odds.
+DICTIONARY, SEEN, TOLD = 50_000, 5, 8
+LETTERS = "^abcdefghijklmnopqrstuvwxyz$"
+FEATURES = 20
 WINDOW = 40
 FOUND = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("value", T.StringType()), T.StructField("probability", T.DoubleType())]))
 
@@ -87,21 +93,68 @@ def _class(c: str) -> int:
     return 0 if c.islower() else 1 if c.isupper() else 2 if c.isdigit() else 3
 
 
-def features(before: str, value: str, after: str) -> list[float]:
+@dataclass
+class Language:
+    """log2 probabilities of a letter after another (^ begins a word, $ ends it), and frequent words."""
+
+    pairs: np.ndarray
+    words: frozenset[str]
+
+
+def learn_language(docs: DataFrame, text: str = "text") -> Language:
+    """From the words of all documents, counted by Spark; what reaches the driver is bounded by letters and DICTIONARY."""
+    found = F.explode(F.regexp_extract_all(F.lower(text_of(text)), F.lit(r"(?<![\p{L}\p{N}])[a-z]{2,24}+(?![\p{L}\p{N}])"), F.lit(0)))
+    words = written(docs.select(found.alias("word")).groupBy("word").agg(F.count("*").alias("n")).filter(F.col("n") >= SEEN), "secret-words")
+    full = F.concat(F.lit("^"), "word", F.lit("$"))
+    pairs = words.select("n", F.explode(F.transform(F.sequence(F.lit(1), F.length(full) - 1), lambda k: F.substr(full, k, F.lit(2)))).alias("pair")).groupBy("pair").agg(F.sum("n").alias("n"))
+    count = np.ones((len(LETTERS), len(LETTERS)))
+    for pair, n in pairs.collect():  # at most 28 * 28
+        count[LETTERS.index(pair[0]), LETTERS.index(pair[1])] += n
+    top = words.filter(F.length("word") > 2).orderBy(F.col("n").desc(), "word").limit(DICTIONARY).select("word").collect()
+    return Language(np.log2(count / count.sum(axis=1, keepdims=True)), frozenset(r["word"] for r in top))
+
+
+def _transitions(low: str, language: Language) -> tuple[float, float]:
+    """Mean and least log2 probability of the letter pairs of all runs of letters."""
+    got = [language.pairs[LETTERS.index(x), LETTERS.index(y)] for run in re.findall("[a-z]+", low) for x, y in zip("^" + run, run + "$")]
+    return (float(np.mean(got)), float(min(got))) if got else (0.0, 0.0)
+
+
+def _covered(low: str, language: Language) -> float:
+    """The share of characters that words of the dictionary cover."""
+    hit = np.zeros(len(low), bool)
+    for m in re.finditer("[a-z]{3,}", low):
+        for k in range(m.start(), m.end() - 2):
+            for end in range(min(m.end(), k + 12), k + 2, -1):
+                if low[k:end] in language.words:
+                    hit[k:end] = True
+                    break
+    return float(hit.mean()) if len(low) else 0.0
+
+
+def neighbours(before: str, after: str) -> list[str]:
+    """The words beside a candidate: up to four before, nearest first, and one after; parts of its path before a slash."""
+    near = re.findall(r"[a-z0-9]+", before[-WINDOW:].lower())[:-5:-1]
+    path = re.findall(r"[^\s\"'=:]*[/\\]$", before[-WINDOW:].lower())
+    parts = [f"/{w}" for w in re.findall(r"[a-z0-9]+", path[0])] if path else []
+    return [f"{k}<{w}" for k, w in enumerate(near[:2])] + [f"<{w}" for w in near] + [f">{w}" for w in re.findall(r"[a-z0-9]+", after[:WINDOW].lower())[:1]] + parts
+
+
+def learn_odds(findings: list[tuple[str, str, str, int]]) -> dict[str, float]:
+    """Log odds of a secret for each neighbour that at least TOLD findings have."""
+    held = [Counter(w for b, _, a, y in findings if y == label for w in set(neighbours(b, a))) for label in (0, 1)]
+    n = [sum(y == label for *_, y in findings) for label in (0, 1)]
+    return {w: math.log((held[1][w] + 0.5) / (n[1] + 1)) - math.log((held[0][w] + 0.5) / (n[0] + 1)) for w in held[0] | held[1] if held[0][w] + held[1][w] >= TOLD}
+
+
+def features(before: str, value: str, after: str, language: Language, odds: dict[str, float]) -> list[float]:
     n = len(value)
     kinds = [_class(c) for c in value]
     changes = sum(a != b for a, b in zip(kinds, kinds[1:])) / max(1, n - 1)
     entropy = -sum(k / n * math.log2(k / n) for k in Counter(value).values()) if n else 0.0
     low = value.lower()
-    covered = np.zeros(n, bool)
-    for s in SYLLABLES:
-        at = low.find(s)
-        while at >= 0:
-            covered[at : at + len(s)] = True
-            at = low.find(s, at + 1)
-    vowels = sum(c in "aeiou" for c in low)
-    near = (before[-WINDOW:] + " ").lower()
-    words = re.findall(r"[a-z0-9]+", near)[-4:]
+    told = [odds[w] for w in dict.fromkeys(neighbours(before, after)) if w in odds]
+    mean, least = _transitions(low, language)
     return [
         float(n),
         changes,
@@ -110,25 +163,28 @@ def features(before: str, value: str, after: str) -> list[float]:
         kinds.count(2) / max(1, n),
         kinds.count(1) / max(1, n),
         kinds.count(3) / max(1, n),
-        vowels / max(1, n),
-        float(covered.mean()) if n else 0.0,
+        sum(c in "aeiou" for c in low) / max(1, n),
+        mean,
+        least,
+        _covered(low, language),
         float(all(c in "0123456789abcdefABCDEF" for c in value)),
         float(bool(re.fullmatch(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}", value))),
-        float(bool(re.match(r"(AKIA|ASIA)[A-Z0-9]{16}$|gh[pousr]_[A-Za-z0-9]{30,}$|sk[-_](live|test)?[-_]?[A-Za-z0-9]{16,}$|xox[abprs]-|AIza[0-9A-Za-z_-]{30,}$|eyJ[A-Za-z0-9_-]+\.", value))),
-        float("/" in value or bool(re.search(r"[/\\]$|https?:\S*$|www\.\S*$", before))),
+        float(bool(FIXED.fullmatch(value))),
+        float(value.count("/")),
+        float(bool(re.search(r"[/\\@]$|https?:\S*$|www\.\S*$", before))),
         float(bool(re.search(r"[:=]\s*[\"']?$", before))),
-        float(any(h in w for w in words[-2:] for h in HINTS)),
-        float(any(w == p or w.startswith(p) and len(w) < len(p) + 4 for w in words[-2:] for p in PLAIN)),
-        float("@" in after[:1] or value.count(".") > 1),
+        float(sum(told)),
+        max(told, default=0.0),
         float(max((len(r) for r in re.findall(r"[a-z]+", value)), default=0)) / max(1, n),
     ]
 
 
-def generated_findings(n: int = 4000, seed: int = 7) -> list[tuple[str, str, str, int]]:
+def generated_findings(n: int = 4000, seed: int = 7, words: Sequence[str] = SYLLABLES) -> list[tuple[str, str, str, int]]:
     """(before, value, after, label): keys in public formats (1), and digests, ids, paths, names and versions (0)."""
     rng = random.Random(seed)
     pick = lambda letters, k: "".join(rng.choice(letters) for _ in range(k))
-    word = lambda: "".join(rng.choice(SYLLABLES + ("er", "on", "ti", "la", "que", "sch", "en", "eau")) for _ in range(rng.randint(1, 3)))
+    words = sorted(words) or SYLLABLES
+    word = lambda: rng.choice(words)
     hexa, alnum, b64 = "0123456789abcdef", string.ascii_letters + string.digits, string.ascii_letters + string.digits + "+/"
     prose = lambda: " ".join(word() for _ in range(rng.randint(0, 6)))
     uuid = lambda: "-".join(pick(hexa, k) for k in (8, 4, 4, 4, 12))
@@ -218,26 +274,39 @@ def _flat(described: str) -> Forest:
     return Forest(feature.astype(int), limit, left.astype(int), right.astype(int), vote, np.array(roots))
 
 
-def train(spark: SparkSession, findings: list[tuple[str, str, str, int]] | None = None, trees: int = 40, depth: int = 8, seed: int = 11) -> Forest:
-    """A forest from labelled findings; from the generated ones if none are given."""
-    rows = [(features(b, v, a), float(y)) for b, v, a, y in (generated_findings() if findings is None else findings)]
-    data = spark.createDataFrame(rows, "features array<double>, label double").select(array_to_vector("features").alias("features"), "label")
-    return _flat(RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, featuresCol="features", labelCol="label").fit(data).toDebugString)
+@dataclass
+class Model:
+    forest: Forest
+    language: Language
+    odds: dict[str, float]
+
+    def probability(self, found: list[tuple[str, str, str]]) -> np.ndarray:
+        """The chance that each (before, value, after) is a secret."""
+        return self.forest.probability(np.array([features(*f, self.language, self.odds) for f in found]).reshape(-1, FEATURES))
+
+
+def train(docs: DataFrame, findings: list[tuple[str, str, str, int]] | None = None, text: str = "text", trees: int = 40, depth: int = 8, seed: int = 11) -> Model:
+    """A model with the documents' language, from labelled findings; from generated ones if none are given."""
+    language = learn_language(docs, text)
+    findings = generated_findings(words=sorted(language.words)) if findings is None else findings
+    odds = learn_odds(findings)
+    rows = [(features(b, v, a, language, odds), float(y)) for b, v, a, y in findings]
+    data = docs.sparkSession.createDataFrame(rows, "features array<double>, label double").select(array_to_vector("features").alias("features"), "label")
+    return Model(_flat(RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, featuresCol="features", labelCol="label").fit(data).toDebugString), language, odds)
 
 
-def scan(docs: DataFrame, forest: Forest, text: str = "text", threshold: float = 0.5) -> DataFrame:
+def scan(docs: DataFrame, model: Model, text: str = "text", threshold: float = 0.5) -> DataFrame:
     """docs with `candidates` (how many) and `secrets`: spans, values and probabilities of those the forest keeps."""
     if {"candidates", "secrets"} & set(docs.columns):
         raise ValueError("the table already has a column candidates or secrets")
-    shared = docs.sparkSession.sparkContext.broadcast(forest)  # at most trees * 2 ** (depth + 1) nodes
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most trees * 2 ** (depth + 1) nodes and DICTIONARY words
     item = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("value", pa.string()), ("probability", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [t.as_py() or "" for t in batch.column(text)]
             spans = [candidates(t) for t in texts]
-            x = np.array([features(t[max(0, a - WINDOW) : a], t[a:b], t[b : b + WINDOW]) for t, s in zip(texts, spans) for a, b in s]).reshape(-1, FEATURES)
-            chance = iter(shared.value.probability(x).tolist())
+            chance = iter(shared.value.probability([(t[max(0, a - WINDOW) : a], t[a:b], t[b : b + WINDOW]) for t, s in zip(texts, spans) for a, b in s]).tolist())
             kept = [[{"start": a, "end": b, "value": t[a:b], "probability": p} for a, b in s if (p := next(chance)) >= threshold] for t, s in zip(texts, spans)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(list(map(len, spans)), pa.int64()), pa.array(kept, pa.list_(item))], names=[*batch.schema.names, "candidates", "secrets"])
 

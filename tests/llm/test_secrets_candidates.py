@@ -24,8 +24,8 @@ def test_usual_places_are_candidates(text, secret):
     assert (at, at + len(secret)) in secrets.candidates(text)
 
 
-def test_usual_places_through_scan(spark):
+def test_usual_places_through_scan(spark, docs):
     plain = ["author: Somebody Else", "see docs/read/list/page/view12.html.", "a=b;c=d&e=f", "commit 5f2b1c9d8e7a6b5c4d3e2f1a0b9c8d7e6f5a4b3c."]
     rows = [(k, t) for k, t in enumerate([t for t, _ in CASES] + plain)]
-    got = {r["doc_id"]: [s["value"] for s in r["secrets"]] for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string"), secrets.train(spark)).collect()}
+    got = {r["doc_id"]: [s["value"] for s in r["secrets"]] for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string"), secrets.train(docs)).collect()}
     assert got == {k: [v] for k, (_, v) in enumerate(CASES)} | {len(CASES) + k: [] for k in range(len(plain))}
