@@ -12,12 +12,13 @@ Documents of equal multisets are one node. Nodes that share a band of rows are o
 are checked against pivots: a pivot and the members that match it are linked, and a pivot that has met all others
 leaves. Where the sketches, one bit of each component, tell that a pair is far from alike, no multisets are compared. A
 bucket is settled as soon as all its members are in one component. So no bucket is turned into all its pairs, yet no
-pair of different components stays unchecked; rounds go on until no bucket is left. Each node meets one pivot first, the
-likest; the members of buckets that this leaves unsettled are dealt to buckets anew, by their rarest shingles, since
+pair of different components stays unchecked; rounds go on until no bucket is left. Each node meets one pivot first, that
+with which it shares most buckets; the members of buckets that this leaves unsettled are dealt to buckets anew, by their rarest shingles, since
 bands also bring together what shares a frequent passage and is else unlike.
 
 Words are runs of letters, digits and underscores in lower case. Defined cases: a text of fewer than five words is one
-shingle; texts without words are near duplicates only if they are equal (null counts as empty); rows that repeat a
+shingle; texts without words are near duplicates only if they are equal (null counts as empty); rows without a doc_id
+have no row in the result, since nothing could name them there, and link no others; rows that repeat a
 doc_id are one document, in the smallest class that any of them belongs to; the class id is the smallest doc_id of the
 class; an empty table gives an empty table; columns other than doc_id and the text play no part.
 """
@@ -43,7 +44,7 @@ M = BANDS * ROWS
 SKETCH, FAR_BITS = ("s0", "s1", "s2", "s3"), 50
 #: Pivots that a bucket gets in the first round, and times more in each round after it: what is still open then is in small
 #: components each, and few of these pairs pass the filters.
-PIVOTS, MORE = 32, 8
+PIVOTS, MORE = 16, 8
 #: Ids that may be broadcast (8 bytes each); more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 _WORD = re.compile(r"\w+")
@@ -235,18 +236,16 @@ def _settle(rows: DataFrame, labels: DataFrame, *needs: Column) -> DataFrame:
     return rows.join((mixed.filter("need") if needs else mixed).select("bucket"), "bucket")
 
 
-def _met(rows: DataFrame, pivots: DataFrame, threshold: float | None = None) -> DataFrame:
-    """(node, pivot, apart): the members that each bucket's pivots meet in other components, but for those whose sketches are far apart.
-
-    With a threshold, also but for those that have too few shingles from the bucket's on, if it is the first in common.
+def _met(rows: DataFrame, pivots: DataFrame, threshold: float) -> DataFrame:
+    """(node, pivot): the members that each bucket's pivots meet in other components, but for those whose sketches are far apart,
+    those that have a bucket before this in common, where they meet, and those that have too few shingles from this one on.
     """
-    sizes = [] if threshold is None else ["size", "rest"]
-    other = pivots.select(F.col("bucket").alias("b"), F.col("node").alias("pivot"), F.col("comp").alias("pivot_comp"), *(F.col(s).alias(f"p_{s}") for s in (*SKETCH, *sizes)))
+    other = pivots.select(F.col("bucket").alias("b"), F.col("node").alias("pivot"), F.col("comp").alias("pivot_comp"), *(F.col(s).alias(f"p_{s}") for s in (*SKETCH, "size", "rest", "before")))
     apart = sum(F.bit_count(F.col(s).bitwiseXOR(F.col(f"p_{s}"))) for s in SKETCH)
     on = (F.col("bucket") == F.col("b")) & (F.col("comp") != F.col("pivot_comp")) & (apart <= FAR_BITS)
-    if threshold is not None:
-        on &= F.least("rest", "p_rest") * (1 + threshold) + 1e-6 >= threshold * (F.col("size") + F.col("p_size"))
-    return rows.join(other, on).select("node", "pivot", apart.alias("apart"))
+    on &= F.least("rest", "p_rest") * (1 + threshold) + 1e-6 >= threshold * (F.col("size") + F.col("p_size"))
+    on &= ~F.arrays_overlap("before", "p_before")
+    return rows.join(other, on).select("node", "pivot")
 
 
 def _verified(pairs: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
@@ -267,12 +266,14 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, doc_id: str = "doc_
     members = written(sigs.select("doc_id", "h1", "h2").join(firsts, ["h1", "h2"]).select("doc_id", "node"), "members")
     nodes = sigs.filter("bands IS NOT NULL").join(firsts.select("h1", "h2", F.col("node").alias("doc_id")), ["h1", "h2", "doc_id"], "left_semi").select(F.col("doc_id").alias("node"), "bands", *SKETCH).dropDuplicates(["node"])
     bands = _bands(nodes)
-    shared = bands.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
+    shared = bands.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("pivot")).filter("n > 1").select("bucket", "pivot")
     rows = written(bands.join(shared, "bucket").distinct().join(nodes.select("node", *SKETCH), "node").withColumn("comp", F.col("node")), "rows")
+    # first, each node meets one of the smallest members of its buckets, that with which it shares most: this joins most large groups
+    common = rows.filter("node <> pivot").groupBy("node", "pivot").agg(F.count("*").alias("n")).groupBy("node").agg(F.min(F.struct((-F.col("n")).alias("n"), F.col("pivot"))).alias("m")).select("node", "m.pivot")
+    sketch = lambda node: nodes.select(F.col("node").alias(node), F.struct(*SKETCH).alias(f"of_{node}"))
+    near = sum(F.bit_count(F.col(f"of_node.{s}").bitwiseXOR(F.col(f"of_pivot.{s}"))) for s in SKETCH) <= FAR_BITS
+    likest = written(common.join(sketch("node"), "node").join(sketch("pivot"), "pivot").filter(near).select("node", "pivot"), "pairs")
     drop(sigs)
-    # first, each node meets the one likest to it of the smallest members of its buckets; that joins most large groups
-    smallest = rows.join(rows.groupBy("bucket").agg(F.min("node").alias("node")), ["bucket", "node"], "left_semi")
-    likest = written(_met(rows, smallest).groupBy("node").agg(F.min(F.struct("apart", "pivot")).alias("m")).select("node", "m.pivot"), "pairs")
     bags = written(_bags_of(likest, source), "bags")
     links = written(_verified(likest, bags, threshold), "links")
     drop(likest, bags)
@@ -295,7 +296,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, doc_id: str = "doc_
         sizes = rows.groupBy("bucket", "comp").agg(F.count("*").alias("n"))
         ranked = rows.filter(small).join(sizes, ["bucket", "comp"]).withColumn("nth", F.row_number().over(Window.partitionBy("bucket").orderBy("n", "node"))).filter(F.col("nth") <= pivots)
         chosen = written(ranked.drop("n", "nth"), "pivots")
-        pairs = written(_met(rows, chosen, threshold).select("node", "pivot").distinct(), "pairs")
+        pairs = written(_met(rows, chosen, threshold).distinct(), "pairs")
         found = written(_verified(pairs, bags, threshold), "links")
         labels = _merged(labels, found)
         drop(pairs, found)
@@ -307,7 +308,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, doc_id: str = "doc_
 
 
 def _rarest(bags: DataFrame, threshold: float) -> DataFrame:
-    """(bucket, node, size, rest): the rarest shingles of each node, how many it has, and how many from this one on.
+    """(bucket, node, size, rest, before): the rarest shingles of each node, how many it has, how many from this one on, and the buckets before.
 
     Alike nodes share threshold times either's shingles at least, whatever the order of shingles, so that they share one of
     the first |A| - ceil(threshold |A|) + 1 of both. Rarest first, a passage that many documents hold makes few buckets.
@@ -316,8 +317,9 @@ def _rarest(bags: DataFrame, threshold: float) -> DataFrame:
     known = each.groupBy("bucket").agg(F.count("*").alias("df"))
     first = F.size("all") - F.ceil(F.lit(threshold) * F.size("all")).cast("int") + 1
     ordered = each.join(known, "bucket").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("df", "bucket"))).alias("all"))  # bounded by a document's words
-    placed = ordered.select("node", F.size("all").alias("size"), F.posexplode(F.slice("all", F.lit(1), first)))
-    return placed.filter("col.df > 1").select("col.bucket", "node", "size", (F.col("size") - F.col("pos")).alias("rest"))
+    placed = ordered.select("node", F.size("all").alias("size"), F.slice("all", F.lit(1), first).alias("first")).select("node", "size", F.filter("first", lambda x: x["df"] > 1)["bucket"].alias("shared"), F.posexplode("first"))
+    before = F.slice("shared", F.lit(1), F.array_position("shared", F.col("col.bucket")).cast("int") - 1)
+    return placed.filter("col.df > 1").select("col.bucket", "node", "size", (F.col("size") - F.col("pos")).alias("rest"), before.alias("before"))
 
 
 def _bags_of(pairs: DataFrame, source: DataFrame) -> DataFrame:
