@@ -47,19 +47,6 @@ def gamma(x: Column) -> Column:
     return F.when(x < 0.5, F.pi() / (F.sin(F.pi() * x) * upper(1 - x))).otherwise(upper(x))
 
 
-def bisect(rises_to: Column, cdf, low: float, high: float, steps: int) -> Column:
-    """Where a rising function of one column reaches a value, after so many halvings of [low, high]."""
-    ends = F.aggregate(
-        F.sequence(F.lit(1), F.lit(steps)),
-        F.struct(F.lit(float(low)).alias("lo"), F.lit(float(high)).alias("hi")),
-        lambda s, _: F.struct(
-            F.when(cdf((s["lo"] + s["hi"]) / 2) < rises_to, (s["lo"] + s["hi"]) / 2).otherwise(s["lo"]).alias("lo"),
-            F.when(cdf((s["lo"] + s["hi"]) / 2) < rises_to, s["hi"]).otherwise((s["lo"] + s["hi"]) / 2).alias("hi"),
-        ),
-    )
-    return (ends["lo"] + ends["hi"]) / 2
-
-
 def first_cap(value: Column, caps: tuple, factor: float) -> Column:
     """The first cap of at least factor times the value, else the last."""
     return F.coalesce(F.get(F.filter(F.array(*(F.lit(float(c)) for c in caps)), lambda c: c >= value * factor), F.lit(0)), F.lit(float(caps[-1])))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pelagos.functions.constants import MONTH_DAYS, TIDE_POWER, WIND_DEPTH, WIND_SHARE
+from pelagos.functions.constants import TIDE_POWER, WIND_DEPTH, WIND_SHARE
 from pelagos.functions.numeric import half_up, month_days, weighted
 
 PROFILE_DEPTHS = (5.0, 10.0, 25.0, 50.0, 100.0, 200.0)
@@ -68,6 +68,3 @@ def daylight(places: DataFrame, lat: str = "lat") -> DataFrame:
     some = (F.col("hours") > 0) & (F.col("hours") < 24)
     return out.withColumns({"rise": F.when(some, 12 - F.col("hours") / 2), "set": F.when(some, 12 + F.col("hours") / 2)})
 
-
-def days_of(month: int) -> Column:
-    return F.lit(float(MONTH_DAYS[month]))

@@ -6,8 +6,6 @@ partial aggregates before the shuffle; what follows works on those counts. Ties
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -150,25 +148,26 @@ def pooled_quantile(quantiles: DataFrame, months: list[int], prob: float, top_fa
     """(cell_id, q): where the months' mixed distribution reaches a probability.
 
     quantiles has, a cell and month, `q` (values at the probabilities `qp`). Each month's distribution runs linearly
-    through its quantiles from 0 and on to top_factor * last + top_add; months weigh by their days; 60 halvings.
+    through its quantiles from 0 and on to top_factor * last + top_add; months weigh by their days. The mixture is linear
+    between the values of any month, so that its slopes are summed up in their order and one line is solved; at most `high`.
     """
-    from pelagos.functions.numeric import bisect
-
     rows = selected(quantiles, months).filter(F.col("q").isNotNull()).withColumn("w", month_days(F.col("m")))
-    mixed = rows.groupBy("cell_id").agg(F.collect_list(F.struct("m", "w", "q", "qp")).alias("parts"))  # twelve at most
-    mixed = mixed.withColumn("parts", F.array_sort("parts"))
-
-    def one(part: Column, x: Column) -> Column:
-        knots_x = F.concat(F.array(F.lit(0.0)), part["q"], F.array(F.element_at(part["q"], -1) * top_factor + top_add))
-        knots_p = F.concat(F.array(F.lit(0.0)), part["qp"], F.array(F.lit(1.0)))
-        steps = F.transform(F.sequence(F.lit(0), F.size(part["q"])), lambda k: F.struct(F.get(knots_x, k).alias("x0"), F.get(knots_x, k + 1).alias("x1"), F.get(knots_p, k).alias("p0"), F.get(knots_p, k + 1).alias("p1")))
-        inside = F.get(F.filter(steps, lambda s: (x >= s["x0"]) & (x < s["x1"])), F.lit(0))
-        return F.when(x <= 0, 0.0).when(inside.isNull(), 1.0).otherwise(inside["p0"] + (inside["p1"] - inside["p0"]) * (x - inside["x0"]) / (inside["x1"] - inside["x0"]))
-
-    total = F.aggregate("parts", F.lit(0.0), lambda a, p: a + p["w"])
-    cdf = lambda x: F.aggregate("parts", F.lit(0.0), lambda a, p: a + p["w"] * one(p, x)) / total
-    return mixed.select("cell_id", bisect(F.lit(prob), cdf, 0, high, 60).alias("q"))
-
-
-def any_of(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, conditions)
+    xs = F.concat(F.array(F.lit(0.0)), "q", F.array(F.element_at("q", -1) * top_factor + top_add))
+    ps = F.concat(F.array(F.lit(0.0)), "qp", F.array(F.lit(1.0)))
+    knots = rows.select("cell_id", "w", F.posexplode(F.arrays_zip(xs.alias("x"), ps.alias("p"))).alias("k", "knot"), xs.alias("xs"), ps.alias("ps"))
+    x0, x1, p0, p1 = F.col("knot.x"), F.get("xs", F.col("k") + 1), F.col("knot.p"), F.get("ps", F.col("k") + 1)
+    steps = knots.filter(x1.isNotNull()).select("cell_id", x0.alias("x0"), x1.alias("x1"), (F.col("w") * (p1 - p0)).alias("rise"), F.when(F.col("k") == 0, F.col("w")).otherwise(0.0).alias("weight"))
+    # a step of no width is a jump; others begin a slope and end it
+    slope = F.when(F.col("x1") > F.col("x0"), F.col("rise") / (F.col("x1") - F.col("x0"))).otherwise(0.0)
+    jump = F.when(F.col("x1") > F.col("x0"), 0.0).otherwise(F.col("rise"))
+    turn = lambda x, s, up, w: F.struct(x.alias("x"), s.alias("slope"), up.alias("jump"), w.alias("weight"))
+    turns = steps.select("cell_id", F.explode(F.array(turn(F.col("x0"), slope, jump, F.col("weight")), turn(F.col("x1"), -slope, F.lit(0.0), F.lit(0.0)))).alias("t")).select("cell_id", "t.*")
+    at = turns.groupBy("cell_id", "x").agg(F.sum("slope").alias("slope"), F.sum("jump").alias("jump"), F.sum("weight").alias("weight"))
+    order, every = Window.partitionBy("cell_id").orderBy("x"), Window.partitionBy("cell_id")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    walked = at.withColumns({"total": F.sum("weight").over(every), "steep": F.coalesce(F.sum("slope").over(before), F.lit(0.0)), "gap": F.col("x") - F.coalesce(F.lag("x").over(order), F.col("x"))})
+    reached = walked.withColumn("left", F.sum(F.col("steep") * F.col("gap")).over(order.rowsBetween(Window.unboundedPreceding, 0)) + F.coalesce(F.sum("jump").over(before), F.lit(0.0)))
+    goal = F.col("total") * prob
+    hit = reached.filter(F.col("left") + F.col("jump") >= goal * (1 - 1e-12)).groupBy("cell_id").agg(F.min(F.struct("x", "left", "steep", "total")).alias("b"))
+    over = F.col("b.left") - F.col("b.total") * prob
+    return hit.select("cell_id", F.when((over > 0) & (F.col("b.steep") > 0), F.col("b.x") - over / F.col("b.steep")).otherwise(F.col("b.x")).alias("q")).withColumn("q", F.least("q", F.lit(high)))

@@ -101,14 +101,33 @@ def mask_cell(lat: Column, lon: Column) -> tuple[Column, Column]:
     return F.greatest(F.lit(0), F.least(F.lit(179), F.floor(lat + 90).cast("int"))), F.greatest(F.lit(0), F.least(F.lit(359), F.floor(geo.wrap_lon(lon) + 180).cast("int")))
 
 
-def nearest_ocean(points: DataFrame, land: DataFrame, rings: int = 3, point_id: str = "pt_id") -> DataFrame:
-    """(point_id, i, j, km): the nearest sea cell around a point, in the first ring that has one or the next; ties to the lower row, then column."""
+def nearest_ocean(points: DataFrame, land: DataFrame, rings: int = 40, point_id: str = "pt_id") -> DataFrame:
+    """(point_id, i, j, km): the point's own cell if it is sea, else the nearest sea cell in the first ring that has one or
+    in the next; ties to the lower row, then column. Points without sea in so many rings have no row.
+
+    Rings are sought once for each cell of the mask that holds a point, of which there are at most 64,800.
+    """
+    spark = points.sparkSession
     i, j = mask_cell(F.col("lat"), F.col("lon"))
-    around = F.explode(F.array(*(F.struct(F.lit(a).alias("di"), F.lit(b).alias("dj")) for a in range(-rings, rings + 1) for b in range(-rings, rings + 1)))).alias("o")
-    cells = points.select(point_id, "lat", "lon", i.alias("pi"), j.alias("pj"), around).select(point_id, "lat", "lon", (F.col("pi") + F.col("o.di")).alias("i"), F.pmod(F.col("pj") + F.col("o.dj"), F.lit(360)).alias("j"), F.greatest(F.abs("o.di"), F.abs("o.dj")).alias("ring")).filter("i BETWEEN 0 AND 179")
-    sea = cells.join(land, ["i", "j"], "left_anti")
-    first = F.min("ring").over(Window.partitionBy(point_id))
-    near = sea.withColumn("first", first).filter(F.col("ring") <= F.col("first") + 1)
-    km = F.round(geo.haversine_km(F.col("lat"), F.col("lon"), F.col("i") - 89.5, F.col("j") - 179.5), 6)
-    best = near.groupBy(point_id).agg(F.min(F.struct(km.alias("km"), F.col("i"), F.col("j"))).alias("b"))
-    return best.select(point_id, "b.i", "b.j", "b.km")
+    placed = points.select(point_id, "lat", "lon", i.alias("pi"), j.alias("pj"))
+    is_land = land.select(F.col("i").alias("pi"), F.col("j").alias("pj")).distinct()
+    cells = spark.range(180 * 360).select(F.floor(F.col("id") / 360).cast("int").alias("pi"), (F.col("id") % 360).cast("int").alias("pj")).join(is_land.withColumn("land", F.lit(True)), ["pi", "pj"], "left")
+    # columns to the next sea cell of the row on either side, around the globe
+    row, sea = Window.partitionBy("pi"), F.when(F.col("land").isNull(), F.col("pj"))
+    back, ahead = row.orderBy("pj").rowsBetween(Window.unboundedPreceding, 0), row.orderBy("pj").rowsBetween(0, Window.unboundedFollowing)
+    west = F.col("pj") - F.coalesce(F.last(sea, True).over(back), F.max(sea).over(row) - 360)
+    east = F.coalesce(F.first(sea, True).over(ahead), F.min(sea).over(row) + 360) - F.col("pj")
+    gaps = cells.select(F.col("pi").alias("i"), "pj", F.least(west, east).alias("gap")).filter("gap IS NOT NULL")
+    inland = placed.select("pi", "pj").distinct().join(is_land, ["pi", "pj"], "left_semi")
+    rows = inland.select("pi", "pj", F.explode(F.sequence(F.lit(-rings), F.lit(rings))).alias("di")).withColumn("i", F.col("pi") + F.col("di"))
+    first = rows.join(gaps, ["i", "pj"]).groupBy("pi", "pj").agg(F.min(F.greatest(F.abs("di"), F.col("gap"))).alias("first")).filter(F.col("first") <= rings)
+    last = F.col("first") + 1
+    lines = first.select("*", F.explode(F.sequence(-last, last)).alias("di"))
+    full = F.abs("di") >= F.col("first")
+    around = lines.select("*", F.explode(F.when(full, F.sequence(-last, last)).otherwise(F.array(-last, -F.col("first"), F.col("first"), last))).alias("dj"))
+    near = around.filter(F.greatest(F.abs("di"), F.abs("dj")).between(F.col("first"), F.least(last, F.lit(rings)))).select("pi", "pj", (F.col("pi") + F.col("di")).alias("i"), F.pmod(F.col("pj") + F.col("dj"), F.lit(360)).alias("j")).filter("i BETWEEN 0 AND 179")
+    choices = near.join(land.select("i", "j"), ["i", "j"], "left_anti")
+    km = F.round(geo.haversine_km(F.col("lat"), F.col("lon"), F.col("i") - 89.5, F.col("j") - 179.5), 6).alias("km")
+    best = placed.join(choices, ["pi", "pj"]).groupBy(point_id).agg(F.min(F.struct(km, F.col("i"), F.col("j"))).alias("b")).select(point_id, "b.i", "b.j", "b.km")
+    at_sea = placed.join(is_land, ["pi", "pj"], "left_anti").select(point_id, F.col("pi").alias("i"), F.col("pj").alias("j"), "lat", "lon").select(point_id, "i", "j", km)
+    return at_sea.unionByName(best)

@@ -125,9 +125,9 @@ def land_mask(spark, sf_dir):
 
 @query(
     f"""WITH {POINTS}, {_MASK}, p AS (SELECT pt_id, lat, lon, greatest(0, least(179, floor(lat + 90)))::INT AS pi, greatest(0, least(359, floor(lon + 180)))::INT AS pj FROM points),
-    o AS (SELECT pt_id, lat, lon, (pi + di)::INT AS i, ((pj + dj + 360) % 360)::INT AS j, greatest(abs(di), abs(dj)) AS ring FROM p, range(-3, 4) a(di), range(-3, 4) b(dj) WHERE pi + di BETWEEN 0 AND 179),
+    o AS (SELECT pt_id, lat, lon, (pi + di)::INT AS i, ((pj + dj + 360) % 360)::INT AS j, greatest(abs(di), abs(dj)) AS ring FROM p, range(-40, 41) a(di), range(-40, 41) b(dj) WHERE pi + di BETWEEN 0 AND 179),
     sea AS (SELECT * FROM o ANTI JOIN mask USING (i, j)), f AS (SELECT *, min(ring) OVER (PARTITION BY pt_id) AS first FROM sea),
-    d AS (SELECT pt_id, i, j, round({_hav('lat', 'lon', '(i - 89.5)', '(j - 179.5)')}, 6) AS km FROM f WHERE ring <= first + 1)
+    d AS (SELECT pt_id, i, j, round({_hav('lat', 'lon', '(i - 89.5)', '(j - 179.5)')}, 6) AS km FROM f WHERE ring <= least(40, first + (first > 0)::INT))
     SELECT pt_id, arg_min(i, (km, i, j)) AS i, arg_min(j, (km, i, j)) AS j, min(km) AS km FROM d GROUP BY pt_id"""
 )
 def nearest_ocean(spark, sf_dir):

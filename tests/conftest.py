@@ -2,6 +2,7 @@
 
 import os
 import sys
+import tempfile
 from pathlib import Path
 
 import pytest
@@ -16,7 +17,7 @@ SF = "/root/testdata/sf0.001"
 def spark():
     from pyspark.sql import SparkSession
 
-    s = SparkSession.builder.master("local[8]").config(map={"spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false", "spark.sql.session.timeZone": "UTC", "spark.driver.memory": "4g"}).getOrCreate()
+    s = SparkSession.builder.master("local[8]").config(map={"spark.checkpoint.dir": tempfile.mkdtemp(prefix="pelagos-test-"), "spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false", "spark.sql.session.timeZone": "UTC", "spark.driver.memory": "4g"}).getOrCreate()
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()
