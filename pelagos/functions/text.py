@@ -145,6 +145,18 @@ def month_list(months: Column) -> Column:
     return F.when(F.size(months) == 12, "All year").otherwise(F.array_join(F.transform(months, lambda m: F.element_at(F.array(*map(F.lit, MONTH_NAMES)), m + 1)), ", "))
 
 
+def data_months(used: Column, chosen: Column) -> Column:
+    """Which of the chosen months a figure is about; its words are fixed values."""
+    some = (F.size(used) > 0) & (F.size(used) < F.size(chosen))
+    return F.when(some, F.concat(F.lit("in the months with open water ("), month_runs(used), F.lit(")"))).otherwise(months_label(chosen))
+
+
+def no_data_note(used: Column, chosen: Column) -> Column:
+    """What to say of chosen months without data; nothing if none or all lack it. Its words are fixed values."""
+    some = (F.size(used) > 0) & (F.size(used) < F.size(chosen))
+    return F.when(some, F.concat(F.lit(" No wave data in "), month_runs(F.array_except(chosen, used)), F.lit(", usually because of sea ice."))).otherwise("")
+
+
 #: Hosts by which visits are grouped, in order.
 HOSTS = (
     (r"(^|\.)google\.", "google"),
@@ -180,23 +192,25 @@ def campaign_link(base: Column, content: Column, medium: str, source: str) -> Co
     return F.concat(base, sign, F.lit(f"utm_source={source}&utm_medium={medium}&utm_content="), content)
 
 
-def share_link(lat: Column, lon: Column, months: Column, limit: Column, default: float) -> Column:
-    """loc=..&m=..&h=..: what differs from the defaults; months from 1."""
+def share_link(lat: Column, lon: Column, months: Column, limit: Column, default: float, window_limit: Column, window_hours: Column) -> Column:
+    """loc=..&m=..&h=..&wt=..&wd=..: what differs from the defaults; months from 1. A window has both a limit and a duration, or is left out."""
     some = (F.size(months) > 0) & (F.size(months) < 12)
     return F.concat_ws(
         "&",
         F.concat(F.lit("loc="), fixed(lat, 2), F.lit(","), fixed(lon, 2)),
         F.when(some, F.concat(F.lit("m="), F.array_join(F.transform(months, lambda m: (m + 1).cast("string")), ","))),
         F.when(limit != default, F.concat(F.lit("h="), F.regexp_replace(fixed(limit, 2), r"\.?0+$", ""))),
+        F.when(window_hours.isNotNull(), F.concat(F.lit("wt="), F.regexp_replace(fixed(window_limit, 2), r"\.?0+$", ""))),
+        F.when(window_limit.isNotNull(), F.concat(F.lit("wd="), window_hours.cast("string"))),
     )
 
 
 def parsed_link(link: Column, low: float = 0.25, high: float = 15.0) -> Column:
-    """struct(lat, lon, months, limit) of a share link; null if it names no place on earth."""
+    """struct(lat, lon, months, limit, wt, wd) of a share link; null if it names no place on earth."""
     kv = F.str_to_map(F.regexp_replace(link, "^[#?]", ""), F.lit("&"), F.lit("="))
     get = lambda k: F.try_element_at(kv, F.lit(k))
     place = F.split(get("loc"), ",")
     lat, lon = F.get(place, F.lit(0)).try_cast("double"), F.get(place, F.lit(1)).try_cast("double")
     months = F.array_sort(F.array_distinct(F.transform(F.filter(F.transform(F.split(get("m"), ","), lambda s: s.try_cast("int")), lambda m: m.between(1, 12)), lambda m: m - 1)))
     h = get("h").try_cast("double")
-    return F.when((F.abs(lat) <= 90) & (F.abs(lon) <= 180), F.struct(lat.alias("lat"), lon.alias("lon"), F.when(F.size(months) > 0, months).alias("months"), F.when(h > 0, F.least(F.lit(high), F.greatest(F.lit(low), h))).alias("limit")))
+    return F.when((F.abs(lat) <= 90) & (F.abs(lon) <= 180), F.struct(lat.alias("lat"), lon.alias("lon"), F.when(F.size(months) > 0, months).alias("months"), F.when(h > 0, F.least(F.lit(high), F.greatest(F.lit(low), h))).alias("limit"), get("wt").try_cast("double").alias("wt"), get("wd").try_cast("int").alias("wd")))

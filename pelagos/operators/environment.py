@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pelagos.functions.constants import TIDE_POWER, WIND_DEPTH, WIND_SHARE
 from pelagos.functions.numeric import half_up, month_days, weighted
+from pelagos.functions.text import speed, storm_category
 
 PROFILE_DEPTHS = (5.0, 10.0, 25.0, 50.0, 100.0, 200.0)
 SURFACE_FACTOR = 8 / 7
@@ -36,24 +37,44 @@ def current_profile(places: DataFrame, by: str = "cell_id") -> DataFrame:
     return rows.select(by, "z", tidal.alias("tidal"), wind.alias("wind"), background.alias("background"), (F.coalesce(tidal, zero) + F.coalesce(wind, zero) + F.coalesce(background, zero)).alias("total"))
 
 
-def cyclone_summary(monthly: DataFrame, whole_year: DataFrame, months: list[int], by: str = "cell_id") -> DataFrame:
-    """(by, storms, days, exact): sums over months. Sums of storms are exact for a single month; for all twelve the year's own count is taken if there is one."""
-    sums = monthly.filter(F.col("m").isin(months)).groupBy(by).agg(F.sum("storms").alias("storms"), F.sum("days").alias("days"))
+def cyclone_summary(monthly: DataFrame, whole_year: DataFrame, peaks: DataFrame, months: list[int], by: str = "cell_id") -> DataFrame:
+    """(by, storms, days, happens, exact, wmax, category): sums over months. Sums of storms are exact for a single month; for all
+    twelve the year's own count is taken if there is one. peaks has (by, wmax): the strongest wind on record in knots."""
+    sums = monthly.filter(F.col("m").isin(months)).groupBy(by).agg(F.sum("storms").alias("storms"), F.sum("days").alias("days"), F.bool_or((F.col("storms") > 0) | (F.col("days") > 0)).alias("happens"))
     if len(months) < 12:
-        return sums.select(by, "storms", "days", F.lit(len(months) <= 1).alias("exact"))
-    return sums.join(whole_year, by, "left").select(by, F.coalesce("storms_all", "storms").alias("storms"), "days", F.col("storms_all").isNotNull().alias("exact"))
+        sums = sums.withColumn("exact", F.lit(len(months) <= 1))
+    else:
+        sums = sums.join(whole_year, by, "left").select(by, F.coalesce("storms_all", "storms").alias("storms"), "days", "happens", F.col("storms_all").isNotNull().alias("exact"))
+    return sums.join(peaks.select(by, "wmax"), by, "left").withColumn("category", storm_category(F.col("wmax")))
 
 
 def in_cyclone_area(monthly: DataFrame, by: str = "cell_id") -> DataFrame:
     return monthly.groupBy(by).agg((F.sum("storms") >= 0.1).alias("in_area"))
 
 
-def cyclones_by_phase(monthly: DataFrame, months: list[int], by: str = "cell_id") -> DataFrame:
-    """(by, phase, days): sums to one decimal, where two phases or more have data."""
-    from pyspark.sql import Window
+def cyclones_by_phase(monthly: DataFrame, phase_years: DataFrame, months: list[int], by: str = "cell_id") -> DataFrame:
+    """(by, phase, days, years): sums to one decimal, null for a phase without data, where two phases or more have data.
 
-    sums = monthly.filter(F.col("m").isin(months)).groupBy(by, "phase").agg(half_up(F.round(F.sum("days"), 6), 1).alias("days"))
-    return sums.withColumn("k", F.count("*").over(Window.partitionBy(by))).filter("k >= 2").drop("k")
+    phase_years has (phase, m, n): the years of each phase and month, three phases in all, so it is sent to every task.
+    """
+    chosen = F.col("m").isin(months)
+    sums = monthly.filter(chosen).groupBy(by, "phase").agg(half_up(F.round(F.sum("days"), 6), 1).alias("days"))
+    known = sums.groupBy(by).agg(F.map_from_entries(F.collect_list(F.struct("phase", "days"))).alias("found")).filter(F.size("found") >= 2)
+    years = phase_years.filter(chosen).groupBy("phase").agg(half_up(F.sum("n") / len(months)).cast("int").alias("years"))
+    rows = known.select(by, "found", F.explode(F.array(*map(F.lit, range(3)))).alias("phase"))
+    return rows.join(F.broadcast(years), "phase", "left").select(by, "phase", F.try_element_at("found", F.col("phase")).alias("days"), F.coalesce("years", F.lit(0)).alias("years"))
+
+
+def near_bed(spring: Column, depth: Column) -> tuple[Column, Column]:
+    """Tidal stream at the surface and near the bed, of its mean over depth; the bed's only in more than 2 m of water."""
+    return spring * SURFACE_FACTOR, F.when(depth > 2, spring * SURFACE_FACTOR * F.pow(F.lit(1.0) / depth, F.lit(TIDE_POWER)))
+
+
+def stream_headline(spring: Column) -> Column:
+    """One line on the tide; its words are fixed values."""
+    surface = spring * SURFACE_FACTOR
+    strong = F.concat(F.lit("Tidal stream up to "), speed(surface), F.lit(" at springs."))
+    return F.when(surface > 0.5, strong).when(surface.isNotNull(), "Weak tide: under 0.5 m/s (1 kn) even at springs.")
 
 
 def daylight(places: DataFrame, lat: str = "lat") -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pelagos.functions import geo
@@ -110,3 +112,71 @@ def places_at_zoom(places: DataFrame, scale: float) -> DataFrame:
     """Places that show at a scale (pixels a degree): zoom levels beyond six count for 1.8."""
     z = F.log2(F.lit(scale * 360 / 256)) + 1
     return places.filter(F.col("min_zoom") <= z + 0.8 * F.greatest(F.lit(0.0), z - 6))
+
+
+@dataclass(frozen=True)
+class AssetChoice:
+    """A user's choice of assets; by default all of them."""
+
+    wells: bool = True
+    platforms: bool = True
+    lng: bool = True
+    fields: bool = True
+    active_only: bool = False
+    low: float | None = None
+    high: float | None = None
+    text: str = ""
+
+
+def chosen_assets(assets: DataFrame, choice: AssetChoice) -> DataFrame:
+    """assets (t, s, d, n, o) of a choice. Where a depth is asked for, one of 0 counts as missing and fails; the text is
+    sought in name, status and operator, in any case."""
+    if choice == AssetChoice():
+        return assets
+    kind = F.coalesce("t", F.lit(""))
+    well, platform, lng = kind == "well", kind.contains("platform"), kind == "lng terminal"
+    wanted = F.lit(True)
+    for is_kind, on in ((well, choice.wells), (platform, choice.platforms), (lng, choice.lng), (~well & ~platform & ~lng, choice.fields)):
+        wanted = wanted if on else wanted & ~is_kind
+    if choice.active_only:
+        wanted = wanted & (~well | X.in_service(F.col("s")))
+    if choice.low is not None or choice.high is not None:
+        wanted = wanted & F.coalesce(F.col("d") != 0, F.lit(False))
+        wanted = wanted & (F.col("d") >= choice.low) if choice.low is not None else wanted
+        wanted = wanted & (F.col("d") <= choice.high) if choice.high is not None else wanted
+    if text := choice.text.strip().lower():
+        empty = F.lit("")
+        wanted = wanted & F.lower(F.concat_ws(" ", F.coalesce("n", empty), F.coalesce("s", empty), F.coalesce("o", empty))).contains(text)
+    return assets.filter(wanted)
+
+
+def window_defaults(limit: Column, limits: tuple, edges: tuple) -> list[Column]:
+    """The window shown first: the limit nearest to the user's (the lower of equals), 24 hours if there are such windows,
+    and how many of them a month holds at most."""
+    hours = 24 if 24 in edges else edges[0]
+    near = F.array_min(F.array(*(F.struct(F.abs(limit - t).alias("d"), F.lit(float(t)).alias("t")) for t in limits)))["t"]
+    return [near.alias("window_limit"), F.lit(hours).alias("hours"), F.lit(31 * 24 // hours).alias("most")]
+
+
+def scatter_cells(table: DataFrame) -> DataFrame:
+    """(hs_bin, tp_bin, permille, txt, top): a joint table's cells that hold something, as whole thousandths or "<1"; top is the highest row with any."""
+    sums = table.filter("cnt > 0").crossJoin(F.broadcast(table.agg(F.sum("cnt").alias("total"), F.max(F.when(F.col("cnt") > 0, F.col("hs_bin"))).alias("top"))))
+    v = F.lit(1000.0) * F.col("cnt") / F.col("total")
+    return sums.select("hs_bin", "tp_bin", v.alias("permille"), F.when(v >= 1, F.floor(v + 0.5).cast("string")).otherwise("<1").alias("txt"), "top")
+
+
+def view_key(south: Column, north: Column, west: Column, east: Column, step: float = 0.25) -> list[Column]:
+    """A view's box, widened to whole steps."""
+    down, up = (lambda x: F.floor(x / step).cast("double") * step), (lambda x: F.ceil(x / step).cast("double") * step)
+    return [down(south).alias("s"), up(north).alias("n"), down(west).alias("w"), up(east).alias("e")]
+
+
+def few_tiles(box_tiles: DataFrame, by: str, most: int = 12) -> DataFrame:
+    """box_tiles of boxes that touch few tiles; a box with more has no row at all (a limit of the feature)."""
+    return box_tiles.withColumn("k", F.count("*").over(Window.partitionBy(by))).filter(F.col("k") <= most).drop("k")
+
+
+def contours_of_boxes(boxes: DataFrame, there: DataFrame, segments: DataFrame, by: str, step: int, most: int = 12) -> DataFrame:
+    """(by, level, segments..): the contours (tile, level, ..) in the tiles of each box, of those tiles that there are."""
+    tiles = tiles_of_box(boxes, step, by).select(by, "tile").distinct().join(there.select("tile"), "tile", "left_semi")
+    return few_tiles(tiles, by, most).join(segments, "tile")

@@ -27,12 +27,27 @@ def boxes(points: DataFrame, *by: str) -> DataFrame:
     return points.groupBy(*by).agg(F.min("lat").alias("s"), F.max("lat").alias("n"), F.min("lon").alias("w"), F.max("lon").alias("e"), F.count("*").alias("points"))
 
 
-def edge_counts(points: DataFrame, by: str = "track_id") -> DataFrame:
-    """(a, b, n, cut): how often each undirected edge is drawn; edges drawn twice, or over 4 degrees long, are cut."""
+def edge_counts(points: DataFrame, by: str = "track_id", longest: float = 4.0) -> DataFrame:
+    """(a, b, n, cut): how often each undirected edge is drawn. Cut are edges drawn twice, those that run along or across
+    the date line or along a pole, and those longer than `longest` degrees."""
     w = Window.partitionBy(by).orderBy("ts", "seq")
     name = F.concat_ws(",", F.floor(F.col("lat") * 100 + 0.5).cast("string"), F.floor(F.col("lon") * 100 + 0.5).cast("string"))
-    steps = points.withColumn("here", name).withColumns({"there": F.lag("here").over(w), "step": F.greatest(F.abs(F.col("lat") - F.lag("lat").over(w)), F.abs(F.col("lon") - F.lag("lon").over(w)))}).filter("there IS NOT NULL")
-    return steps.groupBy(F.least("here", "there").alias("a"), F.greatest("here", "there").alias("b")).agg(F.count("*").alias("n"), F.max("step").alias("longest")).select("a", "b", "n", ((F.col("n") > 1) | (F.col("longest") > 4)).alias("cut"))
+    steps = points.withColumn("here", name).withColumns({"there": F.lag("here").over(w), "lat0": F.lag("lat").over(w), "lon0": F.lag("lon").over(w)}).filter("there IS NOT NULL")
+    dlat, dlon = F.col("lat") - F.col("lat0"), F.col("lon") - F.col("lon0")
+    both = lambda a, b, edge: (F.abs(a) >= edge) & (F.abs(b) >= edge)
+    odd = (F.abs(dlon) > 180) | both("lon", "lon0", 179.99) | both("lat", "lat0", 89.9) | (dlat * dlat + dlon * dlon > longest * longest)
+    counted = steps.groupBy(F.least("here", "there").alias("a"), F.greatest("here", "there").alias("b")).agg(F.count("*").alias("n"), F.bool_or(odd).alias("odd"))
+    return counted.select("a", "b", "n", ((F.col("n") > 1) | F.col("odd")).alias("cut"))
+
+
+def levels_in_view(points: DataFrame, south: float, north: float, west: float, east: float, level: str = "level") -> DataFrame:
+    """(level): those of which some line has a vertex in the box."""
+    return points.filter(F.col("lat").between(south, north) & geo.wrap_lon(F.col("lon")).between(west, east)).select(level).distinct()
+
+
+def usable(points: DataFrame, by: str) -> DataFrame:
+    """points of lines of two points or more."""
+    return points.withColumn("size", F.count("*").over(Window.partitionBy(by))).filter("size >= 2").drop("size")
 
 
 def nearest_approach(points: DataFrame, lat: float, lon: float, by: str = "track_id") -> DataFrame:

@@ -131,3 +131,19 @@ def nearest_ocean(points: DataFrame, land: DataFrame, rings: int = 40, point_id:
     best = placed.join(choices, ["pi", "pj"]).groupBy(point_id).agg(F.min(F.struct(km, F.col("i"), F.col("j"))).alias("b")).select(point_id, "b.i", "b.j", "b.km")
     at_sea = placed.join(is_land, ["pi", "pj"], "left_anti").select(point_id, F.col("pi").alias("i"), F.col("pj").alias("j"), "lat", "lon").select(point_id, "i", "j", km)
     return at_sea.unionByName(best)
+
+
+def nearest_home_first(points: DataFrame, cells: DataFrame, km: float, size: float = 10.0, point_id: str = "pt_id", cell_id: str = "cell_id") -> DataFrame:
+    """As nearest, in two steps: a point is done if its own tile has a cell nearer than 0.99 of the way to the tile's edge;
+    the others ask all tiles that the radius reaches. Pays where cells are dense and most points lie well inside a tile."""
+    lat, lon = F.col("lat"), geo.wrap_lon(F.col("lon"))
+    north, east = F.pmod(lat + 90, F.lit(size)), F.pmod(lon + 180, F.lit(size))
+    # the sides of a tile are meridians: nearest where they come closest to the pole
+    narrow = F.cos(F.radians(F.least(F.abs(lat) + size, F.lit(90.0))))
+    edge = F.least(north, size - north, F.least(east, size - east) * narrow) * 111.0
+    home = in_tiles(points.select(point_id, "lat", "lon", edge.alias("edge")), size)
+    far = in_tiles(cells.select(cell_id, F.col("lat").alias("clat"), F.col("lon").alias("clon"), "lat", "lon"), size).drop("lat", "lon")
+    pairs = home.join(far, ["ti", "tj"]).withColumn("km", F.round(geo.haversine_km(lat, F.col("lon"), F.col("clat"), F.col("clon")), 6)).filter((F.col("km") <= 0.99 * F.col("edge")) & (F.col("km") <= km))
+    done = pairs.groupBy(point_id).agg(F.min(F.struct("km", cell_id)).alias("best")).select(point_id, F.col(f"best.{cell_id}").alias(cell_id), F.col("best.km").alias("km"))
+    rest = points.select(point_id, "lat", "lon").join(done.select(point_id), point_id, "left_anti")
+    return done.unionByName(nearest(rest, cells, km, size, point_id, cell_id))

@@ -290,8 +290,10 @@ def polyline_bbox(spark, sf_dir):
 
 @query(
     f"""WITH {_DEC}, nm AS (SELECT *, floor(lat * 100 + 0.5)::BIGINT || ',' || floor(lon * 100 + 0.5)::BIGINT AS here FROM dec),
-    st AS (SELECT here, lag(here) OVER w AS there, greatest(abs(lat - lag(lat) OVER w), abs(lon - lag(lon) OVER w)) AS step FROM nm WINDOW w AS (PARTITION BY track_id ORDER BY ts, seq))
-    SELECT least(here, there) AS a, greatest(here, there) AS b, count(*)::BIGINT AS n, count(*) > 1 OR max(step) > 4 AS cut FROM st WHERE there IS NOT NULL GROUP BY ALL"""
+    st AS (SELECT here, lag(here) OVER w AS there, lat, lon, lag(lat) OVER w AS la, lag(lon) OVER w AS lo FROM nm WINDOW w AS (PARTITION BY track_id ORDER BY ts, seq))
+    SELECT least(here, there) AS a, greatest(here, there) AS b, count(*)::BIGINT AS n,
+      count(*) > 1 OR bool_or(abs(lon - lo) > 180 OR (abs(lon) >= 179.99 AND abs(lo) >= 179.99) OR (abs(lat) >= 89.9 AND abs(la) >= 89.9) OR pow(lat - la, 2) + pow(lon - lo, 2) > 16) AS cut
+    FROM st WHERE there IS NOT NULL GROUP BY ALL"""
 )
 def edge_multiplicity(spark, sf_dir):
     return L.edge_counts(_decoded(spark, sf_dir))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pelagos.functions import numeric as N
@@ -11,6 +13,7 @@ from pelagos.functions.constants import COMPASS, MONTH_NAMES
 from pelagos.functions.position import ERRORS, read_positions
 from pelagos.operators import display as D
 from pelagos.operators import environment as E
+from pelagos.operators import panels as V
 from pelagos.operators import rollup as R
 from pelagos.plans.registry import ASSETS, CELLS, DAYS, EXC, OBS, POINTS, SEQ, THR, TRACKS, query
 from pelagos.sources import bindings as B
@@ -111,7 +114,7 @@ def parse_position(spark, sf_dir):
 
 @query(
     f"""WITH {POINTS}, z AS (SELECT pt_id, lat, lon, pt_id % 13 AS k, (pt_id % 7) * 0.5::DOUBLE + 0.5 AS h FROM points)
-    SELECT pt_id, concat_ws('&', 'loc=' || {_fixed('lat', 2)} || ',' || {_fixed('lon', 2)}, CASE WHEN k BETWEEN 1 AND 11 THEN 'm=' || array_to_string(list_transform(range(k), lambda m: (m + 1)::VARCHAR), ',') END, CASE WHEN h <> 2 THEN 'h=' || regexp_replace({_fixed('h', 2)}, '\\.?0+$', '') END) AS link FROM z"""
+    SELECT pt_id, concat_ws('&', 'loc=' || {_fixed('lat', 2)} || ',' || {_fixed('lon', 2)}, CASE WHEN k BETWEEN 1 AND 11 THEN 'm=' || array_to_string(list_transform(range(k), lambda m: (m + 1)::VARCHAR), ',') END, CASE WHEN h <> 2 THEN 'h=' || regexp_replace({_fixed('h', 2)}, '\\.?0+$', '') END, CASE WHEN pt_id % 3 = 0 THEN 'wt=' || CASE WHEN pt_id % 2 = 0 THEN '1.5' ELSE '2' END END, CASE WHEN pt_id % 3 = 0 THEN 'wd=' || (pt_id % 5 * 12) END) AS link FROM z"""
 )
 def build_share_link(spark, sf_dir):
     return _links(spark, sf_dir).select("pt_id", "link")
@@ -120,16 +123,17 @@ def build_share_link(spark, sf_dir):
 def _links(spark, sf_dir):
     k = (F.col("pt_id") % 13).cast("int")
     months = F.filter(F.sequence(F.lit(0), F.lit(11)), lambda m: m < k)
-    return B.points(spark, sf_dir).select("pt_id", "lat", "lon", X.share_link(F.col("lat"), F.col("lon"), months, F.col("pt_id") % 7 * 0.5 + 0.5, 2.0).alias("link"))
+    some = F.col("pt_id") % 3 == 0
+    return B.points(spark, sf_dir).select("pt_id", "lat", "lon", X.share_link(F.col("lat"), F.col("lon"), months, F.col("pt_id") % 7 * 0.5 + 0.5, 2.0, F.when(some, F.when(F.col("pt_id") % 2 == 0, 1.5).otherwise(2.0)), F.when(some, (F.col("pt_id") % 5 * 12).cast("int"))).alias("link"))
 
 
 @query(
     f"""WITH {POINTS}, z AS (SELECT pt_id, lat, lon, pt_id % 13 AS k, (pt_id % 7) * 0.5::DOUBLE + 0.5 AS h FROM points)
-    SELECT pt_id, {_fixed('lat', 2)}::DOUBLE AS lat, {_fixed('lon', 2)}::DOUBLE AS lon, CASE WHEN k BETWEEN 1 AND 11 THEN array_to_string(list_transform(range(k), lambda m: m::VARCHAR), ',') END AS months, CASE WHEN h <> 2 THEN h END AS lim FROM z"""
+    SELECT pt_id, {_fixed('lat', 2)}::DOUBLE AS lat, {_fixed('lon', 2)}::DOUBLE AS lon, CASE WHEN k BETWEEN 1 AND 11 THEN array_to_string(list_transform(range(k), lambda m: m::VARCHAR), ',') END AS months, CASE WHEN h <> 2 THEN h END AS lim, CASE WHEN pt_id % 3 = 0 THEN CASE WHEN pt_id % 2 = 0 THEN 1.5::DOUBLE ELSE 2.0::DOUBLE END END AS wt, CASE WHEN pt_id % 3 = 0 THEN (pt_id % 5 * 12)::INT END AS wd FROM z"""
 )
 def parse_share_link(spark, sf_dir):
     p = X.parsed_link(F.concat(F.lit("#"), F.col("link")))
-    return _links(spark, sf_dir).select("pt_id", p.alias("p")).select("pt_id", "p.lat", "p.lon", F.array_join(F.transform("p.months", lambda m: m.cast("string")), ",").alias("months"), F.col("p.limit").alias("lim"))
+    return _links(spark, sf_dir).select("pt_id", p.alias("p")).select("pt_id", "p.lat", "p.lon", F.array_join(F.transform("p.months", lambda m: m.cast("string")), ",").alias("months"), F.col("p.limit").alias("lim"), "p.wt", "p.wd")
 
 
 def _visits(spark, sf_dir):
@@ -205,12 +209,17 @@ def tile_decode(spark, sf_dir):
 _ACTIVE = f"(NOT regexp_matches(lower(s), '{X.NOT_IN_SERVICE}') AND regexp_matches(lower(s), '{X.IN_SERVICE}'))"
 
 
-@query(f"WITH {ASSETS} SELECT asset_id, t FROM assets WHERE t <> 'lng terminal' AND (t <> 'well' OR {_ACTIVE}) AND d <> 0 AND d BETWEEN 100 AND 700 AND contains(lower(n || ' ' || s || ' ' || o), 'brand')")
+@query(
+    f"""WITH {ASSETS}, own AS (SELECT *, d <> 0 AND d BETWEEN 100 AND 700 AS deep, contains(lower(n || ' ' || coalesce(s, '') || ' ' || coalesce(o, '')), 'brand') AS named FROM assets)
+    SELECT 'default' AS choice, asset_id, t FROM own
+    UNION ALL SELECT 'active' AS choice, asset_id, t FROM own WHERE t <> 'lng terminal' AND (t <> 'well' OR {_ACTIVE}) AND deep AND named
+    UNION ALL SELECT 'platforms' AS choice, asset_id, t FROM own WHERE contains(t, 'platform') AND d <> 0 AND d <= 500"""
+)
 def asset_filter(spark, sf_dir):
-    """Wells in service, platforms and fields, at depths of 100 to 700 m, whose texts hold "brand". A depth of 0 is no depth."""
-    kind = (F.col("t") != "lng terminal") & ((F.col("t") != "well") | X.in_service(F.col("s")))
-    deep = (F.col("d") != 0) & F.col("d").between(100, 700)
-    return B.assets(spark, sf_dir).filter(kind & deep & F.lower(F.concat_ws(" ", "n", "s", "o")).contains("brand")).select("asset_id", "t")
+    """Three choices: all; wells in service, platforms and fields at 100 to 700 m whose texts hold "brand"; platforms in up to 500 m."""
+    assets = B.assets(spark, sf_dir)
+    choices = {"default": V.AssetChoice(), "active": V.AssetChoice(lng=False, active_only=True, low=100, high=700, text=" Brand "), "platforms": V.AssetChoice(wells=False, lng=False, fields=False, high=500)}
+    return reduce(DataFrame.unionByName, [V.chosen_assets(assets, c).select(F.lit(name).alias("choice"), "asset_id", "t") for name, c in choices.items()])
 
 
 @query(f"WITH {ASSETS} SELECT asset_id, {_ACTIVE} AS active FROM assets WHERE t = 'well'")
@@ -319,10 +328,16 @@ def _cyclones(spark, sf_dir):
     return rows, monthly, rows.filter("track_id % 3 <> 0").groupBy("cell_id").agg((F.count_distinct("y") / 2.0).alias("storms_all"))
 
 
-@query(f"WITH {_CYC}, s AS (SELECT cell_id, sum(storms) AS s, sum(days) AS d FROM cm GROUP BY cell_id) SELECT cell_id, round(coalesce(storms_all, s), 6) AS storms, round(d, 6) AS days, storms_all IS NOT NULL AS exact FROM s LEFT JOIN cy USING (cell_id)")
+@query(
+    f"""WITH {_CYC}, s AS (SELECT cell_id, sum(storms) AS s, sum(days) AS d, bool_or(storms > 0 OR days > 0) AS happens FROM cm GROUP BY cell_id), pk AS (SELECT track_id % 200 AS cell_id, max(w) AS w FROM tracks GROUP BY ALL)
+    SELECT cell_id, round(coalesce(storms_all, s), 6) AS storms, round(d, 6) AS days, happens, storms_all IS NOT NULL AS exact, w AS wmax,
+      CASE WHEN w < 34 THEN NULL WHEN w < 64 THEN 'tropical storm strength' WHEN w < 83 THEN 'Category 1' WHEN w < 96 THEN 'Category 2' WHEN w < 113 THEN 'Category 3' WHEN w < 137 THEN 'Category 4' ELSE 'Category 5' END AS category
+    FROM s LEFT JOIN cy USING (cell_id) JOIN pk USING (cell_id)"""
+)
 def cyclone_summary(spark, sf_dir):
-    _, monthly, year = _cyclones(spark, sf_dir)
-    return E.cyclone_summary(monthly, year, list(range(12))).select("cell_id", r(F.col("storms")).alias("storms"), r(F.col("days")).alias("days"), "exact")
+    rows, monthly, year = _cyclones(spark, sf_dir)
+    peaks = rows.groupBy("cell_id").agg(F.max("w").alias("wmax"))
+    return E.cyclone_summary(monthly, year, peaks, list(range(12))).select("cell_id", r(F.col("storms")).alias("storms"), r(F.col("days")).alias("days"), "happens", "exact", "wmax", "category")
 
 
 @query(f"WITH {_CYC} SELECT cell_id, sum(storms) >= 0.1 AS in_area FROM cm GROUP BY cell_id")
@@ -330,11 +345,18 @@ def cyclone_area(spark, sf_dir):
     return E.in_cyclone_area(_cyclones(spark, sf_dir)[1])
 
 
-@query(f"WITH {TRACKS}, p AS (SELECT track_id % 200 AS cell_id, (y % 3)::INT AS phase, m, count(*) FILTER (WHERE w >= 34) / 7.0::DOUBLE AS days FROM tracks GROUP BY ALL) SELECT cell_id, phase, floor(round(sum(days), 6) * 10 + 0.5) / 10 AS days FROM p WHERE m IN (7, 8, 9) GROUP BY cell_id, phase QUALIFY count(*) OVER (PARTITION BY cell_id) >= 2")
+@query(
+    f"""WITH {TRACKS}, p AS (SELECT track_id % 200 AS cell_id, (y % 3)::INT AS phase, m, count(*) FILTER (WHERE w >= 34) / 7.0::DOUBLE AS days FROM tracks WHERE (track_id + y) % 4 <> 0 GROUP BY ALL),
+    s AS (SELECT cell_id, phase, floor(round(sum(days), 6) * 10 + 0.5) / 10 AS days FROM p WHERE m IN (7, 8, 9) GROUP BY cell_id, phase),
+    yr AS (SELECT phase, floor(sum(n) / 3.0::DOUBLE + 0.5)::INT AS years FROM (SELECT (y % 3)::INT AS phase, m, count(DISTINCT y) AS n FROM tracks WHERE m IN (7, 8, 9) GROUP BY ALL) GROUP BY phase),
+    k AS (SELECT cell_id FROM s GROUP BY cell_id HAVING count(*) >= 2)
+    SELECT cell_id, ph.phase::INT AS phase, days, coalesce(years, 0)::INT AS years FROM k CROSS JOIN range(3) ph(phase) LEFT JOIN s USING (cell_id, phase) LEFT JOIN yr USING (phase)"""
+)
 def cyc_enso_split(spark, sf_dir):
     rows = B.tracks(spark, sf_dir).withColumns({"cell_id": F.col("track_id") % 200, "phase": (F.col("y") % 3).cast("int")})
-    monthly = rows.groupBy("cell_id", "phase", "m").agg((F.count_if(F.col("w") >= 34) / 7.0).alias("days"))
-    return E.cyclones_by_phase(monthly, [7, 8, 9])
+    monthly = rows.filter((F.col("track_id") + F.col("y")) % 4 != 0).groupBy("cell_id", "phase", "m").agg((F.count_if(F.col("w") >= 34) / 7.0).alias("days"))
+    years = rows.groupBy("phase", "m").agg(F.count_distinct("y").alias("n"))
+    return E.cyclones_by_phase(monthly, years, [7, 8, 9])
 
 
 _CAT = "CASE WHEN w < 34 THEN {weak} WHEN w < 64 THEN {storm} WHEN w < 83 THEN 'Category 1' WHEN w < 96 THEN 'Category 2' WHEN w < 113 THEN 'Category 3' WHEN w < 137 THEN 'Category 4' ELSE 'Category 5' END"
