@@ -49,6 +49,8 @@ PIVOTS, MORE = 16, 8
 BROADCAST_IDS = 1_000_000
 _WORD = re.compile(r"\w+")
 CACHE_WORDS, CHUNK_CHARS, CHUNK_DOCS = 500_000, 2_000_000, 2000
+#: Points that processes take in one step, if each takes more than one.
+BLOCK = 20_000
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -94,33 +96,52 @@ class Shingler:
         return (key >> np.uint64(52)).astype(np.int64), key & np.uint64((1 << 52) - 1), weight
 
 
+def _arrivals(best: np.ndarray, to: np.ndarray, seed: np.ndarray, until: np.ndarray, rate: np.ndarray | float, m: int, inside=None) -> None:
+    """Takes each process's points up to `until` into best, from to[process] on; `inside` tells which of them count.
+
+    While many processes run, all take one step at once; when few are left, each takes many, so that the short texts, whose
+    processes have thousands of points, don't cost thousands of tiny steps. The points are the same either way.
+    """
+    t, step, at = np.zeros(len(seed)), 0, np.arange(len(seed))
+    while len(t):
+        many = max(1, min(64, BLOCK // len(t)))
+        steps = np.arange(step + 1, step + many + 1, dtype=np.uint64)
+        step += many
+        u = _mix(seed[:, None] + steps * GOLD)
+        waits = np.log(((u >> np.uint64(11)).astype(np.float64) + 1) * 2.0**-53) / (rate if np.isscalar(rate) else rate[at][:, None])
+        when = np.cumsum(np.concatenate([t[:, None], -waits], axis=1), axis=1)[:, 1:]
+        on = when <= until[:, None]
+        r, c = np.nonzero(on)
+        v = _mix(seed[r] ^ (steps * np.uint64(0xD1B54A32D192ED03))[c])
+        place = to[at[r]] + ((v >> np.uint64(32)) * np.uint64(m) >> np.uint64(32)).astype(np.int64)
+        found = when[on]
+        if inside is not None:
+            hit = inside(v, at[r])
+            place, found = place[hit], found[hit]
+        np.minimum.at(best, place, found)
+        go = np.flatnonzero(on[:, -1])
+        t, until, seed, at = when[go, -1], until[go], seed[go], at[go]
+
+
 def bag_minhash(doc: np.ndarray, elem: np.ndarray, weight: np.ndarray, n: int, m: int = M) -> np.ndarray:
     """Earliest arrival for each of n documents and m components; infinite for documents without elements."""
-    levels = np.ceil(np.log2(np.maximum(weight, 1))).astype(np.int64) + 1
-    of = np.repeat(np.arange(len(doc)), levels)
-    level = np.arange(len(of)) - np.repeat(np.cumsum(levels) - levels, levels)
     total = np.bincount(doc, weights=weight, minlength=n)
     limit = (np.log(m) + 3) / np.maximum(total, 1)
     best = np.full(n * m, np.inf)
-    seed0 = _mix(elem[of] * np.uint64(64) + level.astype(np.uint64) + GOLD)
+    higher = np.ceil(np.log2(np.maximum(weight, 1))).astype(np.int64)  # intervals beyond the first
     todo = total > 0
     while todo.any():
-        live = np.flatnonzero(todo[doc[of]])
-        seed, d, w = seed0[live], doc[of][live], weight[of][live]
-        width = np.where(level[live] > 0, np.int64(1) << np.maximum(level[live] - 1, 0), 1)
-        lowest = np.where(level[live] > 0, width, 0)
-        t, until, step = np.zeros(len(live)), limit[d], 0
-        while len(t):
-            step += 1
-            u = _mix(seed + _times(step, 0x9E3779B97F4A7C15))
-            t = t - np.log(((u >> np.uint64(11)).astype(np.float64) + 1) * 2.0**-53) / (width * float(m))
-            on = t <= until
-            t, until, seed, d, w, width, lowest = t[on], until[on], seed[on], d[on], w[on], width[on], lowest[on]
-            v = _mix(seed ^ _times(step, 0xD1B54A32D192ED03))
-            part = ((v >> np.uint64(32)) * np.uint64(m) >> np.uint64(32)).astype(np.int64)
-            unit = lowest + 1 + ((v & np.uint64(0xFFFFFFFF)).astype(np.int64) & (width - 1))  # widths are powers of 2: each bit halves
-            hit = unit <= w
-            np.minimum.at(best, d[hit] * m + part[hit], t[hit])
+        live = np.flatnonzero(todo[doc])
+        d = doc[live]
+        _arrivals(best, d * m, _mix(elem[live] * np.uint64(64) + GOLD), limit[d], float(m), m)
+        of = np.repeat(live, higher[live])
+        if len(of):
+            k = higher[live]
+            level = np.arange(len(of)) - np.repeat(np.cumsum(k) - k, k) + 1
+            d, w, width = doc[of], weight[of], np.int64(1) << (level - 1)
+            # widths are powers of 2: each bit halves the interval
+            inside = lambda v, at: width[at] + 1 + ((v & np.uint64(0xFFFFFFFF)).astype(np.int64) & (width[at] - 1)) <= w[at]
+            _arrivals(best, d * m, _mix(elem[of] * np.uint64(64) + level.astype(np.uint64) + GOLD), limit[d], width * float(m), m, inside)
         todo &= np.isinf(best.reshape(n, m)).any(axis=1)
         best.reshape(n, m)[todo] = np.inf
         limit = limit * 2
