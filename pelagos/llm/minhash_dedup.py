@@ -48,7 +48,7 @@ PIVOTS, MORE = 16, 8
 #: Ids that may be broadcast (8 bytes each); more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 _WORD = re.compile(r"\w+")
-CACHE_WORDS, CHUNK_CHARS, CHUNK_DOCS = 500_000, 2_000_000, 2000
+CACHE_WORDS, CHUNK_CHARS, CHUNK_DOCS = 200_000, 500_000, 1000
 #: Points that processes take in one step, if each takes more than one.
 BLOCK = 20_000
 GOLD = np.uint64(0x9E3779B97F4A7C15)

@@ -58,7 +58,7 @@ EXAMPLES, COUNTER, HARD, AGAIN, POOL = 4000, 6000, 2000, 3000, 600
 #: Sizes of the tiles in which kernels are computed; they bound memory.
 BLOCK_ROWS, BLOCK_LANDMARKS, BLOCK_WORDS = 256, 64, 4000
 WORD_LETTERS = 32  # longer runs of letters are taken in overlapping pieces of so many
-CACHE_WORDS, CHUNK_CHARS = 500_000, 2_000_000
+CACHE_WORDS, CHUNK_CHARS = 500_000, 500_000
 _OTHER = re.compile(r"[\W\d_]+")
 PRIME = np.uint64(0x9E3779B97F4A7C15)
 
