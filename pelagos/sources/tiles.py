@@ -8,8 +8,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Fields of a wave tile that are read here, with their scale and how many values a cell has (T: thresholds).
-FIELDS = {"mean": (10.0, "12"), "n": (1.0, "12"), "tp": (10.0, "12"), "exc": (10.0, "12*T"), "wr": (1.0, "144"), "dh": (10.0, "96")}
+#: Fields of a wave tile with their scale, and how many values a cell has: a number, and a number for each threshold.
+#: Fields whose size a manifest's own lists tell (None) are not held against a length.
+FIELDS = {
+    "mean": (10.0, 12, 0), "n": (1.0, 12, 0), "tp": (10.0, 12, 0), "exc": (10.0, 0, 12), "wd": (1.0, 12, 0), "wp": (1.0, 12, 0), "wr": (1.0, 144, 0), "hx": (10.0, 24, 0), "hxa": (10.0, 2, 0), "wm": (10.0, 12, 0),
+    "w9": (10.0, 12, 0), "wq": (10.0, None, 0), "vr": (1.0, 144, 0), "pw": (10.0, None, 0), "th": (10.0, None, 0), "pn": (1.0, 36, 0), "pm": (10.0, 36, 0), "pe": (10.0, 0, 36), "dh": (10.0, 96, 0), "dw": (10.0, 96, 0),
+}
 TILE = "lat ARRAY<DOUBLE>, lon ARRAY<DOUBLE>, " + ", ".join(f"{k} ARRAY<ARRAY<INT>>" for k in FIELDS)
 
 
@@ -32,7 +36,7 @@ def cells_of(tiles: DataFrame) -> DataFrame:
 
 def checked(cells: DataFrame, thresholds: int) -> DataFrame:
     """Raises where an array has the wrong length."""
-    right = [F.col(k).isNull() | (F.size(k) == eval(size, {"T": thresholds})) for k, (_, size) in FIELDS.items() if k in cells.columns]  # noqa: S307  sizes are this module's own
+    right = [F.col(k).isNull() | (F.size(k) == size + each * thresholds) for k, (_, size, each) in FIELDS.items() if k in cells.columns and size is not None]
     bad = F.lit(False)
     for ok in right:
         bad = bad | ~ok
