@@ -52,6 +52,34 @@ def exceeded_at(curve: DataFrame, height: float, keys: tuple = ("cell_id",), anc
     return ends.select(*keys, p.alias("p"))
 
 
+def _at(points: Column, height: float, anchored: bool) -> Column:
+    """What a curve, an array of (t, p) in ascending order, has at a height: as in exceeded_at."""
+    h = F.lit(float(height))
+    known = F.filter(points, lambda c: c["p"].isNotNull())
+    below, above = F.filter(known, lambda c: c["t"] <= h), F.filter(known, lambda c: c["t"] > h)
+    lo, hi, first = F.element_at(below, -1), F.get(above, F.lit(0)), F.get(points, F.lit(0))
+    none, end = F.size(below) == 0, F.size(above) == 0
+    line = lambda t0, p0: p0 + (hi["p"] - p0) * (h - t0) / (hi["t"] - t0)
+    if anchored:
+        p = F.when(first["p"].isNull(), None).when(h <= 0, 100.0).when(end, F.when(~none, lo["p"])).when(none, line(F.lit(0.0), F.lit(100.0))).otherwise(line(lo["t"], lo["p"]))
+        return F.struct(h.alias("h"), p.alias("p"), F.coalesce(end & (lo["t"] < h), F.lit(False)).alias("floor"))
+    p = F.when(none, first["p"]).when(end, F.when(lo["t"] == h, lo["p"])).otherwise(line(lo["t"], lo["p"]))
+    return F.struct(h.alias("h"), p.alias("p"))
+
+
+def exceeded_at_each(curve: DataFrame, heights: tuple, keys: tuple = ("cell_id",), anchored: bool = True) -> DataFrame:
+    """(keys, each array<struct<h, p, floor>>): the curve (t, p) at many heights, by one aggregate; a curve has as many points as there are thresholds."""
+    curves = curve.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("t", "p"))).alias("_points"))
+    return curves.select(*keys, F.array(*(_at(F.col("_points"), h, anchored) for h in heights)).alias("each"))
+
+
+def exceedance_at(obs: DataFrame, heights: tuple, keys: tuple, more: dict[str, Column] | None = None, thresholds: tuple = THRESHOLDS, value: str = "hs") -> DataFrame:
+    """(keys, n, more.., each): exceedance of each group at heights, with further aggregates of the same pass over the samples."""
+    counts = obs.groupBy(*keys).agg(F.count("*").alias("n"), *(F.count_if(F.col(value) > t).alias(f"_c{k}") for k, t in enumerate(thresholds)), *(a.alias(name) for name, a in (more or {}).items()))
+    points = F.array(*(F.struct(F.lit(float(t)).alias("t"), (F.lit(100.0) * F.col(f"_c{k}") / F.col("n")).alias("p")) for k, t in enumerate(thresholds)))
+    return counts.select(*keys, "n", *(more or {}), F.array(*(_at(points, h, True) for h in heights)).alias("each"))
+
+
 def shares(obs: DataFrame, key: str, keys: tuple = ("cell_id", "m")) -> DataFrame:
     """(keys, key, pct): what percentage of a month's samples has each value of the key."""
     counts = obs.groupBy(*keys, key).agg(F.count("*").alias("n"))
@@ -129,10 +157,9 @@ def diurnal(seq: DataFrame, by: str = "site") -> DataFrame:
 
 def by_phase(obs: DataFrame, months: list[int], height: float) -> DataFrame:
     """(cell_id, phase, pct, mean, years) where at least two phases have samples: exceedance and mean weighted by samples."""
-    months_of = exceeded_at(exceedance(selected(obs, months), keys=("cell_id", "phase", "m")).withColumnRenamed("exc", "p"), height, ("cell_id", "phase", "m"))
-    means = selected(obs, months).groupBy("cell_id", "phase", "m").agg(F.count("*").alias("n"), F.avg("hs").alias("mean"))
+    found = exceedance_at(selected(obs, months), (height,), ("cell_id", "phase", "m"), {"mean": F.avg("hs")}).withColumn("p", F.get("each", F.lit(0))["p"])
     n = F.col("n").cast("double")
-    sums = means.join(months_of, ["cell_id", "phase", "m"]).groupBy("cell_id", "phase").agg(weighted(F.col("p"), n).alias("pct"), weighted(F.col("mean"), n).alias("mean"), F.sum("n").alias("n"), F.count("*").alias("with_data"))
+    sums = found.groupBy("cell_id", "phase").agg(weighted(F.col("p"), n).alias("pct"), weighted(F.col("mean"), n).alias("mean"), F.sum("n").alias("n"), F.count("*").alias("with_data"))
     years = F.floor(F.col("n") / (F.lit(8 * 30.4) * F.col("with_data")) + 0.5).cast("int")
     phases = F.count("pct").over(Window.partitionBy("cell_id"))
     return sums.withColumn("phases", phases).filter("phases >= 2").select("cell_id", "phase", "pct", "mean", years.alias("years"))

@@ -58,18 +58,37 @@ def edges(rings: DataFrame, by: tuple = ("level", "ring")) -> DataFrame:
     return rings.select(*by, F.col("x").alias("x1"), F.col("y").alias("y1"), F.coalesce(F.lead("x").over(w), F.first("x").over(whole)).alias("x2"), F.coalesce(F.lead("y").over(w), F.first("y").over(whole)).alias("y2"))
 
 
-def crossings(points: DataFrame, ring_edges: DataFrame, by: str = "level", point_id: str = "pt_id") -> DataFrame:
-    """(point_id, by, inside): even-odd rule with half-open edges; every point has a row for every level.
+def crossings(points: DataFrame, ring_edges: DataFrame, by: str = "level", point_id: str = "pt_id", band: float = 1.0) -> DataFrame:
+    """(point_id, by) of the levels that hold a point: even-odd rule with half-open edges.
 
-    Edges are of a fixed outline, so they are few and are sent to all tasks by the planner if small.
+    Edges are cut to bands of latitude, so that points and edges meet by a hash join on the band. A ring's box is given to
+    its edges first: where a point lies beside or beyond it, no ray is cast.
     """
+    ring = [c for c in ring_edges.columns if c not in ("x1", "y1", "x2", "y2")]
+    box = Window.partitionBy(*ring)
+    low, high = F.least("y1", "y2"), F.greatest("y1", "y2")
+    number = lambda y: F.floor(y / band).cast("int")
+    boxed = ring_edges.withColumns({"_west": F.min(F.least("x1", "x2")).over(box), "_east": F.max(F.greatest("x1", "x2")).over(box)}).filter("y1 <> y2")
+    banded = boxed.withColumn("_band", F.explode(F.sequence(number(low), number(high))))
     y, x = F.col("lat"), F.col("lon")
     half_open = ((F.col("y1") <= y) & (F.col("y2") > y)) | ((F.col("y2") <= y) & (F.col("y1") > y))
     at = F.col("x1") + (y - F.col("y1")) / (F.col("y2") - F.col("y1")) * (F.col("x2") - F.col("x1"))
-    hits = points.join(ring_edges, half_open & (at > x)).groupBy(point_id, by).agg((F.count("*") % 2 == 1).alias("inside"))
+    met = points.select(point_id, "lat", "lon", number(y).alias("_band")).join(banded, "_band")
+    hits = met.filter((x >= F.col("_west")) & (x <= F.col("_east")) & half_open & (at > x)).groupBy(point_id, by).agg((F.count("*") % 2 == 1).alias("inside"))
     return hits.filter("inside").select(point_id, by)
 
 
+def rings(levels: DataFrame, scale: float = 100.0, by: tuple = ("level", "ring")) -> DataFrame:
+    """(by, seq, x, y) of rings in delta codes: one row a step (by, seq, dx, dy), whole numbers."""
+    so_far = Window.partitionBy(*by).orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    return levels.select(*by, "seq", (F.sum("dx").over(so_far) / scale).alias("x"), (F.sum("dy").over(so_far) / scale).alias("y"))
+
+
+def ring_boxes(vertices: DataFrame, by: tuple = ("level", "ring")) -> DataFrame:
+    """(by, points, west, south, east, north) of each ring."""
+    return vertices.groupBy(*by).agg(F.count("*").alias("points"), F.min("x").alias("west"), F.min("y").alias("south"), F.max("x").alias("east"), F.max("y").alias("north"))
+
+
 def depth_band(points: DataFrame, inside: DataFrame, levels: list[int], point_id: str = "pt_id") -> DataFrame:
     """(point_id, band): by the deepest level that holds a point."""
     deepest = points.select(point_id).join(inside.groupBy(point_id).agg(F.max("level").alias("level")), point_id, "left")

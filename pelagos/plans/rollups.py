@@ -9,6 +9,7 @@ from pelagos.functions.constants import BIN_MEAN_H, WINDOW_EDGES
 from pelagos.operators import extremes as X
 from pelagos.operators import persistence as P
 from pelagos.operators import rollup as R
+from pelagos.operators.quantile import quantiles
 from pelagos.plans.registry import CELLS, CURVE, DAYS, EXC, OBS, SEQ, THR, curve_at, query
 from pelagos.sources import bindings as B
 
@@ -123,18 +124,34 @@ def swell_summary(spark, sf_dir):
     return R.swell_summary(B.obs(spark, sf_dir), SUMMER, FLOORS, SWELL_T).select("cell_id", "floor", "t", r(F.col("exc")).alias("exc"), r(F.col("mean"), 6).alias("mean"), r(F.col("wind"), 6).alias("wind"))
 
 
+def _swell_curve(spark, sf_dir):
+    return R.swell_summary(B.obs(spark, sf_dir), SUMMER, FLOORS, SWELL_T).select("cell_id", "floor", "t", F.col("exc").alias("p"))
+
+
 @query(
     f"""WITH {_SWELL} SELECT cell_id, floor, round(max(exc) FILTER (WHERE t = 1.0) + (max(exc) FILTER (WHERE t = 2.0) - max(exc) FILTER (WHERE t = 1.0)) * 0.5, 4) AS at_1_5,
     round(max(exc) FILTER (WHERE t = 0.5), 4) AS at_0_3, CAST(NULL AS DOUBLE) AS at_6 FROM s GROUP BY cell_id, floor"""
 )
 def swell_at(spark, sf_dir):
-    curve = R.swell_summary(B.obs(spark, sf_dir), SUMMER, FLOORS, SWELL_T).select("cell_id", "floor", "t", F.col("exc").alias("p"))
-    at = lambda h, name: R.exceeded_at(curve, h, ("cell_id", "floor"), anchored=False).select("cell_id", "floor", r(F.col("p")).alias(name))
-    return at(1.5, "at_1_5").join(at(0.3, "at_0_3"), ["cell_id", "floor"]).join(at(6.0, "at_6"), ["cell_id", "floor"])
+    found = R.exceeded_at_each(_swell_curve(spark, sf_dir), (1.5, 0.3, 6.0), ("cell_id", "floor"), anchored=False)
+    return found.select("cell_id", "floor", *(r(F.get("each", F.lit(k))["p"]).alias(name) for k, name in enumerate(("at_1_5", "at_0_3", "at_6"))))
+
+
+SIX = (0.3, 0.75, 1.0, 1.5, 3.0, 6.0)
+
+
+@query(
+    f"""WITH {_SWELL}, c AS (SELECT cell_id, floor, list(exc ORDER BY t) AS p FROM s GROUP BY cell_id, floor)
+    SELECT cell_id, floor, h, round(p, 4) AS p FROM (SELECT cell_id, floor, unnest([{', '.join(f'{h}::DOUBLE' for h in SIX)}]) AS h, unnest([p[1], p[1] + (p[2] - p[1]) * 0.5, p[2], p[2] + (p[3] - p[2]) * 0.5, p[3] + (p[4] - p[3]) * 0.5, NULL]) AS p FROM c)"""
+)
+def swell_heights(spark, sf_dir):
+    """The swell panel's six heights, of each period and above, in one pass over the curve."""
+    found = R.exceeded_at_each(_swell_curve(spark, sf_dir), SIX, ("cell_id", "floor"), anchored=False)
+    return found.select("cell_id", "floor", F.explode("each").alias("e")).select("cell_id", "floor", "e.h", r(F.col("e.p")).alias("p"))
 
 
 def _p99(spark, sf_dir):
-    return B.obs(spark, sf_dir).groupBy("cell_id", "m").agg(F.percentile("hs", F.lit(0.99)).alias("p99"), F.percentile("hs", F.lit(0.999)).alias("p999"))
+    return quantiles(B.obs(spark, sf_dir), ["cell_id", "m"], "hs", {"p99": 0.99, "p999": 0.999})
 
 
 @query(f"WITH {OBS} SELECT cell_id, m, round(quantile_cont(hs, 0.99), 6) AS p99, round(quantile_cont(hs, 0.999), 6) AS p999 FROM obs GROUP BY cell_id, m")
@@ -149,12 +166,12 @@ def roughest_month(spark, sf_dir):
 
 @query(f"WITH {OBS} SELECT cell_id, round(quantile_cont(hs, 0.99), 6) AS p99_all, round(quantile_cont(hs, 0.999), 6) AS p999_all FROM obs GROUP BY cell_id")
 def annual_p999(spark, sf_dir):
-    return B.obs(spark, sf_dir).groupBy("cell_id").agg(r(F.percentile("hs", F.lit(0.99)), 6).alias("p99_all"), r(F.percentile("hs", F.lit(0.999)), 6).alias("p999_all"))
+    return quantiles(B.obs(spark, sf_dir), ["cell_id"], "hs", {"p99_all": 0.99, "p999_all": 0.999}).withColumns({c: r(F.col(c), 6) for c in ("p99_all", "p999_all")})
 
 
 @query(f"WITH {OBS}, {DAYS}, mm AS (SELECT cell_id, m, avg(wind) AS mean, quantile_cont(wind, 0.9) AS p90 FROM obs GROUP BY cell_id, m) SELECT cell_id, round(sum(w * mean) / sum(w), 6) AS mean, round(sum(w * p90) / sum(w), 6) AS p90 FROM mm JOIN days USING (m) WHERE m IN (5, 6, 7) GROUP BY cell_id")
 def wind_summary(spark, sf_dir):
-    months = B.obs(spark, sf_dir).groupBy("cell_id", "m").agg(F.avg("wind").alias("mean"), F.percentile("wind", F.lit(0.9)).alias("p90"))
+    months = quantiles(B.obs(spark, sf_dir), ["cell_id", "m"], "wind", {"p90": 0.9}, mean="mean")
     days = N.month_days(F.col("m"))
     return R.selected(months, SUMMER).groupBy("cell_id").agg(r(N.weighted(F.col("mean"), days), 6).alias("mean"), r(N.weighted(F.col("p90"), days), 6).alias("p90"))
 
@@ -172,7 +189,8 @@ PROBS = (0.1, 0.5, 0.9, 0.99)
     SELECT cell_id, round((lo + hi) / 2, 6) AS q FROM steps WHERE i = 60"""
 )
 def wind_pooled_p90(spark, sf_dir):
-    months = B.obs(spark, sf_dir).groupBy("cell_id", "m").agg(F.percentile("wind", F.array(*map(F.lit, PROBS))).alias("q")).withColumn("qp", F.array(*map(F.lit, PROBS)))
+    found = quantiles(B.obs(spark, sf_dir), ["cell_id", "m"], "wind", {f"q{k}": p for k, p in enumerate(PROBS)})
+    months = found.select("cell_id", "m", F.array(*(f"q{k}" for k in range(len(PROBS)))).alias("q"), F.array(*map(F.lit, PROBS)).alias("qp"))
     return R.pooled_quantile(months, SUMMER, 0.9).select("cell_id", r(F.col("q"), 6).alias("q"))
 
 
@@ -231,10 +249,8 @@ def windows_longer_than(spark, sf_dir):
 
 def _month_bins(spark, sf_dir):
     """Bins of runs for each cell and month, made up from counts of samples, with the share of time over 2.2 m."""
-    rows = B.obs(spark, sf_dir)
-    bins = rows.groupBy("cell_id", "m").agg(*((F.count_if((F.col("tp_bin") % 7 == b) & (F.col("hs") < 4)) / F.lit(2.0 + b)).alias(f"b{b}") for b in range(7)))
-    months = R.exceedance(rows).withColumnRenamed("exc", "p")
-    return bins.join(R.exceeded_at(months, H, ("cell_id", "m")), ["cell_id", "m"])
+    bins = {f"b{b}": F.count_if((F.col("tp_bin") % 7 == b) & (F.col("hs") < 4)) / F.lit(2.0 + b) for b in range(7)}
+    return R.exceedance_at(B.obs(spark, sf_dir), (H,), ("cell_id", "m"), bins).withColumn("p", F.get("each", F.lit(0))["p"])
 
 
 def _periods(spark, sf_dir, edge=2):
@@ -298,7 +314,7 @@ def rv_confidence(spark, sf_dir):
 
 @query(f"WITH {_LEVELS}, alt AS (SELECT cell_id, quantile_cont(hs, 0.999) * 1.2 AS alt FROM obs GROUP BY cell_id) SELECT cell_id, coalesce(abs((alt - hs) / hs) > 0.15, false) AS disagrees FROM lv JOIN alt USING (cell_id) WHERE rp = 100")
 def alt_method_flag(spark, sf_dir):
-    other = B.obs(spark, sf_dir).groupBy("cell_id").agg((F.percentile("hs", F.lit(0.999)) * 1.2).alias("alt"))
+    other = quantiles(B.obs(spark, sf_dir), ["cell_id"], "hs", {"alt": 0.999}).withColumn("alt", F.col("alt") * 1.2)
     return X.return_levels(_maxima(spark, sf_dir)).filter("rp = 100").join(other, "cell_id").select("cell_id", X.disagrees(F.col("hs"), F.col("alt")).alias("disagrees"))
 
 
@@ -310,8 +326,8 @@ def season_cap(spark, sf_dir):
     from pelagos.functions.constants import SEASONS
 
     rows = B.obs(spark, sf_dir).withColumn("season", F.element_at(F.array(*(F.lit(s) for s in ("DJF", "DJF", "MAM", "MAM", "MAM", "JJA", "JJA", "JJA", "SON", "SON", "SON", "DJF"))), F.col("m") + 1))
-    seasons = rows.groupBy("cell_id", "season").agg((F.percentile("hs", F.lit(0.99)) * 1.05).alias("v"))
-    years = rows.groupBy("cell_id").agg(F.percentile("hs", F.lit(0.99)).alias("year"))
+    seasons = quantiles(rows, ["cell_id", "season"], "hs", {"v": 0.99}).withColumn("v", F.col("v") * 1.05)
+    years = quantiles(rows, ["cell_id"], "hs", {"year": 0.99})
     cap, flag = X.capped(F.col("v"), F.col("year"))
     names = F.create_map(*(F.lit(x) for kv in SEASONS.items() for x in kv))
     return seasons.join(years, "cell_id").select("cell_id", "season", F.element_at(names, F.col("season")).alias("label"), r(cap, 6).alias("hs"), flag.alias("capped"))

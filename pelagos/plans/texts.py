@@ -15,6 +15,7 @@ from pelagos.operators import display as D
 from pelagos.operators import environment as E
 from pelagos.operators import panels as V
 from pelagos.operators import rollup as R
+from pelagos.operators.quantile import quantiles
 from pelagos.plans.registry import ASSETS, CELLS, DAYS, EXC, OBS, POINTS, SEQ, THR, TRACKS, query
 from pelagos.sources import bindings as B
 from pelagos.sources import demo, tiles
@@ -283,7 +284,9 @@ _CUR = f"{OBS}, {DAYS}, mm AS (SELECT cell_id, m, quantile_cont(wind, 0.5) / 20
 
 
 def _currents(spark, sf_dir):
-    return B.obs(spark, sf_dir).groupBy("cell_id", "m").agg((F.percentile("wind", F.lit(0.5)) / 20).alias("s5"), (F.percentile("wind", F.lit(0.9)) / 20).alias("s9"), F.when(F.col("m") % 4 != 1, F.avg("hs") / 20).alias("b5"))
+    rows = B.obs(spark, sf_dir)
+    means = rows.groupBy("cell_id", "m").agg(F.when(F.col("m") % 4 != 1, F.avg("hs") / 20).alias("b5"))
+    return quantiles(rows, ["cell_id", "m"], "wind", {"s5": 0.5, "s9": 0.9}).join(means, ["cell_id", "m"]).withColumns({c: F.col(c) / 20 for c in ("s5", "s9")})
 
 
 @query(f"WITH {_CUR} SELECT cell_id, round(sum(w * s5) / sum(w), 6) AS s5, round(sum(w * s9) / sum(w), 6) AS s9, round(sum(w * b5) / sum(w) FILTER (WHERE b5 IS NOT NULL), 6) AS b5 FROM mm JOIN days USING (m) WHERE m IN (5, 6, 7) GROUP BY cell_id")

@@ -14,7 +14,8 @@ from pelagos.sources.tiles import unscaled
 FORMAT = 1
 MANIFEST = (
     "format INT, source STRING, source_label STRING, period STRING, attribution STRING, data_id STRING, tile_deg DOUBLE, max_snap_km DOUBLE, grid STRUCT<res: DOUBLE>, tiles ARRAY<STRING>, thresholds ARRAY<DOUBLE>, enso BOOLEAN,"
-    " rv STRUCT<fields: ARRAY<STRING>, years_n: ARRAY<INT>, years_s: ARRAY<INT>, seasons: ARRAY<STRING>, srv_fields: ARRAY<STRING>, min_years: INT, span: STRING>"
+    " rv STRUCT<fields: ARRAY<STRING>, years_n: ARRAY<INT>, years_s: ARRAY<INT>, seasons: ARRAY<STRING>, srv_fields: ARRAY<STRING>, min_years: INT, span: STRING>,"
+    " wind_q ARRAY<DOUBLE>, persist STRUCT<thresholds: ARRAY<DOUBLE>, edges_h: ARRAY<INT>>, tp_hist STRUCT<t0: DOUBLE, step: DOUBLE, nb: INT>, radii_nm ARRAY<DOUBLE>"
 )
 ASSETS = "format INT, assets ARRAY<STRUCT<n: STRING, t: STRING, la: DOUBLE, lo: DOUBLE, d: DOUBLE, s: STRING, o: STRING, c: STRING, y: STRING>>, lines ARRAY<STRUCT<n: STRING, s: STRING, c: STRING, o: STRING, src: STRING, e: ARRAY<INT>>>"
 TRACKS = "tracks ARRAY<STRUCT<n: STRING, y: INT, w: DOUBLE, e: ARRAY<INT>>>"
