@@ -89,3 +89,41 @@ def daylight(places: DataFrame, lat: str = "lat") -> DataFrame:
     some = (F.col("hours") > 0) & (F.col("hours") < 24)
     return out.withColumns({"rise": F.when(some, 12 - F.col("hours") / 2), "set": F.when(some, 12 + F.col("hours") / 2)})
 
+
+#: The words of the tables of currents.
+SURFACE, NEAR_BED, DEEPEST, NO_DEPTH = "Surface", "Near seabed (~%s m)", "At %s m (deepest model level)", "about 2/3 of surface"
+#: A model's deepest level counts as the bed's unless the water is deeper by more than this factor.
+BED_FACTOR = 1.25
+
+
+def background_table(places: DataFrame, by: str = "cell_id") -> DataFrame:
+    """(by, place, label, typical, top): background currents at the surface and at the deepest level, which is named as such where the bed lies well below.
+
+    places has surf50, surf90, bot50, bot90 (m/s), bot_depth and depth (m).
+    """
+    metres = format_metres(half_up(F.col("bot_depth")))
+    deep = F.coalesce(F.col("depth") > F.col("bot_depth") * BED_FACTOR, F.lit(False))
+    rows = F.array(
+        F.when(F.col("surf50").isNotNull(), F.struct(F.lit(0).alias("place"), F.lit(SURFACE).alias("label"), F.col("surf50").alias("typical"), F.col("surf90").alias("top"))),
+        F.when(F.col("bot50").isNotNull() & (F.col("bot_depth") >= 1), F.struct(F.lit(1).alias("place"), F.when(deep, F.format_string(DEEPEST, metres)).otherwise(F.format_string(NEAR_BED, metres)).alias("label"), F.col("bot50").alias("typical"), F.col("bot90").alias("top"))),
+    )
+    return places.select(by, F.explode(F.array_compact(rows)).alias("row")).select(by, "row.*")
+
+
+def tide_table(places: DataFrame, by: str = "cell_id") -> DataFrame:
+    """(by, place, label, springs, neaps, note): peak streams at the surface and near the bed; without a depth the bed has a note only.
+
+    places has spring, neap (m/s, means over depth) and depth (m).
+    """
+    factor = F.when(F.col("depth") > 2, SURFACE_FACTOR * F.pow(F.lit(1.0) / F.col("depth"), F.lit(TIDE_POWER)))
+    none = F.lit(None).cast("double")
+    shallow = F.struct(F.lit(1).alias("place"), F.lit("Near seabed").alias("label"), none.alias("springs"), none.alias("neaps"), F.lit(NO_DEPTH).alias("note"))
+    bed = F.struct(F.lit(1).alias("place"), F.format_string(NEAR_BED, format_metres(half_up(F.col("depth")))).alias("label"), (F.col("spring") * factor).alias("springs"), (F.col("neap") * factor).alias("neaps"), F.lit(None).cast("string").alias("note"))
+    surface = F.struct(F.lit(0).alias("place"), F.lit(SURFACE).alias("label"), (F.col("spring") * SURFACE_FACTOR).alias("springs"), (F.col("neap") * SURFACE_FACTOR).alias("neaps"), F.lit(None).cast("string").alias("note"))
+    rows = places.filter("spring IS NOT NULL").select(by, F.explode(F.array(surface, F.when(factor.isNotNull(), bed).otherwise(shallow))).alias("row"))
+    return rows.select(by, "row.*")
+
+
+def format_metres(metres: Column) -> Column:
+    """Whole metres with commas at thousands."""
+    return F.format_number(metres, 0)

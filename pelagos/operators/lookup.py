@@ -62,7 +62,6 @@ def nearest_of_layers(places: DataFrame, layers: list[Layer], place_id: str, siz
     return places.select(place_id).join(found, place_id, "left").select(place_id, *named)
 
 
-def fetched(found: DataFrame, layer: str, wide: DataFrame, decode: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """found with what `decode` makes of the wide rows (id, ..) that are some place's nearest; decode gives one row an id."""
-    won = found.select(F.col(f"{layer}_id").alias("id")).filter("id IS NOT NULL").distinct()
-    return found.join(decode(wide.join(won, "id", "left_semi")).withColumnRenamed("id", f"{layer}_id"), f"{layer}_id", "left")
+def fetched(found: DataFrame, layer: str, wide: DataFrame) -> DataFrame:
+    """found with the columns of the wide rows (id, ..) that won: decode after this join, so that only they are decoded."""
+    return found.join(wide.withColumnRenamed("id", f"{layer}_id"), f"{layer}_id", "left")

@@ -198,3 +198,60 @@ def pooled_quantile(quantiles: DataFrame, months: list[int], prob: float, top_fa
     hit = reached.filter(F.col("left") + F.col("jump") >= goal * (1 - 1e-12)).groupBy("cell_id").agg(F.min(F.struct("x", "left", "steep", "total")).alias("b"))
     over = F.col("b.left") - F.col("b.total") * prob
     return hit.select("cell_id", F.when((over > 0) & (F.col("b.steep") > 0), F.col("b.x") - over / F.col("b.steep")).otherwise(F.col("b.x")).alias("q")).withColumn("q", F.least("q", F.lit(high)))
+
+
+def climatology(obs: DataFrame, thresholds: tuple = THRESHOLDS, swells: tuple = ()) -> DataFrame:
+    """(cell_id, months): all a panel needs of a cell's months, in one pass over the samples.
+
+    months is an array of at most twelve (m, n, over[], hs, tp, sectors[], bins[], swells[]): counts over each threshold,
+    means, counts of the twelve sectors, runs in seven bins made up from counts of samples, and counts of swell over heights.
+    """
+    array = lambda parts: F.array(*parts)
+    counts = obs.groupBy("cell_id", "m").agg(
+        F.count("*").alias("n"), F.avg("hs").alias("hs"), F.avg("tp_bin").alias("tp"),
+        *(F.count_if(F.col("hs") > t).alias(f"t{k}") for k, t in enumerate(thresholds)), *(F.count_if(F.col("sector") == k).alias(f"s{k}") for k in range(12)), *((F.count_if((F.col("tp_bin") % 7 == k) & (F.col("hs") < 4)) / F.lit(2.0 + k)).alias(f"b{k}") for k in range(7)),
+        *(F.count_if(F.col("swell") > t).alias(f"w{k}") for k, t in enumerate(swells)),
+    )
+    month = F.struct("m", "n", "hs", "tp", array(f"t{k}" for k in range(len(thresholds))).alias("over"), array(f"s{k}" for k in range(12)).alias("sectors"), array(f"b{k}" for k in range(7)).alias("bins"), array(f"w{k}" for k in range(len(swells))).alias("swells"))
+    return counts.groupBy("cell_id").agg(F.sort_array(F.collect_list(month)).alias("months"))
+
+
+def _total(months: Column, value) -> Column:
+    """Sum over months of what is not null; null without any."""
+    some = F.filter(F.transform(months, value), lambda x: x.isNotNull())
+    return F.when(F.size(some) > 0, F.aggregate(some, F.lit(0.0), lambda a, x: a + x))
+
+
+def headline(months: Column, chosen: list[int], height: float, thresholds: tuple = THRESHOLDS) -> dict[str, Column]:
+    """Panels of a cell's months (as climatology gives them): share of time over a height, its floor flag, mean height, sector with its share, period, samples."""
+    some = F.filter(months, lambda x: x["m"].isin(chosen) & (x["n"] > 0))
+    n = _total(some, lambda x: x["n"].cast("double"))
+    points = F.transform(F.arrays_zip(F.array(*(F.lit(float(t)) for t in thresholds)).alias("t"), F.sequence(F.lit(0), F.lit(len(thresholds) - 1)).alias("k")), lambda z: F.struct(z["t"].alias("t"), (F.lit(100.0) * _total(some, lambda x: F.get(x["over"], z["k"]).cast("double")) / n).alias("p")))
+    at = _at(points, height, True)
+    days = lambda x: month_days(x["m"])
+    of_days = lambda value: _total(some, lambda x: days(x) * value(x)) / _total(some, days)
+    # each month votes for its most frequent sector, the first of equals, with its days
+    votes = F.transform(some, lambda x: F.struct((F.array_position(x["sectors"], F.array_max(x["sectors"])) - 1).cast("int").alias("sector"), days(x).alias("days"), (F.lit(100.0) * F.array_max(x["sectors"]) / x["n"]).alias("pct")))
+    sums = F.transform(F.sequence(F.lit(0), F.lit(11)), lambda k: F.struct(_total(F.filter(votes, lambda v: v["sector"] == k), lambda v: v["days"]).alias("days"), (-k).alias("first")))
+    sector = -F.array_max(F.filter(sums, lambda s: s["days"].isNotNull()))["first"]
+    own = F.filter(votes, lambda v: v["sector"] == sector)
+    share = _total(own, lambda v: v["days"] * v["pct"]) / _total(own, lambda v: v["days"])
+    return {"over_limit": at["p"], "floor": at["floor"], "mean": of_days(lambda x: x["hs"]), "sector": sector, "share": share, "tp": of_days(lambda x: x["tp"]), "samples": n.cast("long")}
+
+
+def monthly_periods(months: Column, height: float, edge: int, periods, thresholds: tuple = THRESHOLDS) -> Column:
+    """array of (m, v): what `periods` (bins, p, m, edge) makes of each month's bins and share of time over a height."""
+
+    def one(x: Column) -> Column:
+        points = F.array(*(F.struct(F.lit(float(t)).alias("t"), (F.lit(100.0) * F.get(x["over"], F.lit(k)) / x["n"]).alias("p")) for k, t in enumerate(thresholds)))
+        return F.struct(x["m"].alias("m"), periods([F.get(x["bins"], F.lit(k)) for k in range(7)], _at(points, height, True)["p"], x["m"], edge).alias("v"))
+
+    return F.transform(months, one)
+
+
+def swell_over(months: Column, chosen: list[int], height: float, swells: tuple) -> Column:
+    """Share of time that swell of any period is over a height, by the counts that climatology gives; null beyond the last."""
+    some = F.filter(months, lambda x: x["m"].isin(chosen) & (x["n"] > 0))
+    days = lambda x: month_days(x["m"])
+    points = F.array(*(F.struct(F.lit(float(t)).alias("t"), (_total(some, lambda x: days(x) * F.lit(100.0) * F.get(x["swells"], F.lit(k)) / x["n"]) / _total(some, days)).alias("p")) for k, t in enumerate(swells)))  # noqa: B023
+    return _at(points, height, False)["p"]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pelagos.plans import panels, places, registry, rollups, texts, wire  # noqa: F401  (registers its queries)
+from pelagos.plans import layers, panels, places, points, registry, rollups, texts, wire  # noqa: F401  (registers its queries)
 
 
 def queries() -> dict:

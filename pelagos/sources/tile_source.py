@@ -1,6 +1,6 @@
 """A data source of tiles: one JSON file a tile, one partition a tile, only those that are asked for.
 
-    spark.dataSource.register(TileSource)
+    register(spark)
     spark.read.format("marine_tiles").option("tiles", manifest_json).option("box", "south,north,west,east").load(folder)
 
 `tiles` is the manifest's list of tiles (a JSON array, or all files of the folder where it is not given), `box` a rectangle
@@ -17,6 +17,7 @@ import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, Filter, In, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
@@ -31,6 +32,12 @@ def _folder(path: str):
     return fs.FileSystem.from_uri(path)
 
 
+def register(spark: SparkSession) -> None:
+    """Makes the source known to a session, and lets filters reach it."""
+    spark.dataSource.register(TileSource)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+
+
 @dataclass
 class TilePartition(InputPartition):
     tile: str
