@@ -25,8 +25,8 @@ def axis(top: Column, caps: tuple, factor: float) -> Column:
 
 
 def windows_axis(top: Column, most: Column) -> Column:
-    """The end of the weather windows' axis: for the largest possible number if it is known, else a little over the top."""
-    target = F.when(most.isNotNull(), F.greatest(most, top)).otherwise(top * 1.06)
+    """The end of the weather windows' axis: for the largest possible number if it is known (and not 0), else a little over the top."""
+    target = F.when(most > 0, F.greatest(most, top)).otherwise(top * 1.06)
     caps = F.filter(F.array(*(F.lit(float(c)) for c in WINDOW_CAPS)), lambda c: c >= target)
     return F.coalesce(F.get(caps, F.lit(0)), F.ceil(1.1 * target).cast("double"))
 
@@ -180,3 +180,61 @@ def contours_of_boxes(boxes: DataFrame, there: DataFrame, segments: DataFrame, b
     """(by, level, segments..): the contours (tile, level, ..) in the tiles of each box, of those tiles that there are."""
     tiles = tiles_of_box(boxes, step, by).select(by, "tile").distinct().join(there.select("tile"), "tile", "left_semi")
     return few_tiles(tiles, by, most).join(segments, "tile")
+
+
+#: How deep the water may be for each set of contour levels; the last set serves all that is deeper.
+LADDERS = ((60, (10, 20, 30, 40, 50)), (150, (20, 50, 75, 100, 125, 150)), (400, (50, 100, 150, 200, 300, 400)), (1200, (100, 200, 400, 600, 800, 1000)), (3000, (200, 500, 1000, 1500, 2000, 2500, 3000)), (99999, (500, 1000, 2000, 3000, 4000, 5000, 6000)))
+#: Fixed value: the depth that counts where none is known.
+ANY_DEPTH = 3000.0
+
+
+def ladder(depth: Column) -> Column:
+    """The contour levels for a depth: those of the first ladder that reaches it."""
+    levels = lambda of: F.array(*(F.lit(float(x)) for x in of))
+    d = F.coalesce(depth, F.lit(ANY_DEPTH))
+    out = levels(LADDERS[-1][1])
+    for bound, of in reversed(LADDERS[:-1]):
+        out = F.when(d <= bound, levels(of)).otherwise(out)
+    return out
+
+
+def contours_of_views(views: DataFrame, there: DataFrame, segments: DataFrame, by: str, step: int, most: int = 12) -> tuple[DataFrame, DataFrame]:
+    """(by, key) of views (lat0, lat1, lon0, lon1, depth), and (key, level, segments..) of each distinct key.
+
+    A key is a view's box widened to quarters of a degree with its ladder of levels: views that share it share its contours,
+    which are found once.
+    """
+    boxed = views.select(by, *view_key(F.col("lat0"), F.col("lat1"), F.col("lon0"), F.col("lon1")), ladder(F.col("depth")).alias("levels"))
+    keyed = boxed.withColumn("key", F.concat_ws(",", "s", "n", "w", "e", F.get("levels", F.lit(0)), F.get("levels", F.lit(1))))
+    keys = keyed.groupBy("key").agg(*(F.first(c).alias(c) for c in ("s", "n", "w", "e", "levels")))
+    boxes = keys.select("key", F.col("s").alias("lat0"), F.col("n").alias("lat1"), F.col("w").alias("lon0"), F.col("e").alias("lon1"))
+    tiles = few_tiles(tiles_of_box(boxes, step, "key").select("key", "tile").distinct().join(there.select("tile"), "tile", "left_semi"), "key", most)
+    wanted = tiles.join(keys.select("key", F.explode("levels").alias("level")), "key")
+    return keyed.select(by, "key"), wanted.join(segments, ["tile", "level"])
+
+
+def report_axis(top: Column, percent: Column, most: Column) -> Column:
+    """Where the report's bar axis ends: over shares, over counts, or up to a month's largest possible number where it is given."""
+    end = lambda caps, target: F.coalesce(F.get(F.filter(F.array(*(F.lit(float(c)) for c in caps)), lambda c: c >= target), F.lit(0)), F.lit(float(caps[-1])))
+    return F.when(most > 0, end(WINDOW_CAPS, F.greatest(most, top))).when(percent, end(SHARE_CAPS, top * 1.06)).otherwise(end(COUNT_CAPS, top * 1.06))
+
+
+#: Ends of the report's axes.
+SHARE_CAPS = (4, 8, 12, 20, 40, 60, 80, 100)
+COUNT_CAPS = (1, 2, 4, 8, 12, 16, 20, 40, 60, 80, 100)
+
+
+def line_tip(name: Column, operator: Column, status: Column, country: Column) -> list[Column]:
+    """head, detail and note of a line's label; its words are fixed values."""
+    some = lambda c: F.when(c != "", c)
+    named = F.coalesce((name != "") & (F.lower(name) != "pipeline"), F.lit(False))
+    bits = F.concat_ws(" · ", F.when(named, some(operator)), some(status), some(country))
+    detail = F.when(bits == "", "Pipeline").otherwise(F.concat(F.lit("Pipeline, "), bits))
+    bare = ~named & some(operator).isNull() & some(status).isNull()
+    return [F.when(named, name).otherwise(F.coalesce(some(operator), F.lit("Pipeline"))).alias("head"), detail.alias("detail"), F.when(bare, "No further detail in the register").otherwise("").alias("note")]
+
+
+def day_cycle(slots: DataFrame, by: str) -> DataFrame:
+    """(by, hour, hs): the chart of a day's eight slots, closed at hour 24 by the first slot's value; those without a value at all go."""
+    hours = slots.filter("hs IS NOT NULL").select(by, F.explode(F.when(F.col("slot") == 0, F.array(F.lit(0), F.lit(24))).otherwise(F.array(F.col("slot") * 3))).alias("hour"), "hs")
+    return hours.select(by, F.col("hour").cast("int").alias("hour"), "hs")

@@ -9,15 +9,30 @@ from pelagos.functions.constants import BIN_MEAN_H, OPEN_END_H, WINDOW_EDGES
 from pelagos.functions.numeric import half_up, month_days
 
 
-def calm_runs(seq: DataFrame, limit: float, hours: float = 3.0, by: str = "site") -> DataFrame:
-    """(by, run, start, samples, hours): stretches of consecutive samples below a limit.
+def calm_runs(seq: DataFrame, limit: float, hours: float = 3.0, by: str = "site", block_days: int = 365) -> DataFrame:
+    """(by, start, samples, hours): stretches of consecutive samples below a limit.
 
-    A sample's number among all, less its number among those as calm, stays the same within a run.
+    A series is cut into blocks of time, so that a site's samples are the work of as many tasks as it has blocks. Within a
+    block a sample's number among all, less its number among those as calm, stays the same within a run. Runs at a block's
+    edge go on in the next block that has samples; of a block only such runs, two at most, meet those of its neighbours.
     """
     order = [F.col("ts"), F.col("event_id")]
-    calm = F.col("hs") < limit
-    marked = seq.withColumn("calm", calm).withColumn("run", F.row_number().over(Window.partitionBy(by).orderBy(*order)) - F.row_number().over(Window.partitionBy(by, "calm").orderBy(*order)))
-    return marked.filter("calm").groupBy(by, "run").agg(F.min("ts").alias("start"), F.count("*").alias("samples")).withColumn("hours", F.col("samples") * F.lit(float(hours)))
+    block = [by, "_block"]
+    dated = seq.withColumns({"_calm": F.coalesce(F.col("hs") < limit, F.lit(False)), "_block": F.floor(F.datediff(F.col("ts"), F.lit("1970-01-01").cast("date")) / block_days).cast("int")})
+    numbered = dated.withColumn("_n", F.row_number().over(Window.partitionBy(*block).orderBy(*order)))
+    marked = numbered.withColumn("_run", F.col("_n") - F.row_number().over(Window.partitionBy(*block, "_calm").orderBy(*order)))
+    parts = marked.groupBy(*block, "_calm", "_run").agg(F.min("ts").alias("start"), F.count("*").alias("samples"), F.min("_n").alias("_first"), F.max("_n").alias("_last"))
+    # of the runs of rough weather those count that a block begins or ends with: they part what is calm on either side
+    whole = Window.partitionBy(*block)
+    ends = parts.withColumns({"_head": F.col("_first") == 1, "_tail": F.col("_last") == F.max("_last").over(whole)})
+    inner = ends.filter("_calm AND NOT _head AND NOT _tail").select(by, "start", "samples")
+    edges = ends.filter("_head OR _tail")
+    along = Window.partitionBy(by).orderBy("_block", "_first")
+    # an edge run goes on where the one before is as calm, ends its block, and this one begins its own
+    joins = F.lag("_calm").over(along) & F.col("_calm") & F.lag("_tail").over(along) & F.col("_head")
+    chained = edges.withColumn("_chain", F.sum(F.when(F.coalesce(joins, F.lit(False)), 0).otherwise(1)).over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    merged = chained.filter("_calm").groupBy(by, "_chain").agg(F.min("start").alias("start"), F.sum("samples").alias("samples")).drop("_chain")
+    return inner.unionByName(merged).withColumn("hours", F.col("samples") * F.lit(float(hours)))
 
 
 def duration_bin(hours: Column, edges: tuple = WINDOW_EDGES) -> Column:

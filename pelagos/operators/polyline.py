@@ -8,10 +8,19 @@ from pyspark.sql import functions as F
 from pelagos.functions import geo
 
 
-def decode(deltas: DataFrame, by: str = "track_id", scale: float = 100.0) -> DataFrame:
-    """deltas with lat and lon: running sums of (dlat, dlon) over scale, in the order of ts and seq, one line a partition."""
-    w = Window.partitionBy(by).orderBy("ts", "seq").rowsBetween(Window.unboundedPreceding, 0)
-    return deltas.withColumns({"lat": F.sum("dlat").over(w) / scale, "lon": F.sum("dlon").over(w) / scale})
+def decode(deltas: DataFrame, by: str = "track_id", scale: float = 100.0, block_days: int = 3650) -> DataFrame:
+    """deltas with lat and lon: running sums of (dlat, dlon) over scale, in the order of ts and seq.
+
+    A line is cut into blocks of time; a block sums up its own steps, and begins at the sum of the blocks before it.
+    """
+    block = F.floor(F.datediff(F.col("ts"), F.lit("1970-01-01").cast("date")) / block_days).cast("int")
+    cut = deltas.withColumn("_block", block)
+    so_far = Window.partitionBy(by, "_block").orderBy("ts", "seq").rowsBetween(Window.unboundedPreceding, 0)
+    totals = cut.groupBy(by, "_block").agg(F.sum("dlat").alias("_a"), F.sum("dlon").alias("_o"))
+    before = Window.partitionBy(by).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = totals.select(by, "_block", F.coalesce(F.sum("_a").over(before), F.lit(0.0)).alias("_a"), F.coalesce(F.sum("_o").over(before), F.lit(0.0)).alias("_o"))
+    own = cut.withColumns({"lat": F.sum("dlat").over(so_far), "lon": F.sum("dlon").over(so_far)}).join(starts, [by, "_block"])
+    return own.withColumns({"lat": (F.col("_a") + F.col("lat")) / scale, "lon": (F.col("_o") + F.col("lon")) / scale}).drop("_block", "_a", "_o")
 
 
 def pieces(points: DataFrame, by: str = "track_id") -> DataFrame:

@@ -6,10 +6,16 @@ and both sides hash-join on the tile. Ties go to the smaller cell id.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pelagos.functions import geo
+from pelagos.sources.shared import kept
+
+#: Widths of tiles, in degrees, that divide the globe.
+TILE_SIZES = (0.25, 0.5, 1.0, 2.0, 4.0, 6.0, 10.0, 20.0)
 
 
 def lat_tiles(lat: Column, km: float, size: float) -> Column:
@@ -45,6 +51,21 @@ def nearest(points: DataFrame, cells: DataFrame, km: float, size: float = 10.0,
     return best.select(point_id, F.col(f"best.{cell_id}").alias(cell_id), F.col("best.km").alias("km"))
 
 
+def nearest_in_rounds(points: DataFrame, cells: DataFrame, radii: tuple, point_id: str = "pt_id", cell_id: str = "cell_id") -> DataFrame:
+    """As nearest within the last radius, in rounds of growing radius: a point that finds a cell is settled, since none that
+    lies farther than the radius can be nearer. Tiles are as wide as a round's radius, so that a point meets the cells of a
+    few tiles of that size and not all that the last radius holds. A round's result is a table in the shared folder."""
+    rest, done = points.select(point_id, "lat", "lon"), []
+    for k, km in enumerate(radii):
+        size = next(s for s in TILE_SIZES if s * 111.0 >= km or s == TILE_SIZES[-1])
+        found = rest.join(nearest(rest, cells, km, size, point_id, cell_id), point_id, "left")
+        if k + 1 < len(radii):
+            found = kept(found, f"nearest-{k}")
+        done.append(found.filter("km IS NOT NULL").select(point_id, cell_id, "km"))
+        rest = found.filter("km IS NULL").select(point_id, "lat", "lon")
+    return reduce(DataFrame.unionByName, done)
+
+
 def nearest_or_none(points: DataFrame, cells: DataFrame, km: float, **names) -> DataFrame:
     """As nearest, with a row for every point: `none` marks those without a cell in reach."""
     point_id = names.get("point_id", "pt_id")

@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 from pelagos.functions import text as X
 from pelagos.functions.constants import KNOTS_PER_MS
 from pelagos.operators import panels as V
-from pelagos.plans.registry import ASSETS, CELLS, GRID, OBS, POINTS, THR, TRACKS, query
+from pelagos.operators import raster as G
+from pelagos.plans.places import _contour_sql
+from pelagos.plans.registry import ASSETS, CELLS, GRID, OBS, POINTS, SEQ, TRACKS, query
 from pelagos.plans.texts import _fixed, r
 from pelagos.sources import bindings as B
+from pelagos.streaming import sink
 
 _PEAK = f"{OBS}, peak AS (SELECT cell_id, 100.0::DOUBLE * max(n) / sum(n) AS top FROM (SELECT cell_id, tp_bin, count(*) AS n FROM obs GROUP BY ALL) GROUP BY cell_id)"
 
@@ -19,6 +22,10 @@ def _peak(spark, sf_dir):
     return counts.groupBy("cell_id").agg((F.lit(100.0) * F.max("n") / F.sum("n")).alias("top"))
 
 
+def _first_sql(caps: tuple, target: str) -> str:
+    return "CASE " + " ".join(f"WHEN {c}::DOUBLE >= {target} THEN {c}::DOUBLE" for c in caps) + f" ELSE {caps[-1]}::DOUBLE END"
+
+
 def _cap_sql(x: str, caps: tuple, factor: float) -> str:
     return "CASE " + " ".join(f"WHEN {c}::DOUBLE >= {x} * {factor}::DOUBLE THEN {c}::DOUBLE" for c in caps) + f" ELSE {caps[-1]}::DOUBLE END"
 
@@ -55,12 +62,10 @@ def fmt_speed(spark, sf_dir):
     return B.obs(spark, sf_dir).groupBy("cell_id", "m").agg(r(F.avg("wind")).alias("v")).select("cell_id", "m", X.speed(F.col("v")).alias("txt"))
 
 
-@query(f"WITH {THR}, h AS (SELECT t + d AS h FROM thr, (VALUES (0.0::DOUBLE), (0.25), (0.125)) x(d)) SELECT h, CASE WHEN h * 2 = floor(h * 2) THEN {_fixed('h', 1)} ELSE {_fixed('h', 2)} END AS txt FROM h")
+@query(f"WITH h AS (SELECT p_partkey AS id, p_size * 0.125::DOUBLE AS h FROM part) SELECT id, h, CASE WHEN h * 2 = floor(h * 2) THEN {_fixed('h', 1)} ELSE {_fixed('h', 2)} END AS txt FROM h")
 def fmt_height(spark, sf_dir):
-    from pelagos.functions.constants import THRESHOLDS
-
-    heights = spark.createDataFrame([(float(t),) for t in THRESHOLDS], "t double").select("t", F.explode(F.array(F.lit(0.0), F.lit(0.25), F.lit(0.125))).alias("d")).select((F.col("t") + F.col("d")).alias("h"))
-    return heights.select("h", X.height(F.col("h")).alias("txt"))
+    heights = B.read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), (F.col("p_size") * F.lit(0.125)).alias("h"))
+    return heights.select("id", "h", X.height(F.col("h")).alias("txt"))
 
 
 @query(
@@ -168,3 +173,72 @@ def places_at_zoom(spark, sf_dir):
 def campaign_link(spark, sf_dir):
     base = F.when(F.col("asset_id") % 2 == 0, F.concat("o", F.lit("?a=1"))).otherwise(F.col("o"))
     return B.assets(spark, sf_dir).select("asset_id", X.campaign_link(base, F.col("t"), "referral", "site").alias("link"))
+
+
+@query(
+    f"""WITH {_PEAK}, x AS (SELECT cell_id, top, cell_id % 3 = 0 AS pct, CASE WHEN cell_id % 4 = 0 THEN (cell_id % 40)::DOUBLE END AS most FROM peak)
+    SELECT cell_id, CASE WHEN most > 0 THEN {_first_sql(V.WINDOW_CAPS, 'greatest(most, top)')} WHEN pct THEN {_first_sql(V.SHARE_CAPS, 'top * 1.06::DOUBLE')} ELSE {_first_sql(V.COUNT_CAPS, 'top * 1.06::DOUBLE')} END AS axis FROM x"""
+)
+def report_axis(spark, sf_dir):
+    k = F.col("cell_id")
+    return _peak(spark, sf_dir).select("cell_id", V.report_axis(F.col("top"), k % 3 == 0, F.when(k % 4 == 0, (k % 40).cast("double"))).alias("axis"))
+
+
+_LINES = "ln AS (SELECT p_partkey AS line_id, CASE p_partkey % 4 WHEN 0 THEN NULL WHEN 1 THEN 'Pipeline' WHEN 2 THEN '' ELSE p_name END AS n, CASE WHEN p_partkey % 3 <> 0 THEN p_brand END AS o, CASE WHEN p_partkey % 5 <> 0 THEN lower(trim(p_type)) ELSE '' END AS s, CASE WHEN p_partkey % 7 = 0 THEN 'NO' END AS c FROM part)"
+
+
+@query(
+    f"""WITH {_LINES}, x AS (SELECT *, coalesce(n <> '' AND lower(n) <> 'pipeline', false) AS named, concat_ws(' · ', CASE WHEN coalesce(n <> '' AND lower(n) <> 'pipeline', false) THEN nullif(o, '') END, nullif(s, ''), nullif(c, '')) AS bits FROM ln)
+    SELECT line_id, CASE WHEN named THEN n ELSE coalesce(nullif(o, ''), 'Pipeline') END AS head, CASE WHEN bits = '' THEN 'Pipeline' ELSE 'Pipeline, ' || bits END AS detail, CASE WHEN NOT named AND nullif(o, '') IS NULL AND nullif(s, '') IS NULL THEN 'No further detail in the register' ELSE '' END AS note FROM x"""
+)
+def line_tip(spark, sf_dir):
+    k = F.col("p_partkey")
+    rows = B.read(spark, sf_dir, "part").select(
+        k.alias("line_id"), F.when(k % 4 == 0, None).when(k % 4 == 1, "Pipeline").when(k % 4 == 2, "").otherwise(F.col("p_name")).alias("n"), F.when(k % 3 != 0, F.col("p_brand")).alias("o"), F.when(k % 5 != 0, F.lower(F.trim("p_type"))).otherwise("").alias("s"), F.when(k % 7 == 0, "NO").alias("c")
+    )
+    return rows.select("line_id", *V.line_tip(F.col("n"), F.col("o"), F.col("s"), F.col("c")))
+
+
+@query(f"WITH {SEQ}, s AS (SELECT site, slot, avg(hs) AS hs FROM seq GROUP BY site, slot) SELECT site, h::INT AS hour, round(hs, 6) AS hs FROM s, LATERAL (SELECT unnest(CASE WHEN slot = 0 THEN [0, 24] ELSE [slot * 3] END) AS h) WHERE hs IS NOT NULL")
+def day_cycle(spark, sf_dir):
+    return V.day_cycle(B.seq(spark, sf_dir).groupBy("site", "slot").agg(F.avg("hs").alias("hs")), "site").withColumn("hs", F.round("hs", 6))
+
+
+# ---- contours of many views: those that share a key share its contours
+
+_VIEWS = "vw AS (SELECT c_custkey AS view_id, 8 + c_custkey % 20 * 0.6::DOUBLE AS lat0, 9 + c_custkey % 20 * 0.6::DOUBLE + c_custkey % 3 AS lat1, -6 + c_custkey % 14 * 0.7::DOUBLE AS lon0, -4 + c_custkey % 14 * 0.7::DOUBLE + c_custkey % 4 AS lon1, CASE WHEN c_custkey % 5 <> 0 THEN (c_custkey % 10 * 150)::DOUBLE END AS depth FROM customer)"
+_LADDER_SQL = "CASE " + " ".join(f"WHEN coalesce(depth, 3000) <= {b} THEN [{', '.join(f'{x}::DOUBLE' for x in of)}]" for b, of in V.LADDERS) + " END"
+_ALL_LEVELS = sorted({float(x) for _, of in V.LADDERS for x in of})
+
+
+@query(
+    f"""WITH {_contour_sql(', '.join(f'({x}::DOUBLE)' for x in _ALL_LEVELS))}, {_VIEWS}, sg AS (SELECT level, (floor((10 + r * 0.25) / 5) * 5)::INT AS la, (floor((-5 + c * 0.25) / 5) * 5)::INT AS lo FROM y),
+    k AS (SELECT view_id, floor(lat0 * 4) / 4 AS s, ceil(lat1 * 4) / 4 AS n, floor(lon0 * 4) / 4 AS w, ceil(lon1 * 4) / 4 AS e, {_LADDER_SQL} AS levels FROM vw),
+    tl AS (SELECT view_id, levels, a * 5 AS la, o * 5 AS lo FROM k, range(-1, 12) u(a), range(-6, 12) v(o) WHERE a * 5 BETWEEN floor(s / 5) * 5 AND n AND o * 5 BETWEEN floor(w / 5) * 5 AND e AND (a + o) % 4 <> 1)
+    SELECT view_id, level, count(*)::BIGINT AS segments FROM tl JOIN sg USING (la, lo) WHERE list_contains(levels, level) GROUP BY view_id, level"""
+)
+def view_contours(spark, sf_dir):
+    k = F.col("c_custkey")
+    views = B.read(spark, sf_dir, "customer").select(
+        k.alias("view_id"), (8 + k % 20 * F.lit(0.6)).alias("lat0"), (9 + k % 20 * F.lit(0.6) + k % 3).alias("lat1"), (-6 + k % 14 * F.lit(0.7)).alias("lon0"), (-4 + k % 14 * F.lit(0.7) + k % 4).alias("lon1"), F.when(k % 5 != 0, (k % 10 * 150).cast("double")).alias("depth")
+    )
+    every = spark.range(13 * 18).select((F.floor(F.col("id") / 18).cast("int") - 1).alias("a"), ((F.col("id") % 18).cast("int") - 6).alias("o")).filter("(a + o) % 4 <> 1")
+    there = every.select(F.concat_ws("_", F.lit("d"), (F.col("a") * 5).cast("string"), (F.col("o") * 5).cast("string")).alias("tile"))
+    origin = lambda x: (F.floor(x / 5) * 5).cast("int").cast("string")
+    segments = G.contour_segments(B.grid(spark, sf_dir), _ALL_LEVELS, 10.0, -5.0, 0.25).select("level", F.concat_ws("_", F.lit("d"), origin(10 + F.col("r") * 0.25), origin(-5 + F.col("c") * 0.25)).alias("tile"))
+    keyed, found = V.contours_of_views(views, there, segments, "view_id", 5, 40)
+    return keyed.join(found.groupBy("key", "level").agg(F.count("*").alias("segments")), "key").select("view_id", "level", "segments")
+
+
+# ---- events as lines
+
+
+@query(
+    """WITH x AS (SELECT event_id, event_type, value, CASE WHEN event_id % 3 = 0 THEN 'loc:bass strait' ELSE 'home' END AS p, CASE WHEN event_id % 4 = 0 THEN 'direct' ELSE 'search & more' END AS s FROM events)
+    SELECT event_id, 'e=' || url_encode(event_type) || '&p=' || url_encode(p) || '&s=' || url_encode(s) || CASE WHEN event_id % 5 = 0 THEN '&t=1' ELSE '' END || CASE WHEN event_id % 2 = 0 THEN '&h=' || url_encode(event_type || '=' || (event_id % 7)) ELSE '' END AS line FROM x"""
+)
+def event_lines(spark, sf_dir):
+    k = F.col("event_id")
+    page, source = F.when(k % 3 == 0, "loc:bass strait").otherwise("home"), F.when(k % 4 == 0, "direct").otherwise("search & more")
+    extra = {"h": F.when(k % 2 == 0, F.concat(F.col("event_type"), F.lit("="), (k % 7).cast("string"))), "none": F.lit(None).cast("string")}
+    return B.read(spark, sf_dir, "events").select("event_id", sink.event_line(F.col("event_type"), page, source, k % 5 == 0, extra).alias("line"))

@@ -27,7 +27,7 @@ _NEAR = f"{POINTS}, {CELLS}, near AS (SELECT pt_id, cell_id, round({_hav('p.lat'
 
 @query(f"WITH {_NEAR} SELECT pt_id, arg_min(cell_id, (km, cell_id)) AS cell_id, min(km) AS km FROM near WHERE km <= 2500 GROUP BY pt_id")
 def nearest_cell(spark, sf_dir):
-    return S.nearest(B.points(spark, sf_dir), B.cells(spark, sf_dir), 2500.0)
+    return S.nearest_in_rounds(B.points(spark, sf_dir), B.cells(spark, sf_dir), (600.0, 2500.0))
 
 
 @query(f"WITH {_NEAR}, b AS (SELECT pt_id, arg_min(cell_id, (km, cell_id)) AS cell_id, min(km) AS km FROM near WHERE km <= 350 GROUP BY pt_id) SELECT pt_id, cell_id, km, km IS NULL AS none FROM points LEFT JOIN b USING (pt_id)")

@@ -242,13 +242,25 @@ def asset_counts(spark, sf_dir):
     return counts.withColumn("txt", F.concat(F.col("active").cast("string"), F.lit(" of "), F.col("total").cast("string")))
 
 
-_CHOICES = [[0, 1, 10, 11], [2], [5, 6], list(range(12)), [], [0, 2, 3, 4, 8], [11, 0], [3, 4, 9]]
-_RUNS = ["Nov to Feb", "Mar", "Jun and Jul", "Jan to Dec", "", "Jan, Mar to May, Sep", "Dec and Jan", "Apr and May, Oct"]
+_SETS = """sets AS (SELECT c_custkey AS id, list_filter(range(12), lambda m: ((c_custkey * 2654435761 // 64) >> m) % 2 = 1 OR c_custkey % 50 = 7) AS ms FROM customer),
+    st AS (SELECT id, ms, list_filter(ms, lambda m: NOT list_contains(ms, (m + 11) % 12)) AS starts FROM sets),
+    rn AS (SELECT id, ms, list_transform(starts, lambda s: {s: s, n: list_filter(range(1, 13), lambda k: NOT list_contains(ms, (s + k) % 12))[1]}) AS runs FROM st)"""
+_MONTH = "(['" + "', '".join(MONTH_NAMES) + "'])"
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"({k}, '{t}', '{'across the whole year' if len(c) == 12 else '(no months selected)' if not c else 'in ' + t}', '{'All year' if len(c) == 12 else ', '.join(MONTH_NAMES[m] for m in sorted(c))}')" for k, (c, t) in enumerate(zip(_CHOICES, _RUNS))) + ") v(id, runs, label, listed)")
+def _month_sets(spark, sf_dir):
+    """Sets of months that the customers' numbers give; one in fifty has all of them."""
+    bits = F.floor(F.col("c_custkey") * 2654435761 / 64).cast("long")
+    chosen = lambda m: F.when((F.shiftright(bits, m) % 2 == 1) | (F.col("c_custkey") % 50 == 7), F.lit(m))
+    return B.read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.array_compact(F.array(*(chosen(m) for m in range(12)))).alias("months"))
+
+
+@query(
+    f"""WITH {_SETS}, t AS (SELECT id, ms, CASE WHEN len(ms) = 12 THEN 'Jan to Dec' ELSE array_to_string(list_transform(runs, lambda r: CASE WHEN r.n = 1 THEN {_MONTH}[r.s + 1] WHEN r.n = 2 THEN {_MONTH}[r.s + 1] || ' and ' || {_MONTH}[(r.s + 1) % 12 + 1] ELSE {_MONTH}[r.s + 1] || ' to ' || {_MONTH}[(r.s + r.n - 1) % 12 + 1] END), ', ') END AS runs FROM rn)
+    SELECT id, runs, CASE len(ms) WHEN 12 THEN 'across the whole year' WHEN 0 THEN '(no months selected)' ELSE 'in ' || runs END AS label, CASE len(ms) WHEN 12 THEN 'All year' ELSE array_to_string(list_transform(ms, lambda m: {_MONTH}[m + 1]), ', ') END AS listed FROM t"""
+)
 def month_runs(spark, sf_dir):
-    rows = spark.createDataFrame([(k, sorted(c)) for k, c in enumerate(_CHOICES)], "id int, months array<int>")
+    rows = _month_sets(spark, sf_dir)
     return rows.select("id", X.month_runs(F.col("months")).alias("runs"), X.months_label(F.col("months")).alias("label"), X.month_list(F.col("months")).alias("listed"))
 
 
@@ -260,24 +272,29 @@ def missing_months(spark, sf_dir):
     return used.filter(F.size(gone) > 0).select("cell_id", F.array_join(F.transform(gone, lambda m: m.cast("string")), ",").alias("missing"))
 
 
-_LIMITS = (0.5, 2.0, 2.5, 7.0, 8.25, 10.0)
-
-
 @query(
-    f"""WITH {THR}, l(lim) AS (VALUES {', '.join(f'({x}::DOUBLE)' for x in _LIMITS)}), c AS (SELECT lim, t, sum(CASE WHEN t >= greatest(6, lim) - 0.001 THEN 1 ELSE 0 END) OVER (PARTITION BY lim ORDER BY t) AS over FROM l, thr),
+    f"""WITH {THR}, l AS (SELECT DISTINCT (c_custkey % 44)::DOUBLE / 4 + 0.25 AS lim FROM customer), c AS (SELECT lim, t, sum(CASE WHEN t >= greatest(6, lim) - 0.001 THEN 1 ELSE 0 END) OVER (PARTITION BY lim ORDER BY t) AS over FROM l, thr),
     k AS (SELECT lim, t, abs(t - lim) < 0.001 AS own, lag(abs(t - lim) < 0.001) OVER w AS a, lead(abs(t - lim) < 0.001) OVER w AS b FROM c WHERE over <= 1 WINDOW w AS (PARTITION BY lim ORDER BY t))
     SELECT lim AS "limit", t FROM k WHERE abs(t * 2 - round(t * 2)) < 1e-9 OR own OR coalesce(a, false) OR coalesce(b, false)"""
 )
 def display_thresholds(spark, sf_dir):
+    """Rows of the table of heights for every limit that some customer has."""
     from pelagos.functions.constants import THRESHOLDS
 
-    return D.shown(spark.createDataFrame([(h, t) for h in _LIMITS for t in THRESHOLDS], "limit double, t double"))
+    limits = B.read(spark, sf_dir, "customer").select(((F.col("c_custkey") % 44).cast("double") / 4 + 0.25).alias("limit")).distinct()
+    return D.shown(limits.select("limit", F.explode(F.array(*map(F.lit, THRESHOLDS))).alias("t")))
+
+
+_TYPED = "CASE c_custkey % 8 WHEN 0 THEN '' WHEN 1 THEN 'abc' || c_custkey WHEN 2 THEN '-' || c_custkey WHEN 3 THEN (c_custkey % 400)::VARCHAR || '.' || (c_custkey % 100)::VARCHAR ELSE (c_custkey % 20)::VARCHAR || '.' || (c_custkey % 1000)::VARCHAR END"
 
 
-@query("SELECT * FROM (VALUES ('2', 2.0::DOUBLE), ('2.1', 2.0), ('2.13', 2.25), ('0.01', 0.25), ('99', 15.0), ('-1', 2.0), ('abc', 2.0), ('', 2.0)) v(txt, h)")
+@query(f"WITH t AS (SELECT c_custkey AS id, {_TYPED} AS txt FROM customer), x AS (SELECT id, txt, TRY_CAST(txt AS DOUBLE) AS h FROM t) SELECT id, txt, CASE WHEN h IS NULL OR h <= 0 THEN 2.0::DOUBLE ELSE least(15.0, greatest(0.25, floor(h * 4 + 0.5) / 4)) END AS h FROM x")
 def clean_limit(spark, sf_dir):
-    rows = spark.createDataFrame([(t,) for t in ("2", "2.1", "2.13", "0.01", "99", "-1", "abc", "")], "txt string")
-    return rows.select("txt", D.clean_limit(F.col("txt")).alias("h"))
+    k = F.col("c_custkey")
+    text = lambda c: c.cast("string")
+    typed = F.when(k % 8 == 0, "").when(k % 8 == 1, F.concat(F.lit("abc"), text(k))).when(k % 8 == 2, F.concat(F.lit("-"), text(k))).when(k % 8 == 3, F.concat_ws(".", text(k % 400), text(k % 100))).otherwise(F.concat_ws(".", text(k % 20), text(k % 1000)))
+    rows = B.read(spark, sf_dir, "customer").select(k.alias("id"), typed.alias("txt"))
+    return rows.select("id", "txt", D.clean_limit(F.col("txt")).alias("h"))
 
 
 _CUR = f"{OBS}, {DAYS}, mm AS (SELECT cell_id, m, quantile_cont(wind, 0.5) / 20 AS s5, quantile_cont(wind, 0.9) / 20 AS s9, CASE WHEN m % 4 <> 1 THEN avg(hs) / 20 END AS b5 FROM obs GROUP BY cell_id, m)"

@@ -35,8 +35,8 @@ def read_manifest(spark, sf_dir):
 
 @query(f"WITH {ASSETS} SELECT t, count(*)::BIGINT AS n, round(sum(d), 6) AS d, round(min(lat), 6) AS south FROM assets GROUP BY t")
 def read_assets(spark, sf_dir):
-    """One file of assets for each operator."""
-    rows = B.assets(spark, sf_dir).groupBy("o").agg(F.to_json(F.struct(F.lit(1).alias("format"), F.collect_list(F.struct("n", "t", F.col("lat").alias("la"), F.col("lon").alias("lo"), "d", "s", "o")).alias("assets"))).alias("txt"))
+    """Files of up to 64 assets."""
+    rows = B.assets(spark, sf_dir).groupBy(F.floor(F.col("asset_id") / 64)).agg(F.to_json(F.struct(F.lit(1).alias("format"), F.collect_list(F.struct("n", "t", F.col("lat").alias("la"), F.col("lon").alias("lo"), "d", "s", "o")).alias("assets"))).alias("txt"))
     return C.asset_points(rows, "txt").groupBy("t").agg(F.count("*").alias("n"), r(F.sum("d")).alias("d"), r(F.min("lat")).alias("south"))
 
 
