@@ -59,6 +59,13 @@ def free(columns: list[str], name: str) -> str:
     return name
 
 
+def free_of(df: DataFrame, *names: str) -> None:
+    """Raises where df has a column of one of these names, in any case of letters: Spark would not tell them apart."""
+    there = {c.lower() for c in df.columns}
+    if clash := [n for n in names if n.lower() in there]:
+        raise ValueError(f"the table already has a column {clash[0]}")
+
+
 def text_of(col: str = "text"):
     """The whole text; null counts as empty."""
     return F.coalesce(F.col(col).cast("string"), F.lit(""))
