@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pelagos.llm.tables import free, text_of, written
+from pelagos.llm.tables import free, free_of, text_of, written
 
 BLANKS = " \t\n\x0b\x0c\r"
 #: Rows of a run that are held to be decided at once; rows of documents for each range.
@@ -153,8 +153,7 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, doc_id
 
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with only the kept lines in the text, joined by \\n, and columns n_lines and n_dropped (before: of the same names: error)."""
-    if {"n_lines", "n_dropped"} & set(docs.columns):
-        raise ValueError("the table already has a column n_lines or n_dropped")
+    free_of(docs, "n_lines", "n_dropped")
     names, where = docs.columns, docs.columns.index(text)
     id_, row, keep_ = (free(names, x) for x in ("map_id", "map_row", "map_keep"))
     maps = bitmaps.select(F.col("doc_id").alias(id_), F.col("row_hash").alias(row), F.col("keep").alias(keep_))

@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from pelagos.llm.tables import free_of
+
 #: Magic bytes of each format, and where in a file they stand.
 MAGIC = [
     ("image/png", b"\x89PNG\r\n\x1a\n", 0),
@@ -57,17 +59,83 @@ def wav_samples(data: bytes) -> bytes:
     raise ValueError("no data chunk")
 
 
-def _png(d: bytes, at: int) -> int:
-    k = at + 8
-    while k + 12 <= len(d):
-        size, name = struct.unpack_from(">I4s", d, k)
-        end = k + 12 + size
-        if end > len(d) or (k == at + 8) != (name == b"IHDR") or zlib.crc32(d[k + 4 : end - 4]) != struct.unpack_from(">I", d, end - 4)[0]:
+def _times(a: int, b: int) -> int:
+    """Product of two polynomials over two elements, modulo that of the CRC; bits stand in reverse order."""
+    out, bit = 0, 1 << 31
+    while bit:
+        if a & bit:
+            out ^= b
+        bit >>= 1
+        b = (b >> 1) ^ 0xEDB88320 if b & 1 else b >> 1
+    return out
+
+
+class _Crcs:
+    """CRCs of ranges, from those of all prefixes up to each MARK bytes: a long range costs no more than a short one."""
+
+    MARK = 4096
+
+    def __init__(self, d: bytes):
+        self.d, self.marks, self.powers = d, [0], [1 << 23]  # x ** 8: one byte
+
+    def _prefix(self, end: int) -> int:
+        k = end // self.MARK
+        while len(self.marks) <= k:
+            at = (len(self.marks) - 1) * self.MARK
+            self.marks.append(zlib.crc32(self.d[at : at + self.MARK], self.marks[-1]))
+        return zlib.crc32(self.d[k * self.MARK : end], self.marks[k])
+
+    def of(self, begin: int, end: int) -> int:
+        if end - begin <= 4 * self.MARK:
+            return zlib.crc32(self.d[begin:end])
+        moved, n, k = self._prefix(begin), end - begin, 0
+        while n:  # the prefix before, moved on by the range's length
+            if k == len(self.powers):
+                self.powers.append(_times(self.powers[-1], self.powers[-1]))
+            if n & 1:
+                moved = _times(self.powers[k], moved)
+            n, k = n >> 1, k + 1
+        return moved ^ self._prefix(end)
+
+
+class _Pngs:
+    """Lengths of PNG files by their start. Chains of chunks are followed once, wherever they are entered; CRCs are taken last."""
+
+    def __init__(self, d: bytes):
+        self.d, self.crcs, self.ends, self.sound = d, _Crcs(d), {}, {}
+
+    def _end(self, k: int) -> int:
+        """Where the chain of chunks from k on ends with IEND; 0 if it does not."""
+        path, end = [], 0
+        while k not in self.ends and k + 12 <= len(self.d):
+            size, name = struct.unpack_from(">I4s", self.d, k)
+            if k + 12 + size > len(self.d) or name == b"IHDR":
+                break
+            path.append(k)
+            k += 12 + size
+            if name == b"IEND":
+                end = k
+                break
+        end = end or self.ends.get(k, 0)
+        self.ends.update(dict.fromkeys(path, end))
+        return end
+
+    def _right(self, k: int) -> bool:
+        size = struct.unpack_from(">I", self.d, k)[0]
+        return self.crcs.of(k + 4, k + 8 + size) == struct.unpack_from(">I", self.d, k + 8 + size)[0]
+
+    def size(self, at: int) -> int:
+        first = at + 8
+        if first + 25 > len(self.d) or struct.unpack_from(">I4s", self.d, first) != (13, b"IHDR") or not (end := self._end(first + 25)):
             return 0
-        if name == b"IEND":
-            return end - at
-        k = end
-    return 0
+        path, k, good = [], first + 25, self._right(first)
+        while good and k < end and k not in self.sound:
+            path.append(k)
+            good = self._right(k)
+            k += 12 + struct.unpack_from(">I", self.d, k)[0]
+        good = good and self.sound.get(k, True)
+        self.sound.update(dict.fromkeys(path, good))
+        return end - at if good else 0
 
 
 def _jpeg(d: bytes, at: int) -> int:
@@ -176,14 +244,15 @@ def _flac(d: bytes, at: int) -> int:
     return 0
 
 
-def _ogg(d: bytes, at: int) -> int:
-    k = at
-    while d[k : k + 4] == b"OggS" and k + 27 <= len(d):
+def _ogg_pages(d: bytes, at: int) -> list[int]:
+    """Where the pages of a stream begin, and at last where it ends; nothing if a page is cut off."""
+    pages = [at]
+    while d[(k := pages[-1]) : k + 4] == b"OggS" and k + 27 <= len(d):
         parts = d[k + 26]
-        k += 27 + parts + sum(d[k + 27 : k + 27 + parts])
-        if k > len(d):
-            return 0
-    return k - at
+        pages.append(k + 27 + parts + sum(d[k + 27 : k + 27 + parts]))
+        if pages[-1] > len(d):
+            return []
+    return pages
 
 
 def _mp4(d: bytes, at: int) -> int:
@@ -202,7 +271,7 @@ def _mp4(d: bytes, at: int) -> int:
     return k - at if boxes & {b"moov", b"mdat", b"moof"} else 0
 
 
-VALID = {"image/png": _png, "image/jpeg": _jpeg, "image/gif": _gif, "image/bmp": _bmp, "audio/wav": _riff, "image/webp": _riff, "application/pdf": _pdf, "application/gzip": _gzip, "audio/flac": _flac, "audio/ogg": _ogg, "video/mp4": _mp4}
+VALID = {"image/jpeg": _jpeg, "image/gif": _gif, "image/bmp": _bmp, "audio/wav": _riff, "image/webp": _riff, "application/pdf": _pdf, "application/gzip": _gzip, "audio/flac": _flac, "video/mp4": _mp4}
 
 
 @cache
@@ -216,16 +285,25 @@ def _automaton():
     return found
 
 
-def sniff(data: bytes) -> list[tuple[str, int, int]]:
-    """Kind, start and length of each confirmed medium: by start, then longest first; nested media but one level deep."""
+def sniff(data: bytes, known: frozenset[int] = frozenset()) -> list[tuple[str, int, int]]:
+    """Kind, start and length of each confirmed medium: by start, then longest first; nested media but one level deep.
+
+    Later pages of an Ogg stream are parts of it and no media of their own; `known` has the starts of such pages.
+    """
     hits = sorted({(end + 1 - size - offset, kind) for end, (kind, size, offset) in _automaton().iter(data.decode("latin-1"))})
-    found, outer, inner, zips = [], 0, 0, None
+    found, outer, inner, zips, pngs, pages = [], 0, 0, None, _Pngs(data), set(known)
     for at, kind in hits:
-        if at < 0 or at < inner:
+        if at < 0 or at < inner or kind == "audio/ogg" and at in pages:
             continue
         if kind == "application/zip":
             zips = _zips(data) if zips is None else zips
             size = zips.get(at, 0)
+        elif kind == "image/png":
+            size = pngs.size(at)
+        elif kind == "audio/ogg":
+            stream = _ogg_pages(data, at)
+            pages.update(stream)
+            size = stream[-1] - at if stream else 0
         else:
             size = VALID[kind](data, at)
         if size:
@@ -257,8 +335,7 @@ SNIFFED = T.StructType([
 
 def sniff_media(df: DataFrame, data: str = "media", declared: str | None = None, out: str = "sniffed") -> DataFrame:
     """df with a struct column: the type that the bytes have (else the declared one), whether it differs, and all media found."""
-    if out in df.columns:
-        raise ValueError(f"the table already has a column {out}")
+    free_of(df, out)
     kinds = pa.struct([("media_type", pa.string()), ("corrected", pa.bool_()), ("media", pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("length", pa.int64())])))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -281,16 +358,15 @@ def carve(df: DataFrame, data: str = "media", levels: int = 3) -> DataFrame:
     """
     names = ["level", "kind", "start", "length", "bytes"]
     others = [f for f in df.schema.fields if f.name != data]
-    if set(names) & {f.name for f in others}:
-        raise ValueError(f"the table already has a column of {', '.join(names)}")
+    free_of(df.drop(data), *names)
 
-    def inside(raw: bytes, offset: int, level: int) -> Iterator[tuple[int, str, int, bytes]]:
-        for kind, at, size in sniff(raw):
+    def inside(raw: bytes, offset: int, level: int, known: frozenset[int] = frozenset()) -> Iterator[tuple[int, str, int, bytes]]:
+        for kind, at, size in sniff(raw, known):
             whole = (at, size) == (0, len(raw))
             if level == 1 or not whole:  # a medium is not in itself
                 yield level, kind, offset + at, raw[at : at + size]
             if level < levels and not (whole and level > 1):
-                yield from ((n, k, a, x) for n, k, a, x in inside(raw[at + 1 : at + size], offset + at + 1, level + 1))
+                yield from ((n, k, a, x) for n, k, a, x in inside(raw[at + 1 : at + size], offset + at + 1, level + 1, frozenset(p - at - 1 for p in (*known, *(_ogg_pages(raw, at) if kind == "audio/ogg" else ())))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _parts(batches, data):
@@ -307,8 +383,7 @@ def carve(df: DataFrame, data: str = "media", levels: int = 3) -> DataFrame:
 
 def store_texts(df: DataFrame, text: str = "text", block: int = 64, out: str = "media") -> DataFrame:
     """df without its text, with the text's UTF-8 (null: empty) and 0 bytes up to a positive multiple of `block`, as 8-bit samples."""
-    if out in df.columns or "n_bytes" in df.columns:
-        raise ValueError(f"the table already has a column {out} or n_bytes")
+    free_of(df, out, "n_bytes")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _parts(batches, text):
@@ -322,8 +397,7 @@ def store_texts(df: DataFrame, text: str = "text", block: int = 64, out: str = "
 
 def sample_features(df: DataFrame, data: str = "media", sniffed: str = "sniffed") -> DataFrame:
     """df with `payload`, read back from the stored samples, and `feature`: type, media found, and moments of the samples."""
-    if {"payload", "feature"} & set(df.columns):
-        raise ValueError("the table already has a column payload or feature")
+    free_of(df, "payload", "feature")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _parts(batches, data):

@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pelagos.llm.tables import text_of, written
+from pelagos.llm.tables import free_of, text_of, written
 
 _MAIL = "A-Za-z0-9._%+-"
 #: Kinds in order, with a pattern that finds the same as the plain one without running over a long word again and again:
@@ -148,8 +148,7 @@ def _term_spans(text: Column, terms: Column, base: Column) -> Column:
 
 def find_private(docs: DataFrame, text: str = "text", reach: int = 80, disclosure: float = 0.9, min_contexts: int = 3) -> DataFrame:
     """docs with array columns `base` and `terms` of spans: base finds, and terms that give a protected entity away."""
-    if {"base", "terms"} & set(docs.columns):
-        raise ValueError("the table already has a column base or terms")
+    free_of(docs, "base", "terms")
     private = written(_private(docs, text), "pii-private")
     reveal = revealing_terms(docs, private, text, reach, disclosure, min_contexts)
     marked = written(private.join(reveal, "key").select(F.col("key").alias("_key"), _term_spans(F.col("text"), F.col("terms"), F.col("base")).alias("_terms")), "pii-terms")

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pelagos.llm.tables import text_of, written
+from pelagos.llm.tables import free_of, text_of, written
 
 CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_.-])[A-Za-z0-9+/_.-]{12,}+={0,2}(?![A-Za-z0-9+/_=.-])")
 #: Keys that their format tells, wherever they stand.
@@ -297,8 +297,7 @@ def train(docs: DataFrame, findings: list[tuple[str, str, str, int]] | None = No
 
 def scan(docs: DataFrame, model: Model, text: str = "text", threshold: float = 0.5) -> DataFrame:
     """docs with `candidates` (how many) and `secrets`: spans, values and probabilities of those the forest keeps."""
-    if {"candidates", "secrets"} & set(docs.columns):
-        raise ValueError("the table already has a column candidates or secrets")
+    free_of(docs, "candidates", "secrets")
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most trees * 2 ** (depth + 1) nodes and DICTIONARY words
     item = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("value", pa.string()), ("probability", pa.float64())])
 

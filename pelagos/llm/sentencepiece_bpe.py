@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from pelagos.llm.tables import free_of
+
 SPACE = "▁"
 WORD = re.compile(f"{SPACE}+[^{SPACE}]*")
 NO_RANK = np.int64(1) << 40
@@ -309,8 +311,7 @@ def _chunks(texts: Iterable[str]) -> Iterator[list[str]]:
 
 
 def _with_column(df: DataFrame, name: str, kind: T.DataType) -> T.StructType:
-    if name in df.columns:
-        raise ValueError(f"the table already has a column {name}")
+    free_of(df, name)
     return T.StructType([*df.schema.fields, T.StructField(name, kind)])
 
 

@@ -39,7 +39,8 @@ def _packed(rows: DataFrame, parts: int) -> DataFrame:
 
 
 def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    most = float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * a.shape[1]
+    # as floats: the lowest 64-bit number has no absolute value among whole ones
+    most = float(np.abs(a.astype(np.float64)).max(initial=0)) * float(np.abs(b.astype(np.float64)).max(initial=0)) * a.shape[1]
     if most < 2**53:
         return (a.astype(np.float64) @ b.astype(np.float64).T).astype(np.int64)
     return np.clip(a.astype(object) @ b.astype(object).T, -(2**63) + 1, 2**63 - 1).astype(np.int64)

@@ -22,7 +22,7 @@ def test_top_k_asks_a_repeated_query_once(spark):
         got[r["query_id"]].append((r["rank"], r["vec_id"]))
     assert sorted(got[50]) == [(1, 7), (2, 6), (3, 5), (4, 4), (5, 3)]
     # two vectors under one id: a list each
-    assert sorted(got[100]) == sorted([(1, 1), (2, 50), (3, 50), (4, 2), (5, 3)] + [(1, 1), (2, 2), (3, 3), (4, 4), (5, 5)]) or len(got[100]) == 10
+    assert sorted(got[100]) == sorted([(1, 1), (2, 50), (3, 50), (4, 2), (5, 3)] + [(1, 1), (2, 2), (3, 3), (4, 4), (5, 5)])
 
 
 def _plain_lines(rows):
@@ -118,6 +118,6 @@ def test_pipeline_stages_on_awkward_rows(spark, sf, awkward, empty):
             if name in ("line_dedup", "pii"):
                 assert sorted(str(r["doc_id"]) for r in rows) == sorted(str(r["doc_id"]) for r in df.collect())
             if name == "near_dedup" and df.columns and rows:
-                assert sorted(str(r["doc_id"]) for r in rows) == ["1", "3", "4", "5", "6", "None"] or len(rows) >= 5
+                assert sorted(str(r["doc_id"]) for r in rows) == ["1", "3", "4", "5", "6", "None"]
         packed = p.STAGES[-1][1](spark, df, sf).collect()
         assert {str(r["doc_id"]) for r in packed} == {str(r["doc_id"]) for r in df.collect()}
