@@ -300,24 +300,27 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS, landmark
 
 
 class Scorer:
-    """Margins of texts; remembers the kernels of tokens it has met, up to CACHE_WORDS."""
+    """Margins of texts; remembers the kernels of words it has met, and the words of tokens, up to CACHE_WORDS tokens."""
 
     def __init__(self, model: Model):
         self.model = model
         self._clear()
 
     def _clear(self) -> None:
-        self.known: dict[str, int] = {}
-        self.words, self.many = np.zeros(0, np.int64), np.zeros(0, np.int64)  # of each token: words it has, kernels that count
+        self.known: dict[str, int] = {}  # tokens, by the row of their words below
+        self.row: dict[tuple[str, ...], int] = {}
+        self.words, self.many = np.zeros(0, np.int64), np.zeros(0, np.int64)  # of each row: words it has, kernels that count
         self.column, self.value = np.zeros(0, np.int64), np.zeros(0)
 
     def _learn(self, tokens: list[str]) -> None:
-        parts = [pieces(clean(t)) for t in tokens]
-        word, column, value = self.model.landmarks.kernels([p for ps in parts for p in ps])
-        owner = np.repeat(np.arange(len(parts)), [len(ps) for ps in parts])
-        self.known.update(zip(tokens, range(len(self.known), len(self.known) + len(tokens))))
-        self.words = np.r_[self.words, [sum(map(bool, ps)) for ps in parts]].astype(np.int64)
-        self.many = np.r_[self.many, np.bincount(owner[word], minlength=len(parts))]
+        spelt = [tuple(pieces(clean(t))) for t in tokens]
+        new = [ps for ps in dict.fromkeys(spelt) if ps not in self.row]
+        word, column, value = self.model.landmarks.kernels([p for ps in new for p in ps])
+        owner = np.repeat(np.arange(len(new)), [len(ps) for ps in new])
+        self.row.update(zip(new, range(len(self.row), len(self.row) + len(new))))
+        self.known.update(zip(tokens, map(self.row.__getitem__, spelt)))
+        self.words = np.r_[self.words, [sum(map(bool, ps)) for ps in new]].astype(np.int64)
+        self.many = np.r_[self.many, np.bincount(owner[word], minlength=len(new))]
         self.column, self.value = np.r_[self.column, column], np.r_[self.value, value]
         self.first = np.cumsum(self.many) - self.many
 
