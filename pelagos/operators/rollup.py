@@ -222,36 +222,44 @@ def _total(months: Column, value) -> Column:
     return F.when(F.size(some) > 0, F.aggregate(some, F.lit(0.0), lambda a, x: a + x))
 
 
-def headline(months: Column, chosen: list[int], height: float, thresholds: tuple = THRESHOLDS) -> dict[str, Column]:
-    """Panels of a cell's months (as climatology gives them): share of time over a height, its floor flag, mean height, sector with its share, period, samples."""
-    some = F.filter(months, lambda x: x["m"].isin(chosen) & (x["n"] > 0))
-    n = _total(some, lambda x: x["n"].cast("double"))
-    points = F.transform(F.arrays_zip(F.array(*(F.lit(float(t)) for t in thresholds)).alias("t"), F.sequence(F.lit(0), F.lit(len(thresholds) - 1)).alias("k")), lambda z: F.struct(z["t"].alias("t"), (F.lit(100.0) * _total(some, lambda x: F.get(x["over"], z["k"]).cast("double")) / n).alias("p")))
-    at = _at(points, height, True)
+def headline(cells: DataFrame, chosen: list[int], height: float, thresholds: tuple = THRESHOLDS) -> DataFrame:
+    """cells (cell_id, months as climatology gives them) with panels of the chosen months: over_limit (share of time over a height),
+    floor, mean, sector with its share, tp, samples.
+
+    Steps are columns of their own, so that the plan holds each once.
+    """
     days = lambda x: month_days(x["m"])
-    of_days = lambda value: _total(some, lambda x: days(x) * value(x)) / _total(some, days)
+    rows = cells.withColumn("_some", F.filter("months", lambda x: x["m"].isin(chosen) & (x["n"] > 0)))
+    some = F.col("_some")
+    rows = rows.withColumns({"_n": _total(some, lambda x: x["n"].cast("double")), "_days": _total(some, days)})
+    ts = F.array(*(F.lit(float(t)) for t in thresholds))
+    rows = rows.withColumn("_points", F.transform(ts, lambda t, k: F.struct(t.alias("t"), (F.lit(100.0) * _total(some, lambda x: F.get(x["over"], k).cast("double")) / F.col("_n")).alias("p"))))
     # each month votes for its most frequent sector, the first of equals, with its days
     votes = F.transform(some, lambda x: F.struct((F.array_position(x["sectors"], F.array_max(x["sectors"])) - 1).cast("int").alias("sector"), days(x).alias("days"), (F.lit(100.0) * F.array_max(x["sectors"]) / x["n"]).alias("pct")))
-    sums = F.transform(F.sequence(F.lit(0), F.lit(11)), lambda k: F.struct(_total(F.filter(votes, lambda v: v["sector"] == k), lambda v: v["days"]).alias("days"), (-k).alias("first")))
-    sector = -F.array_max(F.filter(sums, lambda s: s["days"].isNotNull()))["first"]
-    own = F.filter(votes, lambda v: v["sector"] == sector)
-    share = _total(own, lambda v: v["days"] * v["pct"]) / _total(own, lambda v: v["days"])
-    return {"over_limit": at["p"], "floor": at["floor"], "mean": of_days(lambda x: x["hs"]), "sector": sector, "share": share, "tp": of_days(lambda x: x["tp"]), "samples": n.cast("long")}
-
-
-def monthly_periods(months: Column, height: float, edge: int, periods, thresholds: tuple = THRESHOLDS) -> Column:
-    """array of (m, v): what `periods` (bins, p, m, edge) makes of each month's bins and share of time over a height."""
-
-    def one(x: Column) -> Column:
-        points = F.array(*(F.struct(F.lit(float(t)).alias("t"), (F.lit(100.0) * F.get(x["over"], F.lit(k)) / x["n"]).alias("p")) for k, t in enumerate(thresholds)))
-        return F.struct(x["m"].alias("m"), periods([F.get(x["bins"], F.lit(k)) for k in range(7)], _at(points, height, True)["p"], x["m"], edge).alias("v"))
-
-    return F.transform(months, one)
-
-
-def swell_over(months: Column, chosen: list[int], height: float, swells: tuple) -> Column:
-    """Share of time that swell of any period is over a height, by the counts that climatology gives; null beyond the last."""
-    some = F.filter(months, lambda x: x["m"].isin(chosen) & (x["n"] > 0))
+    rows = rows.withColumns({"_at": _at(F.col("_points"), height, True), "_votes": votes})
+    sums = F.transform(F.sequence(F.lit(0), F.lit(11)), lambda k: F.struct(_total(F.filter("_votes", lambda v: v["sector"] == k), lambda v: v["days"]).alias("days"), (-k).alias("first")))
+    rows = rows.withColumn("_sums", F.filter(sums, lambda s: s["days"].isNotNull())).withColumn("sector", -F.array_max("_sums")["first"])
+    own = F.filter("_votes", lambda v: v["sector"] == F.col("sector"))
+    out = {
+        "over_limit": F.col("_at.p"), "floor": F.col("_at.floor"), "mean": _total(some, lambda x: days(x) * x["hs"]) / F.col("_days"), "tp": _total(some, lambda x: days(x) * x["tp"]) / F.col("_days"),
+        "share": _total(own, lambda v: v["days"] * v["pct"]) / _total(own, lambda v: v["days"]), "samples": F.col("_n").cast("long"),
+    }
+    return rows.withColumns(out).drop("_some", "_n", "_days", "_points", "_at", "_votes", "_sums")
+
+
+def monthly_periods(cells: DataFrame, height: float, edge: int, periods, thresholds: tuple = THRESHOLDS) -> DataFrame:
+    """(cell_id, m, v): what `periods` (bins, p, m, edge) makes of each month's bins and share of time over a height."""
+    each = cells.select("cell_id", F.explode("months").alias("x"))
+    points = F.array(*(F.struct(F.lit(float(t)).alias("t"), (F.lit(100.0) * F.get("x.over", F.lit(k)) / F.col("x.n")).alias("p")) for k, t in enumerate(thresholds)))
+    at = each.withColumn("_points", points).select("cell_id", F.col("x.m").alias("m"), F.col("x.bins").alias("bins"), _at(F.col("_points"), height, True).alias("_at"))
+    flat = at.select("cell_id", "m", F.col("_at.p").alias("p"), *(F.get("bins", F.lit(k)).alias(f"b{k}") for k in range(7)))
+    return flat.select("cell_id", "m", periods([F.col(f"b{k}") for k in range(7)], F.col("p"), F.col("m"), edge).alias("v"))
+
+
+def swell_over(cells: DataFrame, chosen: list[int], height: float, swells: tuple) -> DataFrame:
+    """cells (cell_id, months) with `swell`: share of time that swell of any period is over a height, by the counts that climatology gives; null beyond the last."""
     days = lambda x: month_days(x["m"])
-    points = F.array(*(F.struct(F.lit(float(t)).alias("t"), (_total(some, lambda x: days(x) * F.lit(100.0) * F.get(x["swells"], F.lit(k)) / x["n"]) / _total(some, days)).alias("p")) for k, t in enumerate(swells)))  # noqa: B023
-    return _at(points, height, False)["p"]
+    rows = cells.withColumn("_some", F.filter("months", lambda x: x["m"].isin(chosen) & (x["n"] > 0)))
+    ts = F.array(*(F.lit(float(t)) for t in swells))
+    points = F.transform(ts, lambda t, k: F.struct(t.alias("t"), (_total(F.col("_some"), lambda x: days(x) * F.lit(100.0) * F.get(x["swells"], k) / x["n"]) / _total(F.col("_some"), days)).alias("p")))
+    return rows.withColumn("_points", points).withColumn("_at", _at(F.col("_points"), height, False)).withColumn("swell", F.col("_at.p")).drop("_some", "_points", "_at")

@@ -122,12 +122,9 @@ def point_full(spark, sf_dir):
 def cell_panels(spark, sf_dir, obs: DataFrame, found: DataFrame) -> DataFrame:
     """One row a cell of found: panels of waves, wind, windows and extremes from its samples, of currents and cyclones from their wide rows."""
     months = R.climatology(obs, swells=SWELL_T)
-    ahead = R.headline(F.col("months"), SUMMER, H)
-    digits = {"over_limit": 4, "share": 4}
-    waves = months.select("cell_id", *(r(c, digits.get(name, 6)).alias(name) if name in ("over_limit", "mean", "share", "tp") else c.alias(name) for name, c in ahead.items() if name != "samples"), r(R.swell_over(F.col("months"), SUMMER, 1.5, SWELL_T), 4).alias("swell"), R.monthly_periods(F.col("months"), H, 2, P.periods).alias("per"))
-    a_day = lambda x: F.round(x["v"] / F.get(F.array(*map(F.lit, MONTH_DAYS)), x["m"]), 9)
-    windows = (F.aggregate("per", F.lit(0.0), lambda a, x: a + x["v"]) / F.size("per")).alias("windows")
-    waves = waves.select("*", r(windows).alias("windows"), F.array_min(F.transform("per", lambda x: F.struct(a_day(x).alias("v"), x["m"].alias("m"))))["m"].alias("worst_windows")).drop("per")
+    ahead = R.swell_over(R.headline(months, SUMMER, H), SUMMER, 1.5, SWELL_T)
+    periods = P.worst_month(R.monthly_periods(months, H, 2, P.periods), "cell_id").select("cell_id", r(F.col("mean")).alias("windows"), F.col("worst").alias("worst_windows"))
+    waves = ahead.select("cell_id", "floor", "sector", *(r(F.col(c), 4).alias(c) for c in ("over_limit", "share", "swell")), *(r(F.col(c)).alias(c) for c in ("mean", "tp"))).join(periods, "cell_id")
     probs = {"q0": 0.1, "q1": 0.5, "q2": 0.9, "q3": 0.99}
     both = obs.select("cell_id", "m", F.explode(F.array(F.struct(F.lit("hs").alias("of"), F.col("hs").alias("x")), F.struct(F.lit("wind").alias("of"), F.col("wind").alias("x")))).alias("v")).select("cell_id", "m", "v.*")
     ranks = quantiles(both, ["cell_id", "m", "of"], "x", probs, mean="mean")
@@ -149,9 +146,10 @@ def decoded_layers(spark, sf_dir, found: DataFrame) -> DataFrame:
     currents = B.cells(spark, sf_dir).select(F.col("cell_id").alias("id"), *(code[f].alias(f) for f in ("s5", "b5", "ts")))
     cyclones = B.cells(spark, sf_dir).select(F.col("cell_id").alias("id"), Y.wire(13, 36).alias("s"), Y.wire(14, 36).alias("d"), Y.wire(17, 3).alias("w"))
     wide = K.fetched(K.fetched(found, "current", currents), "cyclone", cyclones).crossJoin(F.broadcast(Y.manifest(spark, sf_dir)))
-    storms, days = (reduce(lambda a, b: a + b, (F.get(F.get(N.nested(f), F.lit(m)), F.lit(len(Y.RADII) - 1)) for m in SUMMER)) for f in ("s", "d"))
+    wide = wide.withColumns({f: N.nested(f) for f in ("s5", "b5", "s", "d")})
+    storms, days = (reduce(lambda a, b: a + b, (F.get(F.get(f, F.lit(m)), F.lit(len(Y.RADII) - 1)) for m in SUMMER)) for f in ("s", "d"))
     spring = N.tide({"ts": F.col("ts")})[0]
     return wide.select(
-        "cell_id", "depth", "asset_id", F.col("asset_d").alias("asset_km"), "joint_id", "current_id", r(over_days(N.nested("s5"), SUMMER)).alias("surf50"), r(over_days(N.nested("b5"), SUMMER)).alias("bot50"), r(E.near_bed(spring, F.lit(None).cast("double"))[0]).alias("tide"),
+        "cell_id", "depth", "asset_id", F.col("asset_d").alias("asset_km"), "joint_id", "current_id", r(over_days(F.col("s5"), SUMMER)).alias("surf50"), r(over_days(F.col("b5"), SUMMER)).alias("bot50"), r(E.near_bed(spring, F.lit(None).cast("double"))[0]).alias("tide"),
         F.col("cyclone_id").isNull().alias("no_cyclones"), r(storms).alias("storms"), r(days).alias("storm_days"), X.storm_category(F.get("w", F.lit(len(Y.RADII) - 1))).alias("category"),
     )
