@@ -121,13 +121,14 @@ def point_full(spark, sf_dir):
 
 def cell_panels(spark, sf_dir, obs: DataFrame, found: DataFrame) -> DataFrame:
     """One row a cell of found: panels of waves, wind, windows and extremes from its samples, of currents and cyclones from their wide rows."""
-    months = R.climatology(obs, swells=SWELL_T)
+    # small tables (a row a winning cell, and a month of it), written so that what follows is planned apart
+    months = kept(R.climatology(obs, swells=SWELL_T), "climatology")
     ahead = R.swell_over(R.headline(months, SUMMER, H), SUMMER, 1.5, SWELL_T)
     periods = P.worst_month(R.monthly_periods(months, H, 2, P.periods), "cell_id").select("cell_id", r(F.col("mean")).alias("windows"), F.col("worst").alias("worst_windows"))
     waves = ahead.select("cell_id", "floor", "sector", *(r(F.col(c), 4).alias(c) for c in ("over_limit", "share", "swell")), *(r(F.col(c)).alias(c) for c in ("mean", "tp"))).join(periods, "cell_id")
     probs = {"q0": 0.1, "q1": 0.5, "q2": 0.9, "q3": 0.99}
     both = obs.select("cell_id", "m", F.explode(F.array(F.struct(F.lit("hs").alias("of"), F.col("hs").alias("x")), F.struct(F.lit("wind").alias("of"), F.col("wind").alias("x")))).alias("v")).select("cell_id", "m", "v.*")
-    ranks = quantiles(both, ["cell_id", "m", "of"], "x", probs, mean="mean")
+    ranks = kept(quantiles(both, ["cell_id", "m", "of"], "x", probs, mean="mean"), "quantiles")
     p99 = R.extremes_summary(ranks.filter("of = 'hs'").select("cell_id", "m", F.col("q3").alias("p99")), SUMMER).select("cell_id", r(F.col("max_p99")).alias("max_p99"), "roughest")
     wind = R.selected(ranks.filter("of = 'wind'"), SUMMER)
     pooled = R.pooled_quantile(wind.select("cell_id", "m", F.array(*probs).alias("q"), F.array(*map(F.lit, probs.values())).alias("qp")), SUMMER, 0.9)
