@@ -2,16 +2,21 @@
 
 Base finds are e-mail addresses, IP addresses, card and phone numbers. Each distinct value found is a protected entity, and
 so is what many values share: the domain of an address, the first half of an IP address, the first six digits of a card and
-four of a phone number. The corpus then tells how strongly a term reveals an entity: with frequencies over all whole
-documents, the pointwise mutual information of entity and term, PMI = log2(N n(e,t) / (n(e) n(t))), is held against the
-information of the entity itself, IC = log2(N / n(e)). PMI / IC is 1 where the term never appears without the entity, and
-near 0 where it says nothing. A term at or over `disclosure`, met together with the entity in at least `min_contexts`
-texts whose finds have unlike surroundings (`reach` code points on either side, so that copies of one passage count once),
-reveals it: wherever else it stands in a document that holds the entity, it is generalised to its kind. Terms are runs of
-three or more letters and digits, in lower case.
-
-Terms that cannot reach `disclosure` with any entity, since too few of the documents that hold them hold a base find, never
-meet the entities; that bound drops no term that would pass.
+four of a phone number. The corpus then tells how strongly a term reveals an entity, with frequencies over all whole
+documents. Of the documents that hold the term, the share p = n(e,t) / n(t) holds the entity too; what counts is the lower
+end of p's one-sided 95 % interval (Wilson's), P, where evidence is the number of unlike surroundings (`reach` code points on
+either side of the find, so that copies of one passage count once). The pointwise mutual information log2(P N / n(e)) is held
+against the information of the entity itself, IC = log2(N / n(e)): PMI / IC is near 1 where the term tells of the entity,
+and 0 where it says nothing. A term reveals an entity that it meets in at least `min_contexts` unlike surroundings if
+PMI / IC is at least `disclosure` and P at least `risk`, that is, whoever reads the term and guesses the entity is right
+with that probability. So common entities ask for more evidence than rare ones, and the rule stays the same as tables grow.
+Terms are runs of three or more letters and digits, in lower case.
+
+A term that reveals an entity is generalised to its kind where it stands in a document that holds the entity or, with
+`everywhere`, in any document: elsewhere it tells of the entity as well.
+
+Terms that cannot reach `disclosure` and `risk` with any entity, since too few of the documents that hold them hold a base
+find, never meet the entities; that bound drops no term that would pass.
 
 Positions come from cutting the text at its matches: a match begins after all pieces and matches before it.
 
@@ -25,7 +30,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pelagos.llm.tables import free_of, text_of, written
+from pelagos.llm.tables import free, free_of, text_of, written
 
 _MAIL = "A-Za-z0-9._%+-"
 #: Kinds in order, with a pattern that finds the same as the plain one without running over a long word again and again:
@@ -123,20 +128,26 @@ def _held(private: DataFrame, reach: int, min_contexts: int) -> DataFrame:
     return once.join(contexts.filter(F.col("contexts") >= min_contexts).select("entity", "n_e"), "entity").select("key", "entity", "context", "n", "n_e")
 
 
-def revealing_terms(docs: DataFrame, private: DataFrame, text: str, reach: int, disclosure: float, min_contexts: int) -> DataFrame:
-    """(key, terms): for each text that holds base finds, the terms in it that reveal one of its entities. Counts are over all documents."""
+def _surely(share: Column, seen: Column) -> Column:
+    """The lower end of the one-sided 95 % interval of a share (Wilson's), of which `seen` cases were for it."""
+    z2, n = 1.645**2, seen / share
+    return (share + z2 / (2 * n) - 1.645 * F.sqrt(share * (1 - share) / n + z2 / (4 * n * n))) / (1 + z2 / n)
+
+
+def revealing_terms(docs: DataFrame, private: DataFrame, text: str, reach: int, disclosure: float, risk: float, min_contexts: int) -> DataFrame:
+    """(key, term): for each text that holds base finds, the terms in it that reveal one of its entities. Counts are over all documents."""
     total = docs.count()
-    least = (min_contexts / max(total, min_contexts)) ** (1 - disclosure)
+    least = max(risk, (min_contexts / max(total, min_contexts)) ** (1 - disclosure))
     terms = docs.select(F.explode(_terms(text_of(text))).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
     inside = private.select("key", "n", F.explode(_terms(F.col("text"))).alias("term"))
-    # PMI >= disclosure IC means n(e,t) / n(t) >= (n(e) / N) ** (1 - disclosure), and n(e,t) is at most the documents with finds
+    # PMI >= disclosure IC means P >= (n(e) / N) ** (1 - disclosure); P is under n(e,t) / n(t), and n(e,t) at most the documents with finds
     able = inside.groupBy("term").agg(F.sum("n").alias("n_p"), F.count("*").alias("texts")).filter(F.col("texts") >= min_contexts).join(terms, "term").filter(F.col("n_p") >= least * F.col("n_t") * (1 - 1e-9)).select("term", "n_t")
     met = written(inside.drop("n").join(able, "term").join(_held(private, reach, min_contexts), "key"), "pii-met")
     counts = met.groupBy("entity", "term", "context").agg(F.sum("n").alias("n"), F.first("n_e").alias("n_e"), F.first("n_t").alias("n_t")).groupBy("entity", "term").agg(F.sum("n").alias("n_et"), F.count("*").alias("contexts"), F.first("n_e").alias("n_e"), F.first("n_t").alias("n_t"))
     known = F.log2(F.lit(float(total)) / F.col("n_e"))
-    told = F.log2(F.lit(float(total)) * F.col("n_et") / (F.col("n_e") * F.col("n_t")))
-    reveal = counts.filter((F.col("contexts") >= min_contexts) & (known > 0) & (told >= disclosure * known)).select("entity", "term")
-    return met.join(reveal, ["entity", "term"]).groupBy("key").agg(F.collect_set("term").alias("terms"))  # bounded by the text
+    sure = counts.withColumn("sure", _surely(F.col("n_et") / F.col("n_t"), F.col("contexts")))
+    reveal = sure.filter((F.col("contexts") >= min_contexts) & (known > 0) & (F.col("sure") >= risk) & (known + F.log2("sure") >= disclosure * known)).select("entity", "term")
+    return met.join(reveal, ["entity", "term"]).select("key", "term").distinct()
 
 
 def _term_spans(text: Column, terms: Column, base: Column) -> Column:
@@ -146,19 +157,22 @@ def _term_spans(text: Column, terms: Column, base: Column) -> Column:
     return F.transform(F.filter(find_all(text, pattern, "term"), apart), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), F.lower(s["value"]).alias("value")))
 
 
-def find_private(docs: DataFrame, text: str = "text", reach: int = 80, disclosure: float = 0.9, min_contexts: int = 3) -> DataFrame:
+def find_private(docs: DataFrame, text: str = "text", reach: int = 80, disclosure: float = 0.7, risk: float = 0.5, min_contexts: int = 3, everywhere: bool = False) -> DataFrame:
     """docs with array columns `base` and `terms` of spans: base finds, and terms that give a protected entity away."""
     free_of(docs, "base", "terms")
     private = written(_private(docs, text), "pii-private")
-    reveal = revealing_terms(docs, private, text, reach, disclosure, min_contexts)
-    marked = written(private.join(reveal, "key").select(F.col("key").alias("_key"), _term_spans(F.col("text"), F.col("terms"), F.col("base")).alias("_terms")), "pii-terms")
-    found = base_spans(docs, text)
+    told = written(revealing_terms(docs, private, text, reach, disclosure, risk, min_contexts), "pii-told")
+    digest = F.md5(text_of(text).cast("binary"))
+    key, mine = free(docs.columns, "key"), free(docs.columns, "mine")
+    if everywhere:
+        # the list's size is known, since it is written: a short one is broadcast, and the terms of texts never move
+        listed = written(told.select("term").distinct(), "pii-listed")
+        told = docs.select(digest.alias("key"), F.explode(_terms(text_of(text))).alias("term")).join(listed, "term", "left_semi").distinct()
+    hits = written(told.groupBy("key").agg(F.collect_set("term").alias(mine)).withColumnRenamed("key", key), "pii-hits")  # bounded by the text
     none = F.array().cast(f"array<{SPAN}>")
-    # only rows with base finds meet the list of terms, so that most texts never move
-    clean, held = found.filter(F.size("base") == 0), found.filter(F.size("base") > 0)
-    mine = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
-    joined = held.select(mine, "base", F.md5(text_of(text).cast("binary")).alias("key")).join(marked, F.col("key") == F.col("_key"), "left")
-    return clean.withColumn("terms", none).unionByName(joined.select("row.*", "base", F.coalesce("_terms", none).alias("terms")))
+    spans = F.when(F.col(mine).isNotNull(), _term_spans(text_of(text), F.col(mine), F.col("base"))).otherwise(none)
+    found = base_spans(docs, text).withColumn(key, digest).join(hits, key, "left")
+    return found.select(*(F.col(f"`{c}`") for c in docs.columns), "base", spans.alias("terms"))
 
 
 def spelt(spans: Column) -> Column:

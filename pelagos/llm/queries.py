@@ -49,7 +49,7 @@ def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = pii.find_private(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = pii.find_private(read(spark, sf_dir, "documents").select("doc_id", "text"), everywhere=True)
     counts = [F.size(F.filter("base", pii.of_kind(k))).cast("long").alias(f"n_{k}") for k in pii.PATTERNS]
     return found.select("doc_id", *counts, F.sha2(pii.spelt(F.col("base")).cast("binary"), 256).alias("base_sha256"), pii.spelt(F.concat("base", "terms")).alias("spans"))
 
