@@ -37,7 +37,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def hide_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data, and terms that give it away, generalised to their kinds."""
-    return _counted(pii.sanitise(pii.find_private(docs)), docs.columns)
+    return _counted(pii.sanitise(pii.find_private(docs, everywhere=True)), docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
