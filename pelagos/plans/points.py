@@ -77,6 +77,26 @@ def layers_at(spark, sf_dir):
     return at_sea(spark, sf_dir).select("pt_id").join(waves.join(found, "cell_id", "left"), "pt_id", "left").select("pt_id", "cell_id", "km", "current_id", "cyclone_id", "asset_id", F.col("asset_d").alias("asset_km"), "joint_id", "depth", F.col("cell_id").isNull().alias("none"))
 
 
+_NAMED = (
+    ("waves", "cell_id", "cell_id IS NOT NULL"),
+    ("wind", "cell_id", "cell_id % 4 = 1"),
+    ("depth", None, "true"),
+    ("coastline", None, "true"),
+    ("tidal streams", "current_id", "current_id IS NOT NULL"),
+    ("background currents", "current_id", "current_id IS NOT NULL"),
+    ("cyclones", "cyclone_id", "cyclone_id IS NOT NULL"),
+    ("assets", "asset_id", "asset_id IS NOT NULL"),
+)
+
+
+@query(f"WITH found AS ({ORACLES['layers_at']}) " + " UNION ALL ".join(f"SELECT pt_id, {k}::INT AS nth, '{name}' AS layer, {key or 'NULL'}::BIGINT AS origin FROM found WHERE {shown}" for k, (name, key, shown) in enumerate(_NAMED)))
+def point_sources(spark, sf_dir):
+    """The sources that a point's report has to name, in order: only those of layers that reach it; cells of one of the two wave catalogues carry wind too."""
+    origin = lambda key: (F.col(key) if key else F.lit(None)).cast("long")
+    rows = F.array(*(F.struct(F.lit(k).alias("nth"), F.lit(name).alias("layer"), origin(key).alias("origin"), F.coalesce(F.expr(shown), F.lit(False)).alias("shown")) for k, (name, key, shown) in enumerate(_NAMED)))
+    return layers_at(spark, sf_dir).select("pt_id", F.explode(F.filter(rows, lambda x: x["shown"])).alias("x")).select("pt_id", "x.nth", "x.layer", "x.origin")
+
+
 def over_days(months: Column, chosen: list[int]) -> Column:
     """Mean of an array of twelve over some months, weighted by days; missing months count nowhere."""
     value = {m: F.get(months, F.lit(m)) for m in chosen}
