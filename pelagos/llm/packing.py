@@ -6,8 +6,11 @@ clusters of their shard. Open bins are kept by residual; the search steps from t
 next (successor) until a compatible bin turns up, else a new bin opens.
 
 Documents are dealt to shards by a hash, so many that a shard has about SHARD_PIECES pieces however large the input is
-and whatever source most rows have; each shard is packed on its own. A text longer than the capacity is cut into full
-pieces and a rest: full pieces are bins of their own.
+and whatever source most rows have; each shard is packed on its own. What this leaves loose, bins with a LOOSE-th of their
+room or more, is pooled: the loose bins of many shards, about SHARD_PIECES pieces together, are packed anew, and the new bins
+are taken if they are fewer. What is still loose is pooled with that of other pools, in rounds, until one pool holds all of
+it or pools don't get fewer. A text longer than the capacity is cut into full pieces and a rest: full pieces are bins of
+their own.
 
 Defined cases: a null or empty text has length 0 and takes a place without room; null sources conflict with nothing;
 equal texts are one cluster where no cluster column is named; a null cluster conflicts with nothing; repeated rows are
@@ -16,14 +19,18 @@ packed each; an empty table gives no bins.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pelagos.llm.tables import text_of
+from pelagos.llm.tables import text_of, written
 
-SHARD_PIECES = 4096
-PACKED = "doc_id long, piece int, shard long, bin int, slot int, start long, length long, residual long"
+SHARD_PIECES, LOOSE = 4096, 8
+PACKED = ["doc_id", "piece", "shard", "bin", "slot", "start", "length", "residual"]
+#: No nulls among the numbers: pandas would make floats of them, which don't hold large ids.
+_PLACED = "named boolean, doc_id long, piece int, shard long, bin int, slot int, start long, length long, residual long, source string, cluster string"
 
 
 class Residuals:
@@ -87,6 +94,23 @@ def n_words(text: str = "text") -> Column:
     return F.regexp_count(text_of(text), F.lit(r"[^ \t-\r]+")).cast("long")
 
 
+def _bits(pdf: pd.DataFrame) -> tuple[pd.Series, pd.Series]:
+    """Bits of sources, and of the clusters that more than one row has."""
+    source = {s: 1 << k for k, s in enumerate(pd.unique(pdf["source"].dropna()))}
+    cluster = {c: 1 << k for k, c in enumerate(pdf.loc[pdf["cluster"].duplicated() & pdf["cluster"].notna(), "cluster"].unique())}
+    bits = lambda names, of: pd.Series([of.get(x, 0) for x in names], index=names.index, dtype=object)
+    return bits(pdf["source"], source), bits(pdf["cluster"], cluster)
+
+
+def _placed(pieces: pd.DataFrame, shard: int, first: int, capacity: int) -> pd.DataFrame:
+    """pieces in bins of their own, numbered from `first` on."""
+    pieces = pieces.sort_values(["length", "named", "doc_id", "piece", "cluster", "source"], ascending=[False, True, True, True, True, True], kind="stable")
+    source, cluster = _bits(pieces)
+    found = pack(list(zip(pieces["length"].tolist(), source, cluster)), capacity)
+    pieces = pieces.assign(shard=shard, bin=[first + b for b, _, _ in found], slot=[k for _, k, _ in found])
+    return pieces.assign(residual=capacity - pieces.groupby("bin")["length"].transform("sum"))
+
+
 def best_fit(docs: DataFrame, capacity: int = 2048, length: Column | None = None, cluster: Column | None = None, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """One row a piece: where it lies in its document (piece, start, length) and its bin (shard, bin, slot, residual of the bin at the end).
 
@@ -96,28 +120,45 @@ def best_fit(docs: DataFrame, capacity: int = 2048, length: Column | None = None
     same = F.xxhash64(text_of(text)) if cluster is None else F.when(cluster.isNotNull(), F.xxhash64(cluster))
     shards = max(1, -(-docs.count() // SHARD_PIECES))
     named = F.col(doc_id).cast("long")
-    # no nulls among the numbers: pandas would make floats of them, which don't hold large ids
     rows = docs.select(F.coalesce(named, F.lit(0)).alias("doc_id"), named.isNotNull().alias("named"), size.alias("size"), F.col(source).cast("string").alias("source"), same.cast("string").alias("cluster"), F.pmod(F.xxhash64(F.col(doc_id), text_of(text)), F.lit(shards)).alias("shard"))
+    order = [c.split()[0] for c in _PLACED.split(", ")]
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        shard, full = pdf["shard"].iloc[0], pdf["size"] // capacity
+        made = pdf.loc[pdf.index.repeat(full)].sort_values(["named", "doc_id", "size", "cluster", "source"], kind="stable")
+        piece = made.groupby(level=0).cumcount()
+        made = made.assign(piece=piece, start=piece * capacity, length=capacity, bin=range(len(made)), slot=0, residual=0)
+        rest = pdf["size"] % capacity
+        rests = pdf.assign(piece=full, start=full * capacity, length=rest)[(rest > 0) | (full == 0)]
+        return pd.concat([made[order], _placed(rests, shard, len(made), capacity)[order]])
+
+    placed = rows.groupBy("shard").applyInPandas(run, _PLACED)
+    if shards > 1:
+        placed = _pooled(placed, capacity, shards, order)
+    return placed.select(F.when(F.col("named"), F.col("doc_id")).alias("doc_id"), *PACKED[1:])
+
+
+def _again(capacity: int, first: int, order: list[str]):
+    """Packs a pool of bins anew; keeps the old bins if the new ones aren't fewer."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["named", "doc_id", "size", "cluster", "source"], kind="stable")
-        source_bit = {s: 1 << k for k, s in enumerate(pd.unique(pdf["source"].dropna()))}
-        cluster_bit = {c: 1 << k for k, c in enumerate(pdf.loc[pdf["cluster"].duplicated() & pdf["cluster"].notna(), "cluster"].unique())}
-        made, rests = [], []
-        for doc, total, src, clu in zip(zip(pdf["named"].tolist(), pdf["doc_id"].tolist()), pdf["size"].tolist(), pdf["source"], pdf["cluster"]):
-            full = int(total) // capacity
-            made += [(doc, k, k * capacity, capacity) for k in range(full)]
-            if total % capacity or not full:
-                rests.append((int(total) % capacity, doc, full, source_bit.get(src, 0), cluster_bit.get(clu, 0)))
-        bins = len(made)
-        rows = [(doc, k, n, 0, start, size, 0) for n, (doc, k, start, size) in enumerate(made)]
-        rests.sort(key=lambda r: (-r[0], r[1], r[2]))
-        placed = pack([(n, s, c) for n, _, _, s, c in rests], capacity)
-        room = pd.Series([r[0] for r in rests], dtype="int64").groupby([b for b, _, _ in placed]).sum() if placed else {}
-        rows += [(doc, k, bins + b, slot, k * capacity, n, capacity - int(room[b])) for (n, doc, k, _, _), (b, slot, _) in zip(rests, placed)]
-        out = pd.DataFrame(rows, columns=["doc_id", "piece", "bin", "slot", "start", "length", "residual"])
-        out["doc_id"] = pd.array([doc if named else None for named, doc in out["doc_id"]], dtype="Int64")
-        out["shard"] = pdf["shard"].iloc[0]
-        return out[["doc_id", "piece", "shard", "bin", "slot", "start", "length", "residual"]]
-
-    return rows.groupBy("shard").applyInPandas(run, PACKED)
+        new = _placed(pdf, first + pdf["pool"].iloc[0], 0, capacity)
+        return (new if new["bin"].nunique() < len(pdf[["shard", "bin"]].drop_duplicates()) else pdf)[order]
+
+    return run
+
+
+def _pooled(placed: DataFrame, capacity: int, shards: int, order: list[str]) -> DataFrame:
+    """placed with the loose bins of many shards packed anew, in rounds; what a pool makes is a shard with a number of its own."""
+    parts, pools, level = [], shards, 0
+    loose = F.col("residual") * LOOSE >= capacity
+    placed = written(placed, "packed")
+    while True:
+        count, held = placed.filter(loose).agg(F.count("*"), F.count_distinct("shard")).first()
+        fewer = max(1, -(-count // SHARD_PIECES))
+        if held < 2 or fewer >= pools:
+            return reduce(DataFrame.unionByName, [*parts, placed])
+        pools, level = fewer, level + 1
+        parts.append(placed.filter(~loose))
+        # a shard's loose bins stay together, so that old bins and new ones can be counted
+        placed = written(placed.filter(loose).withColumn("pool", F.pmod(F.xxhash64("shard"), F.lit(pools))).groupBy("pool").applyInPandas(_again(capacity, shards * level, order), _PLACED), "packed")
