@@ -27,6 +27,8 @@ clashing output names raise ValueError.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,6 +45,8 @@ PATTERNS = {
 }
 TERM = r"[\p{L}\p{N}]{3,}+"
 EDGE = r"(?<![\p{L}\p{N}])", r"(?![\p{L}\p{N}])"
+#: Bits that tell which texts may hold a listed term (1 MB); with millions of terms most do, and more texts move.
+BITS = 1 << 23
 SPAN = "struct<kind:string,start:int,end:int,value:string>"
 
 
@@ -157,22 +161,40 @@ def _term_spans(text: Column, terms: Column, base: Column) -> Column:
     return F.transform(F.filter(find_all(text, pattern, "term"), apart), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), F.lower(s["value"]).alias("value")))
 
 
+def _slots(term: Column) -> list[Column]:
+    return [F.pmod(F.xxhash64(term, F.lit(k)), F.lit(BITS)) for k in range(3)]
+
+
+def _bitmap(listed: DataFrame, out: str) -> DataFrame:
+    """One row: BITS bits in longs, three for each listed term set. Its size is the same however long the list is."""
+    marks = listed.select(F.explode(F.array(*_slots(F.col("term")))).alias("slot")).groupBy(F.expr("slot DIV 64").alias("id")).agg(F.expr("bit_or(shiftleft(1L, CAST(slot % 64 AS INT)))").alias("bits"))
+    whole = listed.sparkSession.range(BITS // 64).join(marks, "id", "left").select(F.struct("id", F.coalesce("bits", F.lit(0)).alias("bits")).alias("x"))
+    return written(whole.agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["bits"]).alias(out)), "pii-bitmap")
+
+
 def find_private(docs: DataFrame, text: str = "text", reach: int = 80, disclosure: float = 0.7, risk: float = 0.5, min_contexts: int = 3, everywhere: bool = False) -> DataFrame:
     """docs with array columns `base` and `terms` of spans: base finds, and terms that give a protected entity away."""
     free_of(docs, "base", "terms")
     private = written(_private(docs, text), "pii-private")
     told = written(revealing_terms(docs, private, text, reach, disclosure, risk, min_contexts), "pii-told")
-    digest = F.md5(text_of(text).cast("binary"))
-    key, mine = free(docs.columns, "key"), free(docs.columns, "mine")
+    key, mine, bits = (free(docs.columns, name) for name in ("key", "mine", "bits"))
+    found = base_spans(docs, text).withColumn(key, F.md5(text_of(text).cast("binary")))
+    # only rows that may hold a term meet the list of terms, so that most texts never move
     if everywhere:
-        # the list's size is known, since it is written: a short one is broadcast, and the terms of texts never move
         listed = written(told.select("term").distinct(), "pii-listed")
-        told = docs.select(digest.alias("key"), F.explode(_terms(text_of(text))).alias("term")).join(listed, "term", "left_semi").distinct()
+        bitmap = F.broadcast(_bitmap(listed, bits))
+        held = lambda slot: F.getbit(F.get(F.col(bits), F.floor(slot / 64).cast("int")), (slot % 64).cast("int")) == 1
+        may = F.exists(_terms(text_of(text)), lambda t: reduce(lambda a, b: a & b, map(held, _slots(t))))
+        near, far = found.join(bitmap, may, "left_semi"), found.join(bitmap, may, "left_anti")
+        texts = near.select(F.col(key).alias("key"), text_of(text).alias("text"))
+        told = texts.select("key", F.explode(_terms(F.col("text"))).alias("term")).join(listed, "term", "left_semi").distinct()
+    else:
+        near, far = found.filter(F.size("base") > 0), found.filter(F.size("base") == 0)
     hits = written(told.groupBy("key").agg(F.collect_set("term").alias(mine)).withColumnRenamed("key", key), "pii-hits")  # bounded by the text
     none = F.array().cast(f"array<{SPAN}>")
     spans = F.when(F.col(mine).isNotNull(), _term_spans(text_of(text), F.col(mine), F.col("base"))).otherwise(none)
-    found = base_spans(docs, text).withColumn(key, digest).join(hits, key, "left")
-    return found.select(*(F.col(f"`{c}`") for c in docs.columns), "base", spans.alias("terms"))
+    own = [*(F.col(f"`{c}`") for c in docs.columns), F.col("base")]
+    return far.select(*own, none.alias("terms")).unionByName(near.join(hits, key, "left").select(*own, spans.alias("terms")))
 
 
 def spelt(spans: Column) -> Column:
