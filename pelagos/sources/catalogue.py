@@ -72,10 +72,14 @@ def storm_tracks(texts: DataFrame, text: str, *keep: str) -> DataFrame:
     return _points(rows, 1e2, *keep, "track", "n", "y", "w")
 
 
-def at_exact_cell(cells: DataFrame, extremes: DataFrame) -> DataFrame:
-    """cells with the row of `extremes` at the same place, to a millionth of a degree; null columns without one."""
+def at_exact_cell(cells: DataFrame, extremes: DataFrame, by: str | None = None) -> DataFrame:
+    """cells with the row of `extremes` at the same place, to a millionth of a degree; null columns without one.
+
+    Where cells of several records share a place, `by` names the column that tells them apart, in both tables; a place has one row of each.
+    """
+    place = ["_a", "_o"] + ([by] if by else [])
     key = lambda df: df.withColumns({"_a": F.round(F.col("lat") * 1e6).cast("long"), "_o": F.round(F.col("lon") * 1e6).cast("long")})
-    return key(cells).join(key(extremes).drop("lat", "lon"), ["_a", "_o"], "left").drop("_a", "_o")
+    return key(cells).join(key(extremes).drop("lat", "lon").dropDuplicates(place), place, "left").drop("_a", "_o")
 
 
 def levels(cells: DataFrame, fields: Column, raw: str, by: str) -> DataFrame:

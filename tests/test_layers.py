@@ -10,6 +10,7 @@ from pelagos.operators import lookup as K
 from pelagos.operators import rollup as R
 from pelagos.operators import spatial as S
 from pelagos.operators.quantile import quantiles
+from pelagos.sources import catalogue as C
 from pelagos.sources import nested as N
 from pelagos.sources import tile_source as T
 
@@ -145,3 +146,9 @@ def test_layers_meet_in_one_join(spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert plan.count("SortMergeJoin") + plan.count("ShuffledHashJoin") == 2  # the layers, and the places without any
+
+
+def test_extremes_of_cells_that_share_a_place_keep_apart(spark):
+    cells = spark.createDataFrame([(1, 10.0, 20.0), (2, 10.0, 20.0), (3, 10.0, 20.0), (3, 10.0, 20.0)], "cell_id long, lat double, lon double")
+    extremes = spark.createDataFrame([(1, 10.0000002, 20.0, [5]), (3, 10.0000002, 20.0, [7]), (3, 10.0000002, 20.0, [7])], "cell_id long, lat double, lon double, rv array<int>")
+    assert sorted((r.cell_id, r.rv) for r in C.at_exact_cell(cells, extremes, "cell_id").collect()) == [(1, [5]), (2, None), (3, [7]), (3, [7])]
