@@ -82,8 +82,8 @@ def edges(rings: DataFrame, by: tuple = ("level", "ring")) -> DataFrame:
 def crossings(points: DataFrame, ring_edges: DataFrame, by: str = "level", point_id: str = "pt_id", band: float = 1.0) -> DataFrame:
     """(point_id, by) of the levels that hold a point: even-odd rule with half-open edges.
 
-    Edges are cut to bands of latitude, so that points and edges meet by a hash join on the band. A ring's box is given to
-    its edges first: where a point lies beside or beyond it, no ray is cast.
+    Edges are cut to bands of latitude, so that places and edges meet by a hash join on the band, each place once, however
+    many points lie there. A ring's box is given to its edges first: where a point lies beside or beyond it, no ray is cast.
     """
     ring = [c for c in ring_edges.columns if c not in ("x1", "y1", "x2", "y2")]
     box = Window.partitionBy(*ring)
@@ -94,8 +94,9 @@ def crossings(points: DataFrame, ring_edges: DataFrame, by: str = "level", point
     y, x = F.col("lat"), F.col("lon")
     half_open = ((F.col("y1") <= y) & (F.col("y2") > y)) | ((F.col("y2") <= y) & (F.col("y1") > y))
     at = F.col("x1") + (y - F.col("y1")) / (F.col("y2") - F.col("y1")) * (F.col("x2") - F.col("x1"))
-    met = points.select(point_id, "lat", "lon", number(y).alias("_band")).join(banded, "_band")
-    hits = met.filter((x >= F.col("_west")) & (x <= F.col("_east")) & half_open & (at > x)).groupBy(point_id, by).agg((F.count("*") % 2 == 1).alias("inside"))
+    places = points.select("lat", "lon").distinct().withColumn("_band", number(y))
+    met = places.join(banded, "_band").filter((x >= F.col("_west")) & (x <= F.col("_east")) & half_open & (at > x)).groupBy("lat", "lon", by).agg(F.count("*").alias("hits"))
+    hits = points.select(point_id, "lat", "lon").join(met, ["lat", "lon"]).groupBy(point_id, by).agg((F.sum("hits") % 2 == 1).alias("inside"))
     return hits.filter("inside").select(point_id, by)
 
 

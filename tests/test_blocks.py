@@ -111,3 +111,12 @@ def test_a_restarted_sink_writes_no_event_twice(spark, tmp_path):
 def test_event_lines_are_coded_as_addresses_are(spark):
     row = spark.createDataFrame([("a b&c", "é~!*'()/", None)], "x string, y string, z string").select(sink.event_line(F.lit("pv"), F.col("x"), F.col("y"), F.lit(True), {"k": F.col("z"), "n": F.lit(5)}).alias("line")).first()
     assert row.line == "e=pv&p=a%20b%26c&s=%C3%A9~!*'()%2F&t=1&n=5"
+
+
+def test_a_place_meets_edges_once_and_tells_all_its_points(spark):
+    points = spark.createDataFrame([(k, 0.5, 0.5) for k in range(50)] + [(99, 5.0, 5.0)], "pt_id long, lat double, lon double")
+    edges = S.edges(spark.createDataFrame([(1, 1, s, x, y) for s, (x, y) in enumerate([(0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.0, 1.0)])], "level int, ring int, seq int, x double, y double"))
+    found = S.crossings(points, edges)
+    assert sorted((r.pt_id, r.level) for r in found.collect()) == [(k, 1) for k in range(50)]
+    asked = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [lat" in asked  # places, before they meet edges
