@@ -146,11 +146,12 @@ def nearest_ocean(points: DataFrame, land: DataFrame, rings: int = 40, point_id:
     """(point_id, i, j, km): the point's own cell if it is sea, else the nearest sea cell in the first ring that has one or
     in the next; ties to the lower row, then column. Points without sea in so many rings have no row.
 
-    Rings are sought once for each cell of the mask that holds a point, of which there are at most 64,800.
+    Rings are sought once for each cell of the mask that holds a point, of which there are at most 64,800, and distances
+    once for each place.
     """
     spark = points.sparkSession
     i, j = mask_cell(F.col("lat"), F.col("lon"))
-    placed = points.select(point_id, "lat", "lon", i.alias("pi"), j.alias("pj"))
+    placed = points.select("lat", "lon").distinct().select("lat", "lon", i.alias("pi"), j.alias("pj"))
     is_land = land.select(F.col("i").alias("pi"), F.col("j").alias("pj")).distinct()
     cells = spark.range(180 * 360).select(F.floor(F.col("id") / 360).cast("int").alias("pi"), (F.col("id") % 360).cast("int").alias("pj")).join(is_land.withColumn("land", F.lit(True)), ["pi", "pj"], "left")
     # columns to the next sea cell of the row on either side, around the globe
@@ -169,9 +170,10 @@ def nearest_ocean(points: DataFrame, land: DataFrame, rings: int = 40, point_id:
     near = around.filter(F.greatest(F.abs("di"), F.abs("dj")).between(F.col("first"), F.least(last, F.lit(rings)))).select("pi", "pj", (F.col("pi") + F.col("di")).alias("i"), F.pmod(F.col("pj") + F.col("dj"), F.lit(360)).alias("j")).filter("i BETWEEN 0 AND 179")
     choices = near.join(land.select("i", "j"), ["i", "j"], "left_anti")
     km = F.round(geo.haversine_km(F.col("lat"), F.col("lon"), F.col("i") - 89.5, F.col("j") - 179.5), 6).alias("km")
-    best = placed.join(choices, ["pi", "pj"]).groupBy(point_id).agg(F.min(F.struct(km, F.col("i"), F.col("j"))).alias("b")).select(point_id, "b.i", "b.j", "b.km")
-    at_sea = placed.join(is_land, ["pi", "pj"], "left_anti").select(point_id, F.col("pi").alias("i"), F.col("pj").alias("j"), "lat", "lon").select(point_id, "i", "j", km)
-    return at_sea.unionByName(best)
+    best = placed.join(choices, ["pi", "pj"]).groupBy("lat", "lon").agg(F.min(F.struct(km, F.col("i"), F.col("j"))).alias("b")).select("lat", "lon", "b")
+    at_sea = placed.join(is_land, ["pi", "pj"], "left_anti").select("lat", "lon", F.col("pi").alias("i"), F.col("pj").alias("j")).select("lat", "lon", F.struct(km, "i", "j").alias("b"))
+    found = points.select(point_id, "lat", "lon").join(at_sea.unionByName(best), ["lat", "lon"]).groupBy(point_id).agg(F.min("b").alias("b"))
+    return found.select(point_id, "b.i", "b.j", "b.km")
 
 
 def nearest_home_first(points: DataFrame, cells: DataFrame, km: float, size: float = 10.0, point_id: str = "pt_id", cell_id: str = "cell_id") -> DataFrame:
