@@ -1,11 +1,13 @@
 """Places: nearest cells, tiles, polygons, land masks.
 
 Nearest-neighbour joins meet on tile keys: cells are bucketed by tile, points ask for the tiles that a radius reaches,
-and both sides hash-join on the tile. Ties go to the smaller cell id.
+and both sides hash-join on the tile. Ties go to the smaller cell id. Places are searched, not rows: points and cells that
+share their coordinates share the search, so that its pairs grow with places alone.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -42,28 +44,56 @@ def in_tiles(cells: DataFrame, size: float) -> DataFrame:
     return cells.withColumns({"ti": F.floor((F.col("lat") + 90) / size).cast("int"), "tj": F.pmod(F.floor((geo.wrap_lon(F.col("lon")) + 180) / size).cast("int"), F.lit(int(360 / size)))})
 
 
-def nearest(points: DataFrame, cells: DataFrame, km: float, size: float = 10.0, point_id: str = "pt_id", cell_id: str = "cell_id") -> DataFrame:
-    """(point_id, cell_id, km): the nearest cell of each point within a radius; points without one are missing."""
-    near = candidate_tiles(points.select(point_id, "lat", "lon"), km, size)
-    far = in_tiles(cells.select(cell_id, F.col("lat").alias("clat"), F.col("lon").alias("clon"), "lat", "lon"), size).drop("lat", "lon")
-    pairs = near.join(far, ["ti", "tj"]).withColumn("km", F.round(geo.haversine_km(F.col("lat"), F.col("lon"), F.col("clat"), F.col("clon")), 6)).filter(F.col("km") <= km)
-    best = pairs.groupBy(point_id).agg(F.min(F.struct("km", cell_id)).alias("best"))
+def sites(cells: DataFrame, cell_id: str = "cell_id", *by: str) -> DataFrame:
+    """(by, lat, lon, cell_id): one row a place, with the smallest id there. Of cells at one place no other can be the nearest."""
+    return cells.groupBy(*by, "lat", "lon").agg(F.min(cell_id).alias(cell_id))
+
+
+def km_between(lat: Column, lon: Column, clat: Column, clon: Column) -> Column:
+    return F.round(geo.haversine_km(lat, lon, clat, clon), 6)
+
+
+def _nearest_site(places: DataFrame, held: DataFrame, km: float, size: float, cell_id: str, measure: Callable = km_between, reach: float | None = None) -> DataFrame:
+    """(lat, lon, cell_id, km) of places (lat, lon), each there once, and sites."""
+    near = candidate_tiles(places.select("lat", "lon"), reach or km, size)
+    far = in_tiles(held, size).withColumnsRenamed({"lat": "clat", "lon": "clon"})
+    pairs = near.join(far, ["ti", "tj"]).withColumn("km", measure(F.col("lat"), F.col("lon"), F.col("clat"), F.col("clon"))).filter(F.col("km") <= km)
+    return _best_of(pairs, cell_id)
+
+
+def _best_of(pairs: DataFrame, cell_id: str) -> DataFrame:
+    best = pairs.groupBy("lat", "lon").agg(F.min(F.struct("km", cell_id)).alias("best"))
+    return best.select("lat", "lon", F.col(f"best.{cell_id}").alias(cell_id), F.col("best.km").alias("km"))
+
+
+def _told(points: DataFrame, found: DataFrame, point_id: str, cell_id: str) -> DataFrame:
+    """(point_id, cell_id, km): what was found for places, told to the points there; an id at several places has the nearest of theirs."""
+    best = points.select(point_id, "lat", "lon").join(found, ["lat", "lon"]).groupBy(point_id).agg(F.min(F.struct("km", cell_id)).alias("best"))
     return best.select(point_id, F.col(f"best.{cell_id}").alias(cell_id), F.col("best.km").alias("km"))
 
 
+def nearest(points: DataFrame, cells: DataFrame, km: float, size: float = 10.0, point_id: str = "pt_id", cell_id: str = "cell_id", measure: Callable = km_between, reach: float | None = None) -> DataFrame:
+    """(point_id, cell_id, km): the nearest cell of each point within a radius; points without one are missing.
+
+    Places are searched, each once, however many points and cells lie there. A `measure` that rounds gives a `reach` that
+    holds all that it lets within the radius.
+    """
+    return _told(points, _nearest_site(points.select("lat", "lon").distinct(), sites(cells, cell_id), km, size, cell_id, measure, reach), point_id, cell_id)
+
+
 def nearest_in_rounds(points: DataFrame, cells: DataFrame, radii: tuple, point_id: str = "pt_id", cell_id: str = "cell_id") -> DataFrame:
-    """As nearest within the last radius, in rounds of growing radius: a point that finds a cell is settled, since none that
-    lies farther than the radius can be nearer. Tiles are as wide as a round's radius, so that a point meets the cells of a
+    """As nearest within the last radius, in rounds of growing radius: a place that finds a cell is settled, since none that
+    lies farther than the radius can be nearer. Tiles are as wide as a round's radius, so that a place meets the cells of a
     few tiles of that size and not all that the last radius holds. A round's result is a table in the shared folder."""
-    rest, done = points.select(point_id, "lat", "lon"), []
+    rest, held, done = points.select("lat", "lon").distinct(), sites(cells, cell_id), []
     for k, km in enumerate(radii):
         size = next(s for s in TILE_SIZES if s * 111.0 >= km or s == TILE_SIZES[-1])
-        found = rest.join(nearest(rest, cells, km, size, point_id, cell_id), point_id, "left")
+        found = rest.join(_nearest_site(rest, held, km, size, cell_id), ["lat", "lon"], "left")
         if k + 1 < len(radii):
             found = kept(found, f"nearest-{k}")
-        done.append(found.filter("km IS NOT NULL").select(point_id, cell_id, "km"))
-        rest = found.filter("km IS NULL").select(point_id, "lat", "lon")
-    return reduce(DataFrame.unionByName, done)
+        done.append(found.filter("km IS NOT NULL").select("lat", "lon", cell_id, "km"))
+        rest = found.filter("km IS NULL").select("lat", "lon")
+    return _told(points, reduce(DataFrame.unionByName, done), point_id, cell_id)
 
 
 def nearest_or_none(points: DataFrame, cells: DataFrame, km: float, **names) -> DataFrame:
@@ -177,16 +207,17 @@ def nearest_ocean(points: DataFrame, land: DataFrame, rings: int = 40, point_id:
 
 
 def nearest_home_first(points: DataFrame, cells: DataFrame, km: float, size: float = 10.0, point_id: str = "pt_id", cell_id: str = "cell_id") -> DataFrame:
-    """As nearest, in two steps: a point is done if its own tile has a cell nearer than 0.99 of the way to the tile's edge;
-    the others ask all tiles that the radius reaches. Pays where cells are dense and most points lie well inside a tile."""
+    """As nearest, in two steps: a place is done if its own tile has a cell nearer than 0.99 of the way to the tile's edge;
+    the others ask all tiles that the radius reaches. Pays where cells are dense and most places lie well inside a tile."""
     lat, lon = F.col("lat"), geo.wrap_lon(F.col("lon"))
     north, east = F.pmod(lat + 90, F.lit(size)), F.pmod(lon + 180, F.lit(size))
     # the sides of a tile are meridians: nearest where they come closest to the pole
     narrow = F.cos(F.radians(F.least(F.abs(lat) + size, F.lit(90.0))))
     edge = F.least(north, size - north, F.least(east, size - east) * narrow) * 111.0
-    home = in_tiles(points.select(point_id, "lat", "lon", edge.alias("edge")), size)
-    far = in_tiles(cells.select(cell_id, F.col("lat").alias("clat"), F.col("lon").alias("clon"), "lat", "lon"), size).drop("lat", "lon")
-    pairs = home.join(far, ["ti", "tj"]).withColumn("km", F.round(geo.haversine_km(lat, F.col("lon"), F.col("clat"), F.col("clon")), 6)).filter((F.col("km") <= 0.99 * F.col("edge")) & (F.col("km") <= km))
-    done = pairs.groupBy(point_id).agg(F.min(F.struct("km", cell_id)).alias("best")).select(point_id, F.col(f"best.{cell_id}").alias(cell_id), F.col("best.km").alias("km"))
-    rest = points.select(point_id, "lat", "lon").join(done.select(point_id), point_id, "left_anti")
-    return done.unionByName(nearest(rest, cells, km, size, point_id, cell_id))
+    places, held = points.select("lat", "lon").distinct(), sites(cells, cell_id)
+    home = in_tiles(places.withColumn("edge", edge), size)
+    far = in_tiles(held, size).withColumnsRenamed({"lat": "clat", "lon": "clon"})
+    pairs = home.join(far, ["ti", "tj"]).withColumn("km", km_between(lat, F.col("lon"), F.col("clat"), F.col("clon"))).filter((F.col("km") <= 0.99 * F.col("edge")) & (F.col("km") <= km))
+    done = _best_of(pairs, cell_id)
+    rest = places.join(done.select("lat", "lon"), ["lat", "lon"], "left_anti")
+    return _told(points, done.unionByName(_nearest_site(rest, held, km, size, cell_id)), point_id, cell_id)
