@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from pelagos.functions import geo
 from pelagos.functions.constants import RULER_KM
+from pelagos.operators import lookup as K
 from pelagos.operators import polyline as L
 from pelagos.operators import raster as G
 from pelagos.operators import rollup as R
@@ -38,11 +39,7 @@ def nearest_cell_snap(spark, sf_dir):
 @query(f"WITH {CELLS}, {ASSETS}, n AS (SELECT cell_id, asset_id, floor({_hav('c.lat', 'c.lon', 'a.lat', 'a.lon')} + 0.5) AS km FROM cells c, assets a) SELECT cell_id, arg_min(asset_id, (km, asset_id)) AS asset_id, min(km)::DOUBLE AS km FROM n WHERE km <= 400 GROUP BY cell_id")
 def nearest_asset(spark, sf_dir):
     """Distances are rounded to whole kilometres before they are held against the radius."""
-    found = S.candidate_tiles(B.cells(spark, sf_dir).select("cell_id", "lat", "lon"), 401.0, 10.0)
-    assets = S.in_tiles(B.assets(spark, sf_dir).select("asset_id", "lat", "lon"), 10.0).withColumnsRenamed({"lat": "alat", "lon": "alon"})
-    km = F.floor(geo.haversine_km(F.col("lat"), F.col("lon"), F.col("alat"), F.col("alon")) + 0.5).cast("double")
-    best = found.join(assets, ["ti", "tj"]).withColumn("km", km).filter("km <= 400").groupBy("cell_id").agg(F.min(F.struct("km", "asset_id")).alias("b"))
-    return best.select("cell_id", "b.asset_id", "b.km")
+    return S.nearest(B.cells(spark, sf_dir), B.assets(spark, sf_dir), 400.0, point_id="cell_id", cell_id="asset_id", measure=K.whole_km, reach=401.0).select("cell_id", "asset_id", "km")
 
 
 @query(f"WITH {POINTS} SELECT pt_id, floor(lat + 89.25 + 0.5) - 89.25 AS block_lat, CASE WHEN floor(lon + 179.75 + 0.5) - 179.75 < -179.75 THEN 179.25 ELSE floor(lon + 179.75 + 0.5) - 179.75 END AS block_lon FROM points")
