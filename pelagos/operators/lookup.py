@@ -17,10 +17,6 @@ from pelagos.functions import geo
 from pelagos.operators import spatial as S
 
 
-def _km(lat: Column, lon: Column, clat: Column, clon: Column) -> Column:
-    return F.round(geo.haversine_km(lat, lon, clat, clon), 6)
-
-
 def whole_km(lat: Column, lon: Column, clat: Column, clon: Column) -> Column:
     """Whole kilometres: rounded before they are held against a radius."""
     return F.floor(geo.haversine_km(lat, lon, clat, clon) + 0.5).cast("double")
@@ -39,7 +35,7 @@ class Layer:
     name: str
     keys: DataFrame
     reach_km: float
-    measure: Callable = _km
+    measure: Callable = S.km_between
     within: Callable = field(default=None)
 
     def fits(self, d: Column) -> Column:
@@ -49,17 +45,17 @@ class Layer:
 def nearest_of_layers(places: DataFrame, layers: list[Layer], place_id: str, size: float = 5.0) -> DataFrame:
     """(place_id, one column <layer>_id and one <layer>_d a layer): the nearest of each layer, ties to the smaller id, null where none is in reach."""
     reach = max(layer.reach_km for layer in layers)
-    near = S.candidate_tiles(places.select(place_id, "lat", "lon"), reach, size)
+    near = S.candidate_tiles(places.select("lat", "lon").distinct(), reach, size)
     tagged = reduce(DataFrame.unionByName, [layer.keys.select(F.lit(k).alias("_layer"), F.col("id").cast("long").alias("_id"), "lat", "lon") for k, layer in enumerate(layers)])
-    held = S.in_tiles(tagged, size).withColumnsRenamed({"lat": "_lat", "lon": "_lon"})
+    held = S.in_tiles(S.sites(tagged, "_id", "_layer"), size).withColumnsRenamed({"lat": "_lat", "lon": "_lon"})
     at = (F.col("lat"), F.col("lon"), F.col("_lat"), F.col("_lon"))
     met = near.join(held, ["ti", "tj"])
     d = reduce(lambda a, kl: F.when(F.col("_layer") == kl[0], kl[1].measure(*at)).otherwise(a), enumerate(layers), F.lit(None).cast("double"))
     met = met.withColumn("_d", d)
     best = [F.min(F.when((F.col("_layer") == k) & layer.fits(F.col("_d")), F.struct("_d", "_id"))).alias(layer.name) for k, layer in enumerate(layers)]
-    found = met.groupBy(place_id).agg(*best)
+    found = met.groupBy("lat", "lon").agg(*best)
     named = [c for layer in layers for c in (F.col(layer.name)["_id"].alias(f"{layer.name}_id"), F.col(layer.name)["_d"].alias(f"{layer.name}_d"))]
-    return places.select(place_id).join(found, place_id, "left").select(place_id, *named)
+    return places.select(place_id, "lat", "lon").join(found, ["lat", "lon"], "left").select(place_id, *named)
 
 
 def fetched(found: DataFrame, layer: str, wide: DataFrame) -> DataFrame:

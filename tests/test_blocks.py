@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pelagos.operators import panels as V
 from pelagos.operators import persistence as P
 from pelagos.operators import polyline as L
+from pelagos.operators import lookup as K
 from pelagos.operators import spatial as S
 from pelagos.streaming import sink
 
@@ -113,6 +114,29 @@ def test_event_lines_are_coded_as_addresses_are(spark):
     assert row.line == "e=pv&p=a%20b%26c&s=%C3%A9~!*'()%2F&t=1&n=5"
 
 
+def test_points_and_cells_that_share_a_place_are_searched_once(spark, monkeypatch):
+    """200 points at one place and 200 cells at another are one pair, not 40,000; ties go to the smaller id."""
+    calls = spark.sparkContext.accumulator(0)
+
+    def counted(a, b, c, d):
+        calls.add(1)
+        return 111.2 * max(abs(a - c), abs(b - d))
+
+    monkeypatch.setattr(S.geo, "haversine_km", lambda *at: F.udf(counted, "double")(*at))
+    points = spark.range(200).select(F.col("id").alias("pt_id"), F.lit(10.0).alias("lat"), F.lit(10.0).alias("lon"))
+    cells = spark.range(7, 207).select(F.col("id").alias("cell_id"), F.lit(10.5).alias("lat"), F.lit(10.0).alias("lon"))
+    land = spark.createDataFrame([(100, 190)], "i int, j int")
+    layers = [K.Layer("near", cells.withColumnRenamed("cell_id", "id"), 60.0)]
+    for find, got in (
+        (lambda: S.nearest(points, cells, 100.0), "cell_id"), (lambda: S.nearest_in_rounds(points, cells, (20.0, 100.0)), "cell_id"), (lambda: S.nearest_home_first(points, cells, 100.0), "cell_id"),
+        (lambda: K.nearest_of_layers(points, layers, "pt_id"), "near_id"), (lambda: S.nearest_ocean(points, land), "j"),
+    ):
+        before = calls.value
+        rows = find().collect()
+        assert len(rows) == 200 and {r[got] for r in rows} == ({7} if got != "j" else {189})
+        assert calls.value - before < 100, got
+
+
 def test_a_place_meets_edges_once_and_tells_all_its_points(spark):
     points = spark.createDataFrame([(k, 0.5, 0.5) for k in range(50)] + [(99, 5.0, 5.0)], "pt_id long, lat double, lon double")
     edges = S.edges(spark.createDataFrame([(1, 1, s, x, y) for s, (x, y) in enumerate([(0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.0, 1.0)])], "level int, ring int, seq int, x double, y double"))
