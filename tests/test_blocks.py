@@ -123,8 +123,8 @@ def test_points_and_cells_that_share_a_place_are_searched_once(spark, monkeypatc
         return 111.2 * max(abs(a - c), abs(b - d))
 
     monkeypatch.setattr(S.geo, "haversine_km", lambda *at: F.udf(counted, "double")(*at))
-    points = spark.range(200).select(F.col("id").alias("pt_id"), F.lit(10.0).alias("lat"), F.lit(10.0).alias("lon"))
-    cells = spark.range(7, 207).select(F.col("id").alias("cell_id"), F.lit(10.5).alias("lat"), F.lit(10.0).alias("lon"))
+    points = spark.createDataFrame([(k, 10.0, 10.0) for k in range(200)], "pt_id long, lat double, lon double")
+    cells = spark.createDataFrame([(k, 10.5, 10.0) for k in range(7, 207)], "cell_id long, lat double, lon double")
     land = spark.createDataFrame([(100, 190)], "i int, j int")
     layers = [K.Layer("near", cells.withColumnRenamed("cell_id", "id"), 60.0)]
     for find, got in (
