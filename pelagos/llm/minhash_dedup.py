@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -47,53 +48,99 @@ SKETCH, FAR_BITS = ("s0", "s1", "s2", "s3"), 50
 PIVOTS, MORE = 16, 8
 #: Ids that may be broadcast (8 bytes each); more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
-_WORD = re.compile(r"\w+")
-CACHE_WORDS, CHUNK_CHARS, CHUNK_DOCS = 200_000, 500_000, 1000
+_GAP = re.compile(r"\W")
+CHUNK_CHARS, CHUNK_DOCS = 500_000, 1000
+#: Code points whose words are hashed at once, and letters from which on a word is long.
+STEP_CHARS, LONG_WORD = 1 << 19, 500
 #: Points that processes take in one step, if each takes more than one.
 BLOCK = 20_000
 GOLD = np.uint64(0x9E3779B97F4A7C15)
+BASE = 0x5851F42D4C957F2D
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    y = x >> np.uint64(30)
+    y ^= x
+    y *= np.uint64(0xBF58476D1CE4E5B9)
+    z = y >> np.uint64(27)
+    y ^= z
+    y *= np.uint64(0x94D049BB133111EB)
+    np.right_shift(y, np.uint64(31), out=z)
+    y ^= z
+    return y
+
+
+#: Odd factors of a shingle's words.
+SALTS = _mix(np.arange(1, WORDS + 1, dtype=np.uint64) * GOLD) | np.uint64(1)
 
 
 def _times(a: int, b: int) -> np.uint64:
     return np.uint64(a * b & 0xFFFFFFFFFFFFFFFF)
 
 
-class Shingler:
-    """Turns texts into flat arrays of shingle hashes; remembers words' hashes, up to CACHE_WORDS."""
-
-    def __init__(self):
-        self.known: dict[str, int] = {}
-
-    def bags(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(text, shingle, weight), sorted by text and shingle; shingles have 52 bits."""
-        if len(self.known) > CACHE_WORDS:
-            self.known = {}
-        lists = [_WORD.findall(t.lower()) for t in texts]
-        words = [w for ws in lists for w in ws]
-        for w in set(words).difference(self.known):
-            self.known[w] = xxhash.xxh3_64_intdigest(w)
-        h = np.fromiter(map(self.known.__getitem__, words), np.uint64, len(words))
-        size = np.fromiter(map(len, lists), np.int64, len(lists))
-        first = np.cumsum(size) - size
-        many = np.maximum(np.where(size > 0, 1, 0), size - WORDS + 1)
-        text = np.repeat(np.arange(len(lists)), many)
-        at = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(first, many)
-        left = np.repeat(first + size, many) - at
-        acc = np.zeros(len(at), np.uint64)
-        for k in range(WORDS):
-            word = h[np.minimum(at + k, max(0, len(h) - 1))] if len(h) else h[:0]
-            acc = _mix(acc * np.uint64(31) + np.where(left > k, word, np.uint64(k + 1)) + GOLD)
-        key = np.sort(text.astype(np.uint64) << np.uint64(52) | acc >> np.uint64(12))
-        start = np.flatnonzero(np.r_[np.ones(min(1, len(key)), bool), key[1:] != key[:-1]])
-        weight = np.diff(np.r_[start, len(key)])
-        key = key[start]
-        return (key >> np.uint64(52)).astype(np.int64), key & np.uint64((1 << 52) - 1), weight
+@cache
+def _is_word() -> np.ndarray:
+    """Which code points are parts of words, as a regular expression has it."""
+    return np.fromiter((c.isalnum() or c == "_" for c in map(chr, range(0x110000))), bool, 0x110000)
+
+
+@cache
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of BASE, and of its inverse modulo 2**64."""
+    one, base = np.ones(1, np.uint64), np.uint64(BASE)
+    inverse = np.uint64(pow(BASE, -1, 2**64))
+    return np.cumprod(np.r_[one, np.full(n - 1, base)]), np.cumprod(np.r_[one, np.full(n - 1, inverse)])
+
+
+def word_hashes(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """(start, hash) of each word of a text in lower case.
+
+    A word's letters are digits of a number in base BASE, modulo 2**64; differences of running sums give those of all words at
+    once. Long words, of which some would be sure to have the same number, are hashed by themselves.
+    """
+    starts, hashes, at = [], [], 0
+    while at < len(text):
+        gap = _GAP.search(text, at + STEP_CHARS) if at + STEP_CHARS < len(text) else None
+        part, first = text[at : gap.end() if gap else None], at
+        at += len(part)
+        code = np.frombuffer(part.encode("utf-32-le", "surrogatepass"), np.uint32)
+        edges = np.flatnonzero(np.diff(_is_word()[code], prepend=False, append=False))
+        start, end = edges[::2], edges[1::2]
+        size = 1 << max(STEP_CHARS.bit_length(), len(code).bit_length())
+        up, down = _powers(size) if size <= 2 * STEP_CHARS else _powers.__wrapped__(size)
+        total = np.zeros(len(code) + 1, np.uint64)
+        np.cumsum((code + np.uint32(1)) * up[: len(code)], out=total[1:])
+        found = _mix((total[end] - total[start]) * down[start])
+        for k in np.flatnonzero(end - start > LONG_WORD):
+            found[k] = xxhash.xxh3_64_intdigest(code[start[k] : end[k]].tobytes())
+        starts.append(start + first)
+        hashes.append(found)
+    return np.concatenate(starts or [np.zeros(0, np.int64)]), np.concatenate(hashes or [np.zeros(0, np.uint64)])
+
+
+def bags_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, shingle, weight), sorted by text and shingle; shingles have 52 bits."""
+    lower = [t.lower() for t in texts]
+    at, h = word_hashes("\n".join([*lower, ""]))
+    ends = np.searchsorted(at, np.cumsum(np.fromiter(map(len, lower), np.int64, len(lower)) + 1))
+    size = np.diff(ends, prepend=0)
+    # the sum of five words from each on, mixed; those that begin in the last four of a text don't count
+    acc = h * SALTS[0]
+    for k in range(1, WORDS):
+        acc[:-k] += h[k:] * SALTS[k]
+    left = np.repeat(ends, size) - np.arange(len(h))
+    held = np.flatnonzero(left >= WORDS)
+    text = np.repeat(np.arange(len(lower)), size)[held]
+    few = np.flatnonzero((size > 0) & (size < WORDS))
+    short = np.zeros(len(few), np.uint64)
+    for k in range(WORDS):
+        short += np.where(size[few] > k, h[np.minimum((ends - size)[few] + k, len(h) - 1)], np.uint64(k + 1)) * SALTS[k]
+    text, acc = np.r_[text, few], _mix(np.r_[acc[held], short])
+    key = np.sort(text.astype(np.uint64) << np.uint64(52) | acc >> np.uint64(12))
+    start = np.flatnonzero(np.r_[np.ones(min(1, len(key)), bool), key[1:] != key[:-1]])
+    weight = np.diff(np.r_[start, len(key)])
+    key = key[start]
+    return (key >> np.uint64(52)).astype(np.int64), key & np.uint64((1 << 52) - 1), weight
 
 
 def _arrivals(best: np.ndarray, to: np.ndarray, seed: np.ndarray, until: np.ndarray, rate: np.ndarray | float, m: int, inside=None) -> None:
@@ -108,18 +155,22 @@ def _arrivals(best: np.ndarray, to: np.ndarray, seed: np.ndarray, until: np.ndar
         steps = np.arange(step + 1, step + many + 1, dtype=np.uint64)
         step += many
         u = _mix(seed[:, None] + steps * GOLD)
-        waits = np.log(((u >> np.uint64(11)).astype(np.float64) + 1) * 2.0**-53) / (rate if np.isscalar(rate) else rate[at][:, None])
-        when = np.cumsum(np.concatenate([t[:, None], -waits], axis=1), axis=1)[:, 1:]
+        when = ((u >> np.uint64(24)) + np.uint64(1)) * 2.0**-40
+        np.log(when, out=when)
+        when /= -rate if np.isscalar(rate) else -rate[at][:, None]
+        when[:, 0] += t
+        if many > 1:
+            np.cumsum(when, axis=1, out=when)
         on = when <= until[:, None]
-        r, c = np.nonzero(on)
-        v = _mix(seed[r] ^ (steps * np.uint64(0xD1B54A32D192ED03))[c])
-        place = to[at[r]] + ((v >> np.uint64(32)) * np.uint64(m) >> np.uint64(32)).astype(np.int64)
-        found = when[on]
+        hit = np.flatnonzero(on)
+        r = hit if many == 1 else hit // many
+        v, found, place = u.ravel()[hit], when.ravel()[hit], to[at[r]]
         if inside is not None:
-            hit = inside(v, at[r])
-            place, found = place[hit], found[hit]
-        np.minimum.at(best, place, found)
-        go = np.flatnonzero(on[:, -1])
+            held = np.flatnonzero(inside(_mix(v ^ GOLD), at[r]))
+            v, found, place = v[held], found[held], place[held]
+        # a point's lower 24 bits tell its component, the others its time
+        np.minimum.at(best, place + ((v & np.uint64(0xFFFFFF)) * np.uint64(m) >> np.uint64(24)).astype(np.int64), found)
+        go = hit if many == 1 else np.flatnonzero(on[:, -1])
         t, until, seed, at = when[go, -1], until[go], seed[go], at[go]
 
 
@@ -165,10 +216,9 @@ def signatures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     """(doc_id, h1, h2, bands, s0 .. s3): 128 bits that stand for the multiset, 64 bits of each band, and one bit of each component; without words, no bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler()
         for batch in batches:
             for ids, texts in _chunks(batch):
-                doc, elem, weight = shingler.bags(texts)
+                doc, elem, weight = bags_of(texts)
                 n = len(texts)
                 best = bag_minhash(doc, elem, weight, n)
                 short = _mix(best.view(np.uint64)) >> np.uint64(32)
@@ -210,10 +260,9 @@ def _shingle_sets(docs: DataFrame) -> DataFrame:
     """(node, bag): each shingle hashed with the number of its occurrence, so that multisets meet as sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler()
         for batch in batches:
             for ids, texts in _chunks(batch):
-                doc, elem, weight = shingler.bags(texts)
+                doc, elem, weight = bags_of(texts)
                 nth = np.arange(weight.sum()) - np.repeat(np.cumsum(weight) - weight, weight)
                 each = _mix(np.repeat(elem, weight) + nth.astype(np.uint64) * GOLD).view(np.int64)
                 ends = np.r_[0, np.cumsum(np.bincount(doc, weights=weight, minlength=len(ids)))].astype(np.int32)
@@ -222,23 +271,24 @@ def _shingle_sets(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "node long, bag array<long>")
 
 
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether no node that has an edge to a smaller one has two of these, or edges from larger ones."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(False).alias("top")).unionByName(edges.select(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(True).alias("top")))
+    return ends.groupBy("node").agg(F.sum("up").alias("up"), F.bool_or("top").alias("top")).filter("up > 1 OR up = 1 AND top").count() == 0
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """(node, comp) of all nodes with an edge (u, v): the smallest node they reach, by alternating large and small stars."""
+    """(node, comp) of all nodes with an edge to a smaller one: the smallest node they reach, by alternating large and small stars."""
     stars = written(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct(), "stars")
-    was = None
-    while True:
+    while not _are_stars(stars):
         both = stars.unionByName(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))  # no more than there are edges
         smallest = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(smallest, "u").select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").filter("u <> v").distinct()
-        done = written(small, "stars")
-        drop(stars)
-        stars = done
-        now = stars.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == was:
-            return stars.select(F.col("u").alias("node"), F.col("v").alias("comp"))
-        was = now
+        old, stars = stars, written(small, "stars")
+        drop(old)
+    return stars.select(F.col("u").alias("node"), F.col("v").alias("comp"))
 
 
 def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -285,26 +335,26 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, doc_id: str = "doc_
     sigs = written(signatures(source), "signatures")
     firsts = sigs.groupBy("h1", "h2").agg(F.min("doc_id").alias("node"))
     members = written(sigs.select("doc_id", "h1", "h2").join(firsts, ["h1", "h2"]).select("doc_id", "node"), "members")
-    nodes = sigs.filter("bands IS NOT NULL").join(firsts.select("h1", "h2", F.col("node").alias("doc_id")), ["h1", "h2", "doc_id"], "left_semi").select(F.col("doc_id").alias("node"), "bands", *SKETCH).dropDuplicates(["node"])
+    nodes = written(sigs.filter("bands IS NOT NULL").join(firsts.select("h1", "h2", F.col("node").alias("doc_id")), ["h1", "h2", "doc_id"], "left_semi").select(F.col("doc_id").alias("node"), "bands", *SKETCH).dropDuplicates(["node"]), "nodes")
+    drop(sigs)
     bands = _bands(nodes)
     shared = bands.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("pivot")).filter("n > 1").select("bucket", "pivot")
-    rows = written(bands.join(shared, "bucket").distinct().join(nodes.select("node", *SKETCH), "node").withColumn("comp", F.col("node")), "rows")
+    rows = written(bands.join(shared, "bucket").withColumn("comp", F.col("node")), "rows")  # a node's bands differ, since they hold their number
     # first, each node meets one of the smallest members of its buckets, that with which it shares most: this joins most large groups
     common = rows.filter("node <> pivot").groupBy("node", "pivot").agg(F.count("*").alias("n")).groupBy("node").agg(F.min(F.struct((-F.col("n")).alias("n"), F.col("pivot"))).alias("m")).select("node", "m.pivot")
     sketch = lambda node: nodes.select(F.col("node").alias(node), F.struct(*SKETCH).alias(f"of_{node}"))
     near = sum(F.bit_count(F.col(f"of_node.{s}").bitwiseXOR(F.col(f"of_pivot.{s}"))) for s in SKETCH) <= FAR_BITS
     likest = written(common.join(sketch("node"), "node").join(sketch("pivot"), "pivot").filter(near).select("node", "pivot"), "pairs")
-    drop(sigs)
     bags = written(_bags_of(likest, source), "bags")
     links = written(_verified(likest, bags, threshold), "links")
     drop(likest, bags)
     labels = components(links)
     # then the nodes of buckets that are still of several components meet anew, by their rarest shingles
     open_ = _settle(rows, labels)
-    left = written(open_.select("node", *SKETCH).distinct(), "left")
+    left = written(nodes.select("node", *SKETCH).join(open_.select("node").distinct(), "node", "left_semi"), "left")
     bags = written(_bags_of(left.select("node", F.col("node").alias("pivot")), source), "bags")
     old, rows = rows, written(_rarest(bags, threshold).join(left, "node"), "rows")
-    drop(old, left)
+    drop(old, left, nodes)
     # of an alike pair, the smaller one has so many shingles from the first common one on
     pivots = PIVOTS
     small = F.col("rest") * (1 + threshold) + 1e-6 >= 2 * threshold * F.col("size")
@@ -319,7 +369,8 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, doc_id: str = "doc_
         chosen = written(ranked.drop("n", "nth"), "pivots")
         pairs = written(_met(rows, chosen, threshold).distinct(), "pairs")
         found = written(_verified(pairs, bags, threshold), "links")
-        labels = _merged(labels, found)
+        if found.count():
+            labels = _merged(labels, found)
         drop(pairs, found)
         rest = written(rows.join(chosen.select("bucket", "node"), ["bucket", "node"], "left_anti"), "rows")
         drop(rows, chosen)

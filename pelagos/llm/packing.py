@@ -111,16 +111,17 @@ def _placed(pieces: pd.DataFrame, shard: int, first: int, capacity: int) -> pd.D
     return pieces.assign(residual=capacity - pieces.groupby("bin")["length"].transform("sum"))
 
 
-def best_fit(docs: DataFrame, capacity: int = 2048, length: Column | None = None, cluster: Column | None = None, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+def best_fit(docs: DataFrame, capacity: int = 2048, length: Column | None = None, cluster: Column | None = None, doc_id: str = "doc_id", text: str = "text", source: str = "source", deal: Column | None = None) -> DataFrame:
     """One row a piece: where it lies in its document (piece, start, length) and its bin (shard, bin, slot, residual of the bin at the end).
 
-    Lengths are the text's words unless a column tells them; equal texts are one cluster unless a column names clusters.
+    Lengths are the text's words unless a column tells them; equal texts are one cluster unless a column names clusters;
+    documents are dealt to shards by `deal`, a number, else by a hash of id and text. With all three no text is read.
     """
     size = n_words(text) if length is None else F.coalesce(length.cast("long"), F.lit(0))
     same = F.xxhash64(text_of(text)) if cluster is None else F.when(cluster.isNotNull(), F.xxhash64(cluster))
     shards = max(1, -(-docs.count() // SHARD_PIECES))
     named = F.col(doc_id).cast("long")
-    rows = docs.select(F.coalesce(named, F.lit(0)).alias("doc_id"), named.isNotNull().alias("named"), size.alias("size"), F.col(source).cast("string").alias("source"), same.cast("string").alias("cluster"), F.pmod(F.xxhash64(F.col(doc_id), text_of(text)), F.lit(shards)).alias("shard"))
+    rows = docs.select(F.coalesce(named, F.lit(0)).alias("doc_id"), named.isNotNull().alias("named"), size.alias("size"), F.col(source).cast("string").alias("source"), same.cast("string").alias("cluster"), F.pmod(F.xxhash64(F.col(doc_id), text_of(text)) if deal is None else deal, F.lit(shards)).alias("shard"))
     order = [c.split()[0] for c in _PLACED.split(", ")]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
